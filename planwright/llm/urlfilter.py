@@ -39,7 +39,7 @@ def reversed_host(host: Column) -> Column:
     return F.array_join(F.reverse(F.split(host, r"\.")), ".")
 
 
-def filter_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str = "page_id", default: str = "allow", rows_per_slice: int = 200_000) -> DataFrame:
+def filter_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", id_col: str = "page_id", default: str = "allow", rows_per_slice: int = 4_000) -> DataFrame:
     """Judge each row of ``urls`` by ``rules`` (host, path, verdict).
 
     Returns ``id_col``, host, path, rule (host and path of the rule that wins, else null) and verdict (the rule's,
