@@ -177,24 +177,23 @@ class TextCoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary = vocabulary
         self.prefixes = PrefixStore(vocabulary)
-        self.cache = PieceCache(pattern, self._pieces, self._join)
+        self.cache = PieceCache(pattern, self._piece, self._join)
 
-    def _pieces(self, pieces: list[str]) -> list[list[int]]:
-        ids = self.prefixes.ids
-        return [ids(p.encode("utf-8", "replace")) for p in pieces]
-
-    def _join(self, parts: list[list[int]]) -> tuple[str, bytes]:
-        ids = [i for p in parts for i in p] if len(parts) > 1 else parts[0]
+    def _piece(self, piece: str) -> tuple[str, bytes]:
+        ids = self.prefixes.ids(piece.encode("utf-8", "replace"))
         return " ".join(map(str, ids)), decode(self.vocabulary, ids)
 
-    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        """For each text: number of ids, SHA-256 of the decimal ids joined by one space, SHA-256 of the decoded bytes."""
-        for found in self.cache.values(texts):
-            ids, out = " ".join([x[0] for x in found]), b"".join([x[1] for x in found])
-            yield ids.count(" ") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(out).hexdigest()
+    @staticmethod
+    def _join(parts: list[tuple[str, bytes]]) -> tuple[str, bytes]:
+        return " ".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
+
+    def digests(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of the decimal ids joined by one space, SHA-256 of the decoded bytes."""
+        ids, out = self._join(self.cache.values(text))
+        return ids.count(" ") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(out).hexdigest()
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for x in self.cache.values([text])[0] for i in x[0].split()]
+        return [int(i) for x in self.cache.values(text) for i in x[0].split()]
 
 
 _coders: dict[tuple[str, str], TextCoder] = {}
@@ -221,7 +220,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                n, ids, out = zip(*c.digests(texts), strict=True)
+                n, ids, out = zip(*map(c.digests, texts), strict=True)
                 columns = [part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(out)]
                 if with_ids:
                     columns.append(pa.array([c.encode(t) for t in texts], pa.list_(pa.int32())))

@@ -45,21 +45,19 @@ class IdStream:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.names = byte_names()
-        self.cache = PieceCache(pattern, self._pieces, lambda parts: b"".join(parts))
+        self.tokenize = self.tokenizer.model.tokenize
+        self.cache = PieceCache(pattern, self._piece, b"".join)
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        tokenize, pack, names = self.tokenizer.model.tokenize, struct.pack, self.names
-        out = []
-        for p in pieces:
-            ids = [t.id for t in tokenize(p.encode("utf-8", "replace").decode("latin-1").translate(names))]
-            out.append(pack(f"<{len(ids)}I", *ids))
-        return out
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.tokenize(piece.encode("utf-8", "replace").decode("latin-1").translate(self.names))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        plain = [not any(s in t for s in self.specials) for t in texts]
-        kept = iter(self.cache.values([t for t, p in zip(texts, plain, strict=True) if p]))
-        return [b"".join(next(kept)) if p else np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, p in zip(texts, plain, strict=True)]
+    def ids(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of the text."""
+        for s in self.specials:
+            if s in text:
+                return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(self.cache.values(text))
 
 
 _streams: dict[tuple[str, str], IdStream] = {}
@@ -87,8 +85,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: s
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part, rows = b.slice(at, 256), []
-                for k, ids in enumerate(stream.ids([t or "" for t in part.column(1).to_pylist()])):
-                    ids += end
+                for k, text in enumerate(part.column(1).to_pylist()):
+                    ids = stream.ids(text or "") + end
                     start, n = 0, len(ids) // 4
                     for length in binary_lengths(n, longest):
                         own = ids[4 * start : 4 * (start + length)]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import regex
 
@@ -11,21 +11,45 @@ import regex
 _BESIDE = re.compile(r"\s ")
 
 
+class Store(dict):
+    """Values by key, made when first asked for; those not asked for while the last ``limit`` came are given up."""
+
+    def __init__(self, make: Callable, limit: int):
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def turn(self) -> Store:
+        """To be called between texts: itself, or an empty store that still knows the values of this one."""
+        if len(self) <= self.limit:
+            return self
+        new = Store(self.make, self.limit)
+        new.old = self
+        self.old = {}
+        return new
+
+
 class PieceCache:
-    """Encodes texts by way of ``encode_pieces``, which gets distinct matches of ``pattern`` and returns a value for each.
+    """Encodes texts by way of ``encode``, which gets a match of ``pattern``.
 
     No match of the pattern holds white space after a non-white-space character, so text can be cut before any space
-    that follows one; the words so cut repeat, and ``join`` of their pieces' values is kept by word. Values that weren't
-    used while the last ``limit`` new ones came are given up, which costs time but changes no result.
+    that follows one; the words so cut repeat, and ``join`` of their pieces' values is kept by word.
     """
 
-    def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], list], join: Callable[[list], object], limit: int = 150_000):
-        self.find = regex.compile(pattern).findall
-        self.encode_pieces, self.join, self.limit = encode_pieces, join, limit
-        self.words: dict[str, object] = {}
-        self.pieces: dict[str, object] = {}
-        self.old_words: dict[str, object] = {}
-        self.old_pieces: dict[str, object] = {}
+    def __init__(self, pattern: str, encode: Callable[[str], object], join: Callable[[list], object], limit: int = 120_000):
+        find = regex.compile(pattern).findall
+        self.find, self.join = find, join
+        self.pieces, self.words = Store(encode, limit), Store(self._word, limit)
+
+    def _word(self, unit: str) -> object:
+        found = self.find(unit)
+        get = self.pieces.__getitem__
+        return get(found[0]) if len(found) == 1 else self.join([get(p) for p in found])
 
     def units(self, text: str) -> list[str]:
         if not text:
@@ -35,26 +59,8 @@ class PieceCache:
         first, *rest = text.split(" ")
         return ([first] if first else []) + [" " + x for x in rest]
 
-    def values(self, texts: Iterable[str]) -> list[list]:
-        """For each text the values of its units, in order."""
-        cut = [self.units(t) for t in texts]
-        if len(self.words) > self.limit:
-            self.words, self.old_words = {}, self.words
-        if len(self.pieces) > self.limit:
-            self.pieces, self.old_pieces = {}, self.pieces
-        new = _kept({u for units in cut for u in units}.difference(self.words), self.words, self.old_words)
-        if new:
-            parts = {u: self.find(u) for u in new}
-            unseen = list(_kept({p for found in parts.values() for p in found}.difference(self.pieces), self.pieces, self.old_pieces))
-            self.pieces.update(zip(unseen, self.encode_pieces(unseen), strict=True))
-            get = self.pieces.__getitem__
-            self.words.update((u, self.join([get(p) for p in found])) for u, found in parts.items())
+    def values(self, text: str) -> list:
+        """The values of the text's units, in order."""
+        self.words, self.pieces = self.words.turn(), self.pieces.turn()
         get = self.words.__getitem__
-        return [[get(u) for u in units] for units in cut]
-
-
-def _kept(wanted: set[str], now: dict[str, object], old: dict[str, object]) -> set[str]:
-    """Carry over to ``now`` what ``old`` has of ``wanted``; the rest is returned."""
-    there = wanted.intersection(old) if old else set()
-    now.update((x, old[x]) for x in there)
-    return wanted.difference(there) if there else wanted
+        return [get(u) for u in self.units(text)]
