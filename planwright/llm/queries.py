@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from planwright.llm import bpe, langid, packing, quality, simhash, topk, toxicity, urlfilter
+from planwright.llm import bpe, langid, media, packing, quality, simhash, suffixdedup, topk, toxicity, urlfilter
 from planwright.sources.tables import table
 
 #: The rules of op2: host, path, verdict.
@@ -36,6 +36,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.find_copies(media.render_vectors(table(spark, sf_dir, "embeddings")), "vec_id", "media")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge_quality(docs).select("doc_id", "quality_posterior", "quality_score", "quality_keep")
@@ -45,12 +49,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixdedup.remove_repeats(docs)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_toxicity, op4_top_k, op5_byte_bpe, op7_quality, op8_packing, op10_simhash)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_toxicity, op4_top_k, op5_byte_bpe, op6_image_copies, op7_quality, op8_packing, op9_suffix_dedup, op10_simhash)}
 
 
 _OP2 = f"""
