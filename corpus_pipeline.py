@@ -1,12 +1,57 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns
+of documents. ``sf_dir`` gives the labels that the toxicity stage learns from.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from planwright.llm import packing, quality, simhash, suffixdedup, toxicity
+from planwright.sources.tables import table
+from planwright.staging import staged
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.judge_quality(docs).where("quality_keep").select(*docs.columns)
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity scorer rejects go."""
+    return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicates the document of the smallest id stays."""
+    found = simhash.near_duplicates(docs)
+    gone = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of repeated passages go; documents of which nothing is left go too."""
+    left = suffixdedup.remove_repeats(docs, with_text=True)
+    changed = left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
+    return changed.where("n_removed = 0 or n_removed < n_bytes").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+STAGES = [("quality", keep_quality), ("toxicity", keep_clean), ("near-dedup", keep_one_of_each), ("suffix-dedup", cut_repeats), ("packing", pack)]
 
-STAGES: list = []
+#: Trained models and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages on ``documents``; what a stage returns is written and read again as the next one's documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
