@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from planwright.llm.sampling import SAMPLE_TEXT_BYTES
 
@@ -194,7 +195,5 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             keep = [s >= threshold for s in score]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(belief, pa.float64()), pa.array(score, pa.float64()), pa.array(keep, pa.bool_())], [*b.schema.names, "quality_posterior", "quality_score", "quality_keep"])
 
-    schema = docs.select(*kept).schema
-    for name, kind in (("quality_posterior", "double"), ("quality_score", "double"), ("quality_keep", "boolean")):
-        schema = schema.add(name, kind)
+    schema = StructType([*docs.select(*kept).schema.fields, StructField("quality_posterior", DoubleType()), StructField("quality_score", DoubleType()), StructField("quality_keep", BooleanType())])
     return docs.select(*kept).mapInArrow(judge, schema)

@@ -23,6 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from planwright.llm.sampling import bounded_sample, held_out, learnable
 
@@ -285,4 +286,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype("int32"), pa.int32())], [*part.schema.names, "score", "predicted"])
 
     rows = docs.select(*kept, held_out(id_col).alias("held_out"))
-    return rows.mapInArrow(run, rows.schema.add("score", "double").add("predicted", "int"))
+    schema = StructType([*rows.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    return rows.mapInArrow(run, schema)
