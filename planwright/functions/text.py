@@ -18,7 +18,7 @@ CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
 def _code_points(text: Column) -> Column:
     r"""``\U+XXXX`` -> the character: parts after the first begin with four hex digits, else the code stays."""
     parts = F.split(text, r"\\U\+")
-    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.when(p.rlike("^[0-9A-Fa-f]{4}"), F.concat(F.decode(F.unhex(F.concat(F.lit("00"), F.lit("00"), F.substring(p, 1, 4))), "UTF-32BE"), F.substr(p, F.lit(5)))).otherwise(F.concat(F.lit("\\U+"), p)))
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.when(p.rlike("^[0-9A-Fa-f]{4}"), F.concat(F.decode(F.unhex(F.substring(p, 1, 4)), "UTF-16BE"), F.substr(p, F.lit(5)))).otherwise(F.concat(F.lit("\\U+"), p)))
     return F.concat(parts[0], F.array_join(rest, ""))
 
 
