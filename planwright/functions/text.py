@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Formatting codes of MTEXT that run up to a semicolon.
 _FORMAT = r"\\[ACFHQTWf].*?;"
@@ -39,13 +40,13 @@ def decode_mtext_short(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, _FORMAT, ""), r"[{}]", ""), r"^\s+|\s+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility normal form; Spark has no function for it."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def match_form(text: pd.Series) -> pd.Series:
     """Compatibility normal form, white space run together, case folded."""
     return text.map(lambda t: None if t is None else re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t)).strip().casefold())

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from planwright.functions import geometry as G
 
-IDENTITY = G.insert_matrix(0.0, 0.0, 1.0, 1.0, 0.0)
-
-
 def expand_blocks(entities: DataFrame, blocks: DataFrame, max_depth: int = 3, degrees: bool | None = None, transform: bool = True) -> DataFrame:
     """Leaves of top-level ``entities`` and of the ``blocks`` that they insert, with world x, y and depth.
 
@@ -20,7 +17,7 @@ def expand_blocks(entities: DataFrame, blocks: DataFrame, max_depth: int = 3, de
     null is 1, a null rotation 0. With ``transform`` off, positions stay local.
     """
     columns = [c for c in entities.columns if c not in ("x", "y")]
-    level = entities.withColumns({"_m": IDENTITY, "depth": F.lit(0)})
+    level = entities.withColumns({"_m": G.insert_matrix(0.0, 0.0, 1.0, 1.0, 0.0), "depth": F.lit(0)})
     scale = lambda c: F.when(F.coalesce(F.col(c), F.lit(0.0)) != 0, F.col(c)).otherwise(1.0)
     found = []
     for depth in range(max_depth + 1):

@@ -121,6 +121,34 @@ def s19_corpus_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", (F.col("k") + 1).alias("k"))
 
 
+def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DXF text of the fixture entities, one drawing for each file_id."""
+    e = drawing(spark, sf_dir, "entities")
+    tag = lambda code, v: F.concat(F.lit(f"{code}\n"), v.cast("string"), F.lit("\n"))
+    text = F.when(F.col("type") == "TEXT", tag(1, F.col("text"))).when(F.col("type") == "INSERT", tag(2, F.lit("B1"))).when(F.col("type") == "LINE", F.concat(tag(11, F.col("x") + F.col("radius")), tag(21, F.col("y")))).otherwise("")
+    body = F.concat(tag(0, F.col("type")), tag(5, F.hex("entity_id")), tag(8, F.col("layer")), tag(10, F.col("x")), tag(20, F.col("y")), tag(40, F.col("radius")), text)
+    head, tail = F.lit("0\nSECTION\n2\nENTITIES\n"), F.lit("0\nENDSEC\n0\nEOF\n")
+    all_ = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("entity_id", body.alias("b")))), lambda x: x["b"]), "")
+    return e.groupBy("file_id").agg(F.encode(F.concat(head, all_, tail), "UTF-8").alias("content")).select("content")
+
+
+@query(drawing_sql("entities") + " SELECT type, layer, count(*) AS n, sum(x) AS sx, count(CASE WHEN type = 'TEXT' THEN text END) AS texts FROM entities GROUP BY ALL")
+def s1_s4_dxf_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawings written as DXF text and parsed again."""
+    from planwright.sources import dxf
+
+    e = dxf.entities(dxf.parse_drawings(drawings(spark, sf_dir)))
+    return e.groupBy("type", "layer").agg(F.count("*").alias("n"), F.sum(F.col("points")[0]["x"]).alias("sx"), F.count("text").alias("texts"))
+
+
+@query(drawing_sql("entities") + " SELECT layer, count(*) AS n, round(sum(radius), 4) AS length FROM entities WHERE type = 'LINE' AND radius > 0.1 GROUP BY 1")
+def s6_dxf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planwright.sources import dxf
+
+    lines = dxf.lines(dxf.parse_drawings(drawings(spark, sf_dir)).where("type <> 'CIRCLE'"))
+    return lines.groupBy("layer").agg(F.count("*").alias("n"), F.round(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))), 4).alias("length"))
+
+
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
 def p1_pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plain aggregation over the largest table, for the bench."""

@@ -81,8 +81,13 @@ def _row(file_id: str, i: int, section: str, block: str | None, kind: str, own:
 
 
 def read_dxf(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
-    """Every record of the drawings under ``path``; file_id is the SHA-256 of the bytes. A record that can't be read is passed over."""
+    """Every record of the drawings under ``path``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[dD][xX][fF]").option("recursiveFileLookup", "true").load(path)
+    return parse_drawings(files, encodings)
+
+
+def parse_drawings(files: DataFrame, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
+    """Every record of drawings in a binary column ``content``; file_id is the SHA-256 of the bytes. A record that can't be read is passed over."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
