@@ -5,7 +5,9 @@ fingerprint's 64 bits are cut into three segments. If two fingerprints differ in
 segment with most errors leaves two with at most one error each. If u and v differ in at most one bit of a segment, the
 codeword nearest to u is within 4 bits of v; so u's nearest codeword index is among the few (5.3 on average) that v's
 segment decodes to within 4 bits. For each pair of segments a fingerprint is entered under its own two codeword indices,
-and looked up under all pairs of nearby ones; whatever meets under a key is verified by counting differing bits.
+and looked up under nearby ones; whatever meets under a key is verified by counting differing bits. Of the first two
+segments all pairs of nearby indices are looked up. Where one of these has two errors or more, the other and the third have one
+at most between them, so for the other two pairs one index of each looked-up key is the fingerprint's own.
 
 Equal fingerprints are one class from the start, so copies never meet each other.
 """
@@ -93,6 +95,9 @@ def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size = (first[1:] - first[:-1])[row_a]
         left = np.repeat(np.arange(len(row_a)), size)
         right = np.arange(len(left)) - np.repeat(np.cumsum(size) - size, size) + first[row_a[left]]
+        if kind:
+            some = own_a[left] | own_b[right]
+            left, right = left[some], right[some]
         out.append((row_a[left], kind << 24 | index_a[left] << 12 | index_b[right], own_a[left] & own_b[right]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -129,20 +134,20 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
             for at in range(0, b.num_rows, 4096):
                 p = b.column(0).slice(at, 4096).to_numpy(zero_copy_only=False)
                 row, key, own = keys(p.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(p[row]), pa.array(own)], ["key", "fp", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array((key << 1 | own).astype(np.int32)), pa.array(p[row])], ["entry", "fp"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def found(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            key, fp, own = (np.concatenate(x) for x in zip(*parts, strict=True))
-            pairs = links(key, fp.view(np.uint64), own)
+            entry, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
+            pairs = links(entry >> 1, fp.view(np.uint64), (entry & 1).astype(bool))
             a, b = (np.concatenate([p[i] for p in pairs] or [np.zeros(0, np.uint64)]).view(np.int64) for i in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["src", "dst"])
 
         for b in batches:
             part = tuple(c.to_numpy(zero_copy_only=False) for c in b.columns)
-            last = int(np.searchsorted(part[0], part[0][-1])) if len(part[0]) else 0
+            last = int(np.searchsorted(part[0] >> 1, part[0][-1] >> 1)) if len(part[0]) else 0
             if not last:  # all of one key, which may go on
                 held.append(part)
                 continue
@@ -151,9 +156,9 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
         if held:
             yield found(held)
 
-    entered = prints.select("fp").distinct().mapInArrow(enter, "key int, fp long, own boolean")
-    # keys are 26 bits; a task gets its keys one after another
-    return entered.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "src long, dst long").distinct()
+    entered = prints.select("fp").distinct().mapInArrow(enter, "entry int, fp long")
+    # a key is 26 bits and shares an int with the mark of the own entry; a task gets its keys one after another
+    return entered.repartition(F.shiftright("entry", 1)).sortWithinPartitions("entry").mapInArrow(meet, "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
