@@ -23,9 +23,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from planwright.llm.sampling import bounded_sample, held_out, learnable
+from planwright.llm.sampling import SAMPLE_TEXT_BYTES, held_out, learnable
 
 DECAY, SHORTEST, LONGEST = 0.6, 4, 20
 LANDMARKS, SAMPLE_DOCS, THRESHOLD = 256, 1200, 0.3
@@ -261,9 +262,17 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> Machine | None:
     """Train on about ``sample_docs`` labelled rows of either kind outside the held-out fold."""
     marked = labels.where(learnable(id_col)).select(id_col, label_col).where(f"`{label_col}` in (0, 1)").distinct()
-    rows = docs.where(learnable(id_col)).select(id_col, text_col).join(marked, id_col)
-    sample = bounded_sample(rows, label_col, sample_docs, id_col, text_col)
-    return train(sample.get(1, []), sample.get(0, []))
+    counts = {r[0]: r[1] for r in marked.groupBy(label_col).count().collect()}
+    # ids are drawn before texts are looked up, so no text is shuffled; the drawn ids are about twice the sample at most
+    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30))
+    share = F.coalesce(*[F.when(F.col(label_col) == c, min(1.0, 1.2 * sample_docs / n) * (1 << 30)) for c, n in counts.items()], F.lit(0.0))
+    drawn = marked.withColumn("_draw", draw).where(F.col("_draw") < share)
+    rows = docs.where(F.octet_length(text_col) <= SAMPLE_TEXT_BYTES).select(id_col, text_col).join(F.broadcast(drawn), id_col)
+    found: dict[int, list[tuple[int, str]]] = {0: [], 1: []}
+    for label, order, text in rows.select(label_col, "_draw", text_col).collect():
+        found[label].append((order, text))
+    toxic, clean = ([t for _, t in sorted(found[c])[:sample_docs]] for c in (1, 0))
+    return train(toxic, clean)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
