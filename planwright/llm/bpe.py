@@ -18,12 +18,20 @@ from pyspark.sql import DataFrame
 from planwright.llm.pieces import PieceCache
 
 
+_SHORT = (2, 1)
+
+
 class Vocabulary:
     """Ranks of byte strings: the id of a token is its rank, and a lower rank merges first."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.longest = max(map(len, ranks), default=0)
+        # by the last three bytes of tokens their lengths, longest first, and those that any string may end with
+        sizes: dict[bytes, set[int]] = {}
+        for t in ranks:
+            if len(t) > 2:
+                sizes.setdefault(t[-3:], {2, 1}).add(len(t))
+        self.sizes = {k: tuple(sorted(x, reverse=True)) for k, x in sizes.items()}
         self.strings = {v: k for k, v in ranks.items()}
         self._beside: dict[tuple[int, int], bool] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
@@ -121,7 +129,11 @@ class Prefixes:
 def last_token(v: Vocabulary, text: bytes, end: int, last: list[int]) -> int:
     """The one token that can end the encoding of text[:end], given those of all shorter prefixes."""
     get, known = v.ranks.get, v._beside
-    for begin in range(max(0, end - v.longest), end):
+    sizes = v.sizes.get(text[end - 3 : end], _SHORT) if end > 2 else _SHORT
+    for size in sizes:
+        begin = end - size
+        if begin < 0:
+            continue
         t = get(text[begin:end])
         if t is not None:
             if not begin:

@@ -8,8 +8,8 @@ sequence of its bucket's length, so no sequence crosses documents and none is pa
 from __future__ import annotations
 
 import os
-import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,8 +49,11 @@ class IdStream:
         self.cache = PieceCache(pattern, self._piece, b"".join)
 
     def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.tokenize(piece.encode("utf-8", "replace").decode("latin-1").translate(self.names))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        if piece.isascii() and piece[1:].isalpha():
+            name = piece.replace(" ", self.names[32])
+        else:
+            name = piece.encode("utf-8", "replace").decode("latin-1").translate(self.names)
+        return array("I", [t.id for t in self.tokenize(name)]).tobytes()
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the text."""

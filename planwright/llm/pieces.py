@@ -47,8 +47,13 @@ class PieceCache:
         self.pieces, self.words = Store(encode, limit), Store(self._word, limit)
 
     def _word(self, unit: str) -> object:
-        found = self.find(unit)
         get = self.pieces.__getitem__
+        # letters after at most one space are one match; so is a common mark after them
+        if unit[1:].isalpha() and (unit[0] == " " or unit[0].isalpha()):
+            return get(unit)
+        if unit[-1] in ".,!?;:" and unit[1:-1].isalpha() and (unit[0] == " " or unit[0].isalpha()):
+            return self.join([get(unit[:-1]), get(unit[-1])])
+        found = self.find(unit)
         return get(found[0]) if len(found) == 1 else self.join([get(p) for p in found])
 
     def units(self, text: str) -> list[str]:
