@@ -236,8 +236,8 @@ def test_toxicity(spark, odd, none):
     assert got.count() == odd.count() and got.where("score < 0 or score > 1").count() == 0
     assert toxicity.score_toxicity(none, labels.where("false")).count() == 0
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    docs = docs.join(labels, "doc_id").select("doc_id", "text").where("doc_id < 4000")
-    found = toxicity.score_toxicity(docs, labels, sample_docs=150).where("held_out").join(labels, "doc_id").collect()
+    docs = docs.join(labels, "doc_id").select("doc_id", "text")
+    found = toxicity.score_toxicity(docs, labels, sample_docs=400).where("held_out").join(labels, "doc_id").collect()
     assert np.mean([r.predicted for r in found if r.toxic == 1]) > 0.7 and np.mean([r.predicted for r in found if r.toxic == 0]) < 0.1
 
 
