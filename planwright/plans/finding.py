@@ -137,7 +137,7 @@ def m3_box_area(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SEG = drawing_sql("regions") + """, seg AS (SELECT region_id, w AS len, 0.0 AS a FROM regions UNION ALL SELECT region_id, h, pi() / 2 FROM regions UNION ALL SELECT region_id, w, 0.0 FROM regions UNION ALL SELECT region_id, h, pi() / 2 FROM regions)"""
 
 
-@query(_SEG + " SELECT region_id, 1.0 AS rectangularity, sum(len) / sum(len) AS orthogonal FROM seg GROUP BY 1")
+@query(_SEG + " SELECT region_id, CAST(1 AS DOUBLE) AS rectangularity, sum(len) / sum(len) AS orthogonal FROM seg GROUP BY 1")
 def m17_rectangularity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of its box that a ring fills, and of its length that runs along the axes."""
     r = drawing(spark, sf_dir, "regions").withColumn("ring", ring())

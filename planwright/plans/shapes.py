@@ -462,7 +462,7 @@ def q9_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CELLS.replace("WITH ", "WITH RECURSIVE ", 1) + """, s AS (SELECT cx, cy FROM cell ORDER BY (cx - 25) * (cx - 25) + (cy - 20) * (cy - 20), cx, cy LIMIT 1),
 f(cx, cy) AS (SELECT cx, cy FROM s UNION SELECT c.cx, c.cy FROM f JOIN cell c ON abs(c.cx - f.cx) <= 1 AND abs(c.cy - f.cy) <= 1)
-SELECT min(cx) * 200.0 AS min_x, min(cy) * 100.0 AS min_y, (max(cx) + 1) * 200.0 AS max_x, (max(cy) + 1) * 100.0 AS max_y, count(*) AS cells FROM f""")
+SELECT CAST(min(cx) * 200 AS DOUBLE) AS min_x, CAST(min(cy) * 100 AS DOUBLE) AS min_y, CAST((max(cx) + 1) * 200 AS DOUBLE) AS max_x, CAST((max(cy) + 1) * 100 AS DOUBLE) AS max_y, count(*) AS cells FROM f""")
 def r10_q10_flood_from_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seed is moved to the nearest occupied cell; its 8-connected component's box."""
     cells = occupied(spark, sf_dir)
