@@ -405,9 +405,18 @@ def r1_polygonise_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def r1_polygonise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Faces of the edges of the regions of each layer in a file."""
-    s = segments(spark, sf_dir).withColumn("group_id", F.concat_ws("/", F.col("file_id").cast("string"), "layer", (F.col("region_id") % 64).cast("string")))
-    return kernels.polygonise(s, "group_id")
+    """Faces of the edges of the regions of each layer in a file.
+
+    Regions that touch, directly or through others, go to one task, so no face is cut; 64 tasks a layer hold whole sets of them.
+    """
+    r = drawing(spark, sf_dir, "regions").select("region_id", "file_id", "layer", G.box(F.col("x0"), F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("h")).alias("box"))
+    other = r.select("file_id", "layer", F.col("region_id").alias("other_id"), F.col("box").alias("other_box"))
+    touching = box_join(r, other, "box", "other_box", 20.0, on=F.col("region_id") < F.col("other_id"), margin=0.001, keys=("file_id", "layer"))
+    root = graph.connected_components(touching, "region_id", "other_id")
+    s = segments(spark, sf_dir).join(root.withColumnRenamed("node", "region_id"), "region_id", "left")
+    part = F.pmod(F.xxhash64(F.coalesce("component", "region_id")), F.lit(64)).cast("string")
+    faces = kernels.polygonise(s.withColumn("group_id", F.concat_ws("/", F.col("file_id").cast("string"), "layer", part)), "group_id")
+    return faces.withColumn("group_id", F.regexp_replace("group_id", "/[0-9]+$", ""))
 
 
 @query()

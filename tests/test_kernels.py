@@ -144,3 +144,11 @@ def test_cad_json(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{")
     got = sorted((x.type, x.block, x.x) for x in files.canonical_entities(files.read_cad_json(spark, str(tmp_path))).collect() if True)
     assert got == [("CIRCLE", "C", 5.0), ("LINE", "B", 3.0), ("TEXT", None, 1.0)]
+
+
+def test_faces_of_regions_that_touch(spark):
+    sf = "/root/testdata/sf0.01"
+    whole = shapes.segments(spark, sf).withColumn("group_id", F.concat_ws("/", F.col("file_id").cast("string"), "layer"))
+    plain = lambda df: sorted((r.group_id, round(r.cx, 6), round(r.cy, 6), round(r.area, 6), r.points) for r in df.collect())
+    got, want = plain(shapes.r1_polygonise(spark, sf)), plain(kernels.polygonise(whole, "group_id"))
+    assert got == want and len(got) > 15_000
