@@ -4,13 +4,15 @@ Vectors are laid out by descending length in blocks, rotated into the axes of a
 their first coordinates carry most of an inner product. A block of queries meets blocks of candidates in that order: a
 query is done with a slice once its k-th best score so far is no less than its length times that of the longest vector to
 come. Within a block the first coordinates give partial sums, and by Cauchy-Schwarz what is left is at most the product of
-the lengths of the remaining parts; only candidates that may still reach the k-th best are scored, in exact integers.
+the lengths of the remaining parts; only candidates that may still reach the k-th best are scored, in exact integers (doubles
+while products of lengths stay below 2^52, Python integers beyond).
 
 The rotation only orders the work: it is fitted on a bounded sample, and bounds are widened for rounding.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,18 +27,19 @@ SCALE, BLOCK, QUERY_BLOCK, SLICE_BLOCKS = 256, 2048, 1024, 32
 ROTATION_SAMPLE = 4096
 #: Coordinates of the partial sums, as a share of all.
 HEAD = 0.25
-#: Below any score.
-NOTHING = -(1 << 62)
+#: Below any score: of those kept as longs, of those kept as Python integers.
+NOTHING, BELOW_ALL = -(1 << 62), -(1 << 2200)
 
 
 def _rotation(vectors: DataFrame, dims: list[int]) -> dict[int, np.ndarray]:
     """For each dimension the axes by falling share of a sample's squared length."""
     n = vectors.count()
     share = min(1.0, ROTATION_SAMPLE / max(1, n))
+    weigh = lambda x: x / max(1.0, np.abs(x).max())  # noqa: E731  # squares stay finite
     rows = vectors.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 30)) < share * (1 << 30)).limit(2 * ROTATION_SAMPLE).select("v").collect()
     out = {}
     for d in dims:
-        x = np.array([r["v"] for r in rows if len(r["v"]) == d], np.float64).reshape(-1, d)
+        x = np.array([weigh(np.array(r["v"])) for r in rows if len(r["v"]) == d], np.float64).reshape(-1, d)
         out[d] = np.linalg.svd(x, full_matrices=True)[2] if len(x) else np.eye(d)
     return out
 
@@ -49,8 +52,9 @@ def _pack(names: list[str], size: int):
 
         def block() -> pa.RecordBatch:
             ids = np.array([r[0] for r in held], "<i8")
-            v = np.array([r[1] for r in held], "<i8")
-            top = float(np.sqrt((v.astype(np.float64) ** 2).sum(axis=1)).max())
+            v = np.array([r[1] for r in held], "<f8")
+            with np.errstate(over="ignore"):
+                top = float(np.sqrt((v**2).sum(axis=1)).max())
             return pa.RecordBatch.from_arrays([pa.array([v.shape[1]], pa.int32()), pa.array([top]), pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names)
 
         for b in batches:
@@ -67,22 +71,42 @@ def _pack(names: list[str], size: int):
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best of each row's candidates: highest score, then smallest id."""
-    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    if scores.dtype == object:
+        order = np.array([sorted(range(len(r)), key=lambda i: (-r[i], j[i]))[:k] for r, j in zip(scores.tolist(), ids.tolist(), strict=True)])
+    else:
+        order = np.lexsort((ids, -scores), axis=1)[:, :k]
     return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
+def _whole(v: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as Python integers."""
+    with np.errstate(over="ignore"):
+        scaled = np.rint(v * scale)
+    return np.array([[int(b) if np.isfinite(b) else int(a) * scale for a, b in zip(x, y, strict=True)] for x, y in zip(v.tolist(), scaled.tolist(), strict=True)], object).reshape(v.shape)
+
+
+def _order(score: int) -> bytes:
+    """Bytes in the order of scores; one and the same for all that fit in a long."""
+    if -(1 << 63) <= score < 1 << 63:
+        return b"\x80"
+    size = (score.bit_length() + 8) // 8
+    digits = abs(score).to_bytes(size, "big")
+    return b"\x81" + size.to_bytes(2, "big") + digits if score > 0 else b"\x7f" + bytes(255 - x for x in size.to_bytes(2, "big") + digits)
+
+
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """For each row whose id is divisible by ``every``, the ``k`` rows of highest inner product with it.
 
     Components are floor(scale * x). Returns query_id, rank (from 1), ``id_col`` and score (long); ties go to the smaller id.
-    Fewer candidates than k: all of them. Vectors that are null, empty, or hold a null or non-finite component, null ids, and
-    vectors with a component beyond 2^20 in size after scaling (whose sums might not be exact) take no part; vectors meet
-    only those of as many components. An id names a row: rows of the query's id aren't its candidates, and repeated rows of
+    Fewer candidates than k: all of them. Vectors that are null, empty, or hold a null or non-finite component, and null ids
+    take no part; vectors meet only those of as many components. Scores are exact at any length: a score beyond a long is ranked as
+    any other, and given as null. An id names a row: rows of the query's id aren't its candidates, and repeated rows of
     another id are candidates each; repeated queries give their rows once. Further columns are ignored.
     """
-    v = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    # long components are whole numbers after scaling, and stay as they are so that none overflows
+    v = F.transform(vector_col, lambda x: F.when(F.abs(x.cast("double")) * scale < float(1 << 52), F.floor(x.cast("double") * scale).cast("double") / scale).otherwise(x.cast("double")))
     fine = F.size(vector_col).cast("long") > 0
-    fine &= F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) * scale < float(1 << 20)))
+    fine &= F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     rows = vectors.where(F.col(id_col).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
     rows = staged(rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))), "vectors")
     names = ["dims", "top", "ids", "data"]
@@ -107,42 +131,58 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None
+        least_of = lambda a: BELOW_ALL if a.dtype == object else NOTHING
 
         def out() -> pa.RecordBatch:
             ids, best, found = state["ids"], state["best"], state["found"]
-            real = best > NOTHING
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[real.ravel()]), pa.array(found.ravel()[real.ravel()]), pa.array(best.ravel()[real.ravel()])], ["query_id", "cand", "score"])
+            real = (best > least_of(best)).astype(bool).ravel()
+            scores = [int(x) for x in best.ravel()[real]]
+            order = [_order(x) for x in scores]
+            scores = [x if o == b"\x80" else None for x, o in zip(scores, order, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[real]), pa.array(found.ravel()[real]), pa.array(scores, pa.int64()), pa.array(order, pa.binary())], ["query_id", "cand", "score", "size"])
 
+        np.seterr(over="ignore", invalid="ignore")
         for b in batches:
             for q, s, kind, d, _, ids, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids = np.frombuffer(ids, "<i8")
-                x = np.frombuffer(data, "<i8").reshape(-1, d)
+                raw = np.frombuffer(data, "<f8").reshape(-1, d)
+                x = np.rint(raw * scale)
                 if kind == 0:
                     if state:
                         yield out()
                     axes = turn.value[d]
                     n = max(1, round(d * HEAD))
                     turned = x @ axes.T
-                    state = {"ids": ids, "x": x.astype(np.float64), "head": turned[:, :n], "rest": np.sqrt((turned[:, n:] ** 2).sum(axis=1)), "norm": np.sqrt((turned**2).sum(axis=1)), "axes": axes, "n": n}
+                    state = {"ids": ids, "raw": raw, "x": x, "head": turned[:, :n], "rest": np.sqrt((turned[:, n:] ** 2).sum(axis=1)), "norm": np.sqrt((turned**2).sum(axis=1)), "axes": axes, "n": n}
                     state |= {"best": np.full((len(ids), k), NOTHING), "found": np.zeros((len(ids), k), np.int64)}
                     continue
                 turned = x @ state["axes"].T
                 n, norm = state["n"], np.sqrt((turned**2).sum(axis=1))
-                least = state["best"][:, -1].astype(np.float64)
+                most = float(state["norm"].max() * norm.max())
+                # doubles are exact to 2^53; beyond that scores are Python integers
+                large, huge = not most < 1 << 52, not most < 1e300
+                if large and state["best"].dtype != object:
+                    state["best"] = state["best"].astype(object)
+                    state["best"][state["best"] == NOTHING] = BELOW_ALL
+                nothing = least_of(state["best"])
+                least = np.array([float(t) if abs(t) < 1 << 1000 else math.copysign(math.inf, 1 if t > 0 else -1) for t in state["best"][:, -1].tolist()]) if nothing == BELOW_ALL else state["best"][:, -1].astype(np.float64)
                 slack = 1 + 1e-6 * state["norm"] * norm.max()
-                live = np.flatnonzero(state["norm"] * norm.max() + slack >= least)
+                live = np.arange(len(least)) if huge else np.flatnonzero(state["norm"] * norm.max() + slack >= least)
                 if not len(live):
                     continue
                 rest = np.sqrt((turned[:, n:] ** 2).sum(axis=1))
                 bound = state["head"][live] @ turned[:, :n].T + state["rest"][live][:, None] * rest[None, :]
-                may = bound + slack[live][:, None] >= least[live][:, None]
+                may = np.ones(bound.shape, bool) if huge else bound + slack[live][:, None] >= least[live][:, None]
                 wanted = np.flatnonzero(may.any(axis=0))
                 if not len(wanted):
                     continue
-                # integers below 2^53: exact in doubles
-                score = (state["x"][live] @ x[wanted].astype(np.float64).T).astype(np.int64)
-                score[state["ids"][live][:, None] == ids[wanted][None, :]] = NOTHING
-                if score.shape[1] > k:
+                if large:
+                    score = _whole(state["raw"][live], scale) @ _whole(raw[wanted], scale).T
+                else:
+                    score = (state["x"][live] @ x[wanted].T).astype(np.int64)
+                    score = score.astype(object) if nothing == BELOW_ALL else score
+                score[state["ids"][live][:, None] == ids[wanted][None, :]] = nothing
+                if score.shape[1] > k and nothing == NOTHING:
                     part = np.partition(score, -k, axis=1)[:, -k]
                     rows_, cols = np.nonzero(score >= np.maximum(part, state["best"][live][:, -1])[:, None])
                     many = np.bincount(rows_, minlength=len(live)).max(initial=0)
@@ -155,6 +195,6 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
         if state:
             yield out()
 
-    found = tasks.mapInArrow(search, "query_id long, cand long, score long")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "cand")
+    found = tasks.mapInArrow(search, "query_id long, cand long, score long, size binary")
+    by = Window.partitionBy("query_id").orderBy(F.desc("size"), F.desc("score"), "cand")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", F.col("cand").alias(id_col), "score")

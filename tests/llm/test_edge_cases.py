@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers as P
@@ -269,3 +271,16 @@ def test_folds(spark):
     rows = spark.range(50).select("id", sampling.held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in rows)
     assert spark.createDataFrame([(None,)], "id long").select(sampling.held_out("id").alias("h"), F.lit(1)).first().h is False
+
+
+def test_top_k_of_long_vectors(spark):
+    rng = np.random.default_rng(8)
+    v = [(i, (rng.normal(0, 1, 6) * 10.0 ** (i % 7 * 2)).tolist()) for i in range(300)]
+    v += [(1000 + i, (rng.normal(0, 1, 6) * s).tolist()) for i, s in enumerate((1e17, 1e40, 1e200, 1e306, 1e307))]
+    got = topk.top_k(spark.createDataFrame(v, "vec_id long, embedding array<double>")).collect()
+    e = {i: [math.floor(256 * Fraction(c)) for c in x] for i, x in v}
+    want = []
+    for q in (i for i in e if i % 50 == 0):
+        best = sorted((-sum(a * b for a, b in zip(e[q], e[c], strict=True)), c) for c in e if c != q)[:5]
+        want += [(q, k + 1, c, -s if -(1 << 63) <= -s < 1 << 63 else None) for k, (s, c) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
