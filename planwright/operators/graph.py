@@ -2,35 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from planwright.staging import staged
+from planwright.staging import discard, staged
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an undirected edge table; a component is named by its least node.
 
     Alternating large-star and small-star steps: every round hangs each node's neighbours on the least node known to it, so
-    the number of rounds grows with the logarithm of a component's size. Each round is staged, which keeps plans short
-    and lets a lost executor's part be read again. Loops, repeated edges and null ends are ignored, except that a node whose
-    only edges are loops is its own component.
+    the number of rounds grows with the logarithm of a component's size. The edges are staged once, and so is each round (its count
+    and hash are gathered while it is written); that keeps plans short and lets a lost executor's part be read again. A round
+    goes once the next one is written. Loops, repeated edges and null ends are ignored, except that a node whose only
+    edges are loops is its own component. Raises if ``rounds`` rounds don't end.
     """
-    clean = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    loops = clean.where("u = v").select("u", "v")
-    now = staged(clean.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).union(loops).distinct(), "edges")
-    seen = None
+
+    def kept(found: DataFrame) -> tuple[DataFrame, tuple]:
+        told = Observation()
+        out = staged(found.observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash")), "edges")
+        return out, (told.get["n"], told.get["hash"])
+
+    u, v = F.col(src), F.col(dst)
+    clean = edges.where(u.isNotNull() & v.isNotNull()).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
+    whole, mark = kept(clean.distinct())
+    now, seen = whole.where("u <> v"), None
+    last = None
     for _ in range(rounds):
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        if mark == seen or not mark[0]:
             break
-        seen = mark
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(loops).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).distinct()
-        now = staged(small, "edges")
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.where("u <> v").groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(roots)
+        seen = mark
+        now, mark = kept(small)
+        if last is not None:
+            discard(last)
+        last = now
+    else:
+        raise RuntimeError(f"components are not found after {rounds} rounds")
+    nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v")).union(whole.where("u = v"))
+    return nodes.groupBy("node").agg(F.min("component").alias("component"))

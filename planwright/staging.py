@@ -26,12 +26,26 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def _folder(spark: SparkSession, path: str):
+    """(Hadoop's path, its file system)"""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def staged(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back; Spark removes it when it ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/planwright/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    where, files = _folder(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a staged table that nothing is going to read again."""
+    where, files = _folder(df.sparkSession, df.staged_path)
+    files.delete(where, True)
