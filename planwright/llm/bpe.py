@@ -3,7 +3,8 @@
 For every byte prefix of a piece there is exactly one token that can end its encoding: the token t for which the
 encoding of what is before it ends in a token u such that u and t stand side by side in the encoding of their own
 two strings. ``Prefixes`` stores that last token for each prefix. Reading the chain backwards gives the encoding of
-any prefix; appending bytes only adds entries, and an edit keeps every entry before it.
+any prefix; appending bytes only adds entries, and an edit keeps every entry before it. ``encode_pieces`` fills the same
+tables for many pieces at once, one column for each prefix length.
 """
 
 from __future__ import annotations
@@ -12,26 +13,31 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from planwright.llm.pieces import PieceCache
 
 
-_SHORT = (2, 1)
-
-
 class Vocabulary:
     """Ranks of byte strings: the id of a token is its rank, and a lower rank merges first."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        # by the last three bytes of tokens their lengths, longest first, and those that any string may end with
-        sizes: dict[bytes, set[int]] = {}
-        for t in ranks:
-            if len(t) > 2:
-                sizes.setdefault(t[-3:], {2, 1}).add(len(t))
-        self.sizes = {k: tuple(sorted(x, reverse=True)) for k, x in sizes.items()}
+        # an automaton whose states are the beginnings of tokens: the longest that a string ends with
+        self._heads = {t[:k] for t in ranks for k in range(len(t) + 1)}
+        self._numbers, self._names = {b"": 0}, [b""]
+        #: For each state the (length, token) of the tokens that it ends with, longest first; and as rows of arrays.
+        self.outs: list[tuple[tuple[int, int], ...]] = [()]
+        self.out_rows = np.zeros((4096, 16, 2), np.int32)
+        #: Steps taken so far: state and byte to state (-1: not taken yet).
+        self.steps = np.full((4096, 256), -1, np.int32)
+        self.lengths = np.zeros(max(ranks.values(), default=0) + 1, np.int32)
+        for t, i in ranks.items():
+            self.lengths[i] = len(t)
+        # which tokens stand side by side, by a hash of the two: the pair, and the answer
+        self._pairs, self._answers = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
         self.strings = {v: k for k, v in ranks.items()}
         self._beside: dict[tuple[int, int], bool] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
@@ -52,6 +58,50 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def step(self, state: int, byte: int) -> int:
+        """The state after one more byte."""
+        to = int(self.steps[state, byte])
+        if to < 0:
+            name = self._names[state] + bytes((byte,))
+            while name not in self._heads:
+                name = name[1:]
+            to = self._numbers.get(name, -1)
+            if to < 0:
+                to = self._numbers[name] = len(self._names)
+                self._names.append(name)
+                found = tuple((k, self.ranks[name[-k:]]) for k in range(len(name), 0, -1) if name[-k:] in self.ranks)
+                self.outs.append(found)
+                if to == len(self.steps):
+                    self.steps = np.concatenate([self.steps, np.full_like(self.steps, -1)])
+                    self.out_rows = np.concatenate([self.out_rows, np.zeros_like(self.out_rows)])
+                if len(found) > self.out_rows.shape[1]:
+                    self.out_rows = np.concatenate([self.out_rows, np.zeros((len(self.out_rows), len(found), 2), np.int32)], axis=1)
+                if found:
+                    self.out_rows[to, : len(found)] = found
+            self.steps[state, byte] = to
+        return to
+
+    def step_all(self, states: np.ndarray, data: np.ndarray) -> np.ndarray:
+        to = self.steps[states, data]
+        new = to < 0
+        if new.any():
+            for x in np.unique(states[new].astype(np.int64) << 8 | data[new]).tolist():
+                self.step(x >> 8, x & 255)
+            to = self.steps[states, data]
+        return to
+
+    def beside_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``beside`` of many pairs."""
+        pair = a.astype(np.int64) << 32 | b
+        at = (pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+        out, new = self._answers[at], self._pairs[at] != pair
+        if new.any():
+            own, back = np.unique(pair[new], return_inverse=True)
+            told = np.array([self.beside(x >> 32, x & 0xFFFFFFFF) for x in own.tolist()])
+            out[new] = told[back]
+            self._pairs[at[new]], self._answers[at[new]] = pair[new], out[new]
+        return out
+
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for one byte and for a string that merges don't reach."""
         if token not in self._halves:
@@ -101,20 +151,20 @@ class Prefixes:
     """A growing byte string with the last token of each of its prefixes."""
 
     def __init__(self, vocabulary: Vocabulary, text: bytes = b""):
-        self.vocabulary, self.text, self.last = vocabulary, b"", [-1]
+        self.vocabulary, self.text, self.last, self.states = vocabulary, b"", [-1], [0]
         self.append(text)
 
     def append(self, more: bytes) -> None:
         """Exact: entries of earlier prefixes stand."""
-        start = len(self.text)
         self.text += more
-        for end in range(start + 1, len(self.text) + 1):
-            self.last.append(last_token(self.vocabulary, self.text, end, self.last))
+        for byte in more:
+            self.states.append(self.vocabulary.step(self.states[-1], byte))
+            self.last.append(last_token(self.vocabulary, self.states[-1], len(self.last), self.last))
 
     def replace(self, begin: int, end: int, new: bytes) -> None:
         """Put ``new`` in place of text[begin:end]; only prefixes that end after ``begin`` are computed again."""
         tail = new + self.text[end:]
-        self.text, self.last = self.text[:begin], self.last[: begin + 1]
+        self.text, self.last, self.states = self.text[:begin], self.last[: begin + 1], self.states[: begin + 1]
         self.append(tail)
 
     def ids(self, end: int | None = None) -> list[int]:
@@ -126,57 +176,60 @@ class Prefixes:
         return out[::-1]
 
 
-def last_token(v: Vocabulary, text: bytes, end: int, last: list[int]) -> int:
-    """The one token that can end the encoding of text[:end], given those of all shorter prefixes."""
-    get, known = v.ranks.get, v._beside
-    sizes = v.sizes.get(text[end - 3 : end], _SHORT) if end > 2 else _SHORT
-    for size in sizes:
-        begin = end - size
-        if begin < 0:
-            continue
-        t = get(text[begin:end])
-        if t is not None:
-            if not begin:
-                return t
-            kept = known.get((last[begin], t))
-            if kept or kept is None and v.beside(last[begin], t):
-                return t
-    raise ValueError(f"byte {text[end - 1]} has no token")
-
-
-class PrefixStore:
-    """The last tokens of all prefixes of the short pieces seen so far; pieces share what their common prefix has."""
-
-    LONGEST, LIMIT = 48, 400_000
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-        self.last: dict[bytes, int] = {}
-
-    def ids(self, piece: bytes) -> list[int]:
-        v, stored, n = self.vocabulary, self.last, len(piece)
-        t = v.ranks.get(piece)
-        if t is not None:
-            return [t]
-        if n > self.LONGEST:
-            return Prefixes(v, piece).ids()
-        if len(stored) > self.LIMIT:
-            stored.clear()
-        known = n - 1
-        while known and piece[:known] not in stored:
-            known -= 1
-        last = [-1] * (known + 1)
-        for k in range(1, known + 1):
-            last[k] = stored[piece[:k]]
-        for end in range(known + 1, n + 1):
-            t = last_token(v, piece, end, last)
-            last.append(t)
-            stored[piece[:end]] = t
-        out, strings = [], v.strings
-        while n:
-            out.append(last[n])
-            n -= len(strings[out[-1]])
-        return out[::-1]
+def last_token(v: Vocabulary, state: int, end: int, last: list[int]) -> int:
+    """The one token that can end the encoding of a string's first ``end`` bytes, after which the automaton is in ``state``, given those of all shorter prefixes."""
+    known = v._beside
+    for size, t in v.outs[state]:
+        if size == end:
+            return t
+        before = last[end - size]
+        kept = known.get((before, t))
+        if kept or kept is None and v.beside(before, t):
+            return t
+    raise ValueError(f"byte {end - 1} has no token")
+
+
+#: Pieces of more bytes are encoded one by one.
+LONGEST = 48
+
+
+def encode_pieces(v: Vocabulary, pieces: list[bytes]) -> list[list[int]]:
+    """The encoding of each piece."""
+    out = [[t] if (t := v.ranks.get(p)) is not None or not p else None if len(p) <= LONGEST else Prefixes(v, p).ids() for p in pieces]
+    rows = sorted((k for k, x in enumerate(out) if x is None), key=lambda k: -len(pieces[k]))
+    for lo in range(0, len(rows), 32_768):
+        part = rows[lo : lo + 32_768]
+        size = np.array([len(pieces[k]) for k in part])
+        longest = int(size[0])
+        data = np.frombuffer(b"".join([pieces[k].ljust(longest, b"\0") for k in part]), np.uint8).reshape(len(part), longest)
+        last = np.zeros((len(part), longest + 1), np.int32)
+        state = np.zeros(len(part), np.int32)
+        alive = np.searchsorted(-size, -np.arange(longest + 1), side="right")  # rows of so many bytes, which come first
+        for end in range(1, longest + 1):
+            n = alive[end]
+            state = v.step_all(state[:n], data[:n, end - 1])
+            left, rank = np.arange(n), 0
+            while len(left):
+                if rank == v.out_rows.shape[1] or not (found := v.out_rows[state[left], rank])[:, 0].all():
+                    raise ValueError("a byte has no token")
+                begin, t = end - found[:, 0], found[:, 1]
+                good = begin == 0
+                inner = np.flatnonzero(~good)
+                good[inner] = v.beside_all(last[left[inner], begin[inner]], t[inner])
+                last[left[good], end] = t[good]
+                left, rank = left[~good], rank + 1
+        at, chain, row = size.copy(), [], np.arange(len(part))
+        while len(row):
+            t = last[row, at[row]]
+            chain.append((row, t))
+            at[row] -= v.lengths[t]
+            row = row[at[row] > 0]
+        row, t = (np.concatenate([c[i] for c in reversed(chain)]) for i in (0, 1))
+        by = np.argsort(row, kind="stable")
+        t, cuts = t[by].tolist(), np.searchsorted(row[by], np.arange(len(part) + 1)).tolist()
+        for k, a, z in zip(part, cuts, cuts[1:], strict=False):
+            out[k] = t[a:z]
+    return out
 
 
 def decode(vocabulary: Vocabulary, ids: list[int]) -> bytes:
@@ -188,24 +241,36 @@ class TextCoder:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary = vocabulary
-        self.prefixes = PrefixStore(vocabulary)
-        self.cache = PieceCache(pattern, self._piece, self._join)
+        self.decimal = {i: str(i) for i in vocabulary.strings}
+        self.cache = PieceCache(pattern, self._pieces, self._join)
 
-    def _piece(self, piece: str) -> tuple[str, bytes]:
-        ids = self.prefixes.ids(piece.encode("utf-8", "replace"))
-        return " ".join(map(str, ids)), decode(self.vocabulary, ids)
+    def _pieces(self, pieces: list[str]) -> list[tuple[str, bytes]]:
+        ids, name, text = encode_pieces(self.vocabulary, [p.encode("utf-8", "replace") for p in pieces]), self.decimal.__getitem__, self.vocabulary.strings.__getitem__
+        return [(" ".join(map(name, x)), b"".join(map(text, x))) for x in ids]
 
     @staticmethod
     def _join(parts: list[tuple[str, bytes]]) -> tuple[str, bytes]:
         return " ".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
 
-    def digests(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the decimal ids joined by one space, SHA-256 of the decoded bytes."""
-        ids, out = self._join(self.cache.values(text))
-        return ids.count(" ") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(out).hexdigest()
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """Of each text: number of ids, SHA-256 of the decimal ids joined by one space, SHA-256 of the decoded bytes."""
+        out = []
+        for values in self._values(texts):
+            ids, text = self._join(values)
+            out.append((ids.count(" ") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text).hexdigest()))
+        return out
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [[int(i) for x in values for i in x[0].split()] for values in self._values(texts)]
 
-    def encode(self, text: str) -> list[int]:
-        return [int(i) for x in self.cache.values(text) for i in x[0].split()]
+    def _values(self, texts: list[str]) -> Iterator[list[tuple[str, bytes]]]:
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and (to == at or size < 2_000_000):
+                size, to = size + len(texts[to]), to + 1
+            yield from self.cache.values(texts[at:to])
+            at = to
 
 
 _coders: dict[tuple[str, str], TextCoder] = {}
@@ -232,10 +297,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                n, ids, out = zip(*map(c.digests, texts), strict=True)
+                n, ids, out = zip(*c.digests(texts), strict=True)
                 columns = [part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(out)]
                 if with_ids:
-                    columns.append(pa.array([c.encode(t) for t in texts], pa.list_(pa.int32())))
+                    columns.append(pa.array(c.encode(texts), pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
