@@ -7,6 +7,7 @@ sequence of its bucket's length, so no sequence crosses documents and none is pa
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -14,11 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planwright.llm.pieces import PieceCache
-
 LONGEST, END_ID = 2048, 1
 
 
@@ -35,8 +35,25 @@ def byte_names() -> dict[int, str]:
     return {b: chr(256 + hidden.index(b)) if b in hidden else chr(b) for b in range(256)}
 
 
+def ranks_of(tokenizer_path: str) -> dict[bytes, int] | None:
+    """The ids of a byte-level vocabulary file by byte string, if they also tell the order of its merges; else None."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        told = json.load(f)
+    model, bytes_of = told["model"], {c: b for b, c in byte_names().items()}
+    added = {t["content"] for t in told.get("added_tokens", ())}
+    plain = {t: i for t, i in model["vocab"].items() if t not in added}
+    merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model.get("merges", ())]
+    order = [plain.get(m, -1) for m in merges]
+    whole = not any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "dropout", "byte_fallback"))
+    single = set(bytes_of) <= set(plain) and len(plain) == 256 + len(merges)
+    steps = (told.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not told["pre_tokenizer"].get("add_prefix_space") and not told.get("normalizer")
+    if not (whole and single and steps and order == sorted(set(order)) and all(set(t) <= set(bytes_of) for t in plain)):
+        return None
+    return {bytes(bytes_of[c] for c in t): i for t, i in plain.items()}
+
+
 class IdStream:
-    """The tokenizer's ids of whole texts, with the pieces between which it never merges kept."""
+    """The tokenizer's ids of whole texts; where its vocabulary allows, by a coder that merges by rank and gives the same ids."""
 
     def __init__(self, tokenizer_path: str, pattern: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -44,23 +61,14 @@ class IdStream:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.names = byte_names()
-        self.tokenize = self.tokenizer.model.tokenize
-        self.cache = PieceCache(pattern, self._piece, b"".join)
-
-    def _piece(self, piece: str) -> bytes:
-        if piece.isascii() and piece[1:].isalpha():
-            name = piece.replace(" ", self.names[32])
-        else:
-            name = piece.encode("utf-8", "replace").decode("latin-1").translate(self.names)
-        return array("I", [t.id for t in self.tokenize(name)]).tobytes()
+        ranks = ranks_of(tokenizer_path)
+        self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ranks else None
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the text."""
-        for s in self.specials:
-            if s in text:
-                return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(self.cache.values(text))
+        if self.encode is None or any(s in text for s in self.specials):
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.encode(text)).tobytes()
 
 
 _streams: dict[tuple[str, str], IdStream] = {}
