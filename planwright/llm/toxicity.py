@@ -7,18 +7,22 @@ the plain one. Landmarks are units of both kinds from the labelled texts; the ma
 landmarks, whitened by the inverse root of the landmarks' own kernel. As such a machine's value is an inner product
 with one vector over the space of subsequences, that vector is worked out once and long texts are scored in one pass.
 
-A text's value is that of its most toxic unit. Labels are of whole texts: the units of clean texts are all negative, and a
-toxic text's units count as positive where they come back among ever different neighbours in toxic texts and not in clean ones.
+A text is judged by the values of its units: the highest three, how many are above zero, and how many units there are. Labels
+are of whole texts: which units speak for toxic texts is found by strings of letters that come back in ever different
+toxic texts far more often than the share of toxic texts explains. Scores are fitted on values from machines that
+haven't seen the text.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import nlargest
 from itertools import combinations
+from math import log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -28,22 +32,23 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from planwright.llm.sampling import SAMPLE_TEXT_BYTES, held_out, learnable
 
-DECAY, SHORTEST, LONGEST = 0.6, 4, 20
-LANDMARKS, SAMPLE_DOCS, THRESHOLD = 256, 1200, 0.3
+DECAY, SHORTEST, LONGEST = 0.6, 3, 20
+LANDMARKS, SAMPLE_DOCS, THRESHOLD = 192, 1200, 0.3
+#: Classes of characters: a to z, digits, marks, and other letters by their code point.
+BASE, DIGIT, MARK, OTHERS = 48, 27, 28, 29
 
 _SPACED = re.compile(r"(?<!\S)(?:\w[ .\-_*]){3,}\w(?!\w)")
 _WORD = re.compile(r"\S+")
 
 
 def _plain(ch: str) -> int:
-    """1-26: a to z of either case; 27-29: other letters, by their base letter's kind; 30: everything else; 31: digits."""
+    """a to z of either case; digits; other letters by a hash of their lower case; everything else."""
     low = ch.lower()[0]
     if "a" <= low <= "z":
         return ord(low) - 96
-    base = unicodedata.normalize("NFKD", low)[0]
-    if base.isalpha():
-        return 27 if base in "aei" else 28 if base in "ou" else 29
-    return 31 if base.isdigit() else 30
+    if low.isalpha():
+        return OTHERS + ord(low) % (BASE - OTHERS)
+    return DIGIT if low.isdigit() else MARK
 
 
 class _Codes(dict):
@@ -57,10 +62,10 @@ _LETTER = re.compile(r"\w")
 
 
 def units(words: list[str]) -> dict[str, list[str]]:
-    """For each word its units: strings over the 31 classes (as characters from A on), cut at LONGEST with half overlap."""
+    """For each word its units: strings over the classes of characters (from @ on), cut at LONGEST with half overlap."""
     out = {}
     for w in words:
-        u = w.translate(_CODES).strip("^")  # "^" is class 30: marks at either end
+        u = w.translate(_CODES).strip(chr(64 + MARK))
         if len(u) < SHORTEST:
             out[w] = []
         elif len(u) <= LONGEST:
@@ -87,7 +92,7 @@ def subsequences(group: list[str]) -> tuple[np.ndarray, np.ndarray]:
     c = _table(group)
     triples = list(combinations(range(c.shape[1]), 3))
     i, j, k = np.array(triples).T
-    return (c[:, i] * 32 + c[:, j]) * 32 + c[:, k], (DECAY ** (k - i + 1)).astype(np.float32)
+    return (c[:, i] * BASE + c[:, j]) * BASE + c[:, k], (DECAY ** (k - i + 1)).astype(np.float32)
 
 
 def norms(group: list[str]) -> np.ndarray:
@@ -109,10 +114,9 @@ def norms(group: list[str]) -> np.ndarray:
 
 @dataclass
 class Machine:
-    direction: np.ndarray  # over the 32768 subsequences
+    direction: np.ndarray  # over the subsequences
     constant: float
-    slope: float
-    offset: float
+    weights: np.ndarray | None = None  # of a text's features
 
     def values(self, found: list[str]) -> np.ndarray:
         """The machine's value of each unit."""
@@ -127,13 +131,27 @@ class Machine:
                 out[at[lo : lo + 4096]] = (self.direction[c] @ w) / norms(part) + self.constant
         return out
 
-    def score(self, value: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * value + self.offset, -30, 30)))
+    def score(self, found: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(found @ self.weights, -30, 30)))
+
+
+#: The value of a text that lacks units, and the value beyond which a unit is counted.
+NOTHING, CLEAR = -2.0, 0.6
+
+
+def text_features(values: list[float]) -> list[float]:
+    """Of a text whose distinct units have these values: the highest three within bounds, how many are clear, and how many there are."""
+    top = sorted(nlargest(3, values), reverse=True)
+    top += [NOTHING] * (3 - len(top))
+    out = [1.0, *(min(1.0, max(-0.5, v)) for v in top), 0.0, log1p(len(values))]
+    if top[0] > CLEAR:
+        out[4] = log1p(sum(v > CLEAR for v in values))
+    return out
 
 
 def vectors(found: list[str]) -> np.ndarray:
-    """Normalised subsequence vectors [32768, unit] of a few units."""
-    out = np.zeros((32768, len(found)), np.float32)
+    """Normalised subsequence vectors [subsequence, unit] of a few units."""
+    out = np.zeros((BASE**3, len(found)), np.float32)
     for k, u in enumerate(found):
         c, w = subsequences([u])
         np.add.at(out[:, k], c[0], w / norms([u])[0])
@@ -177,56 +195,142 @@ def _machine(z: np.ndarray, found: list[str], label: np.ndarray, weight: np.ndar
     return (z @ (white @ w[:-1])).astype(np.float32), float(w[-1])
 
 
-def train(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS) -> Machine | None:
-    """None if there are no units that mark toxic texts."""
-    per = {}
-    for t in {*toxic, *clean}:
-        words = text_words(t)
-        cut = units(list(set(words)))
-        per[t] = [u for w in words for u in cut[w]]
-    negative = Counter(u for t in set(clean) for u in set(per[t]))
-    beside: dict[str, set] = defaultdict(set)
-    texts: Counter = Counter()
-    for t in sorted(set(toxic)):
-        found = per[t]
-        for k, u in enumerate(found):
-            if u not in negative:
+def _distinct_texts(per: list[list[str]]) -> list[int]:
+    """Texts that aren't near copies of ones before: of each the least hashes of two units side by side are kept."""
+    seen: dict[int, set[int]] = defaultdict(set)
+    out = []
+    for k, units_ in enumerate(per):
+        least = sorted({zlib.crc32(f"{a} {b}".encode()) for a, b in zip(units_, units_[1:], strict=False)})[:32]
+        met = Counter(t for h in least for t in seen[h])
+        if not met or max(met.values()) < max(2, len(least) // 4):
+            out.append(k)
+        for h in least:
+            seen[h].add(k)
+    return out
+
+
+def _strings(unit: str, sizes: tuple[int, ...] = (4, 5, 6, 7)) -> set[str]:
+    """Strings of letters that a unit holds; at its ends its border counts as a letter."""
+    whole = f"<{unit}>"
+    return {whole[i : i + n] for n in sizes for i in range(len(whole) - n + 1)} | {whole}
+
+
+class _Evidence:
+    """For each text the strings that one, two and three or more of its units hold; only strings of three or more toxic texts."""
+
+    def __init__(self, toxic: list[list[str]], clean: list[list[str]]):
+        first: Counter = Counter()
+        for found in toxic:
+            first.update({g for u in set(found) for g in _strings(u)})
+        number = {g: i for i, g in enumerate(sorted(g for g, n in first.items() if n >= 3))}
+        self.size, self.of = len(number), {}
+        none = np.zeros(0, np.int64)
+        self.levels = []
+        for texts in (clean, toxic):
+            rows = []
+            for found in texts:
+                for u in (own := set(found)):
+                    if u not in self.of:
+                        self.of[u] = np.array([number[g] for g in _strings(u) if g in number], np.int64)
+                held, times = np.unique(np.concatenate([none, *(self.of[u] for u in own)]), return_counts=True)
+                rows.append([held[times > level] for level in range(3)])
+            self.levels.append(rows)
+        self.toxic, self.novel = toxic, set(_distinct_texts(toxic))
+
+    def marks(self, toxic: list[int], clean: list[int]) -> Counter:
+        """Units of these toxic texts that hold a telling string, with the number of the texts that they are in.
+
+        Of the texts of which so many units hold a string, are there more toxic ones than their share explains? Told by a binomial tail,
+        with as many tries as there are strings.
+        """
+        toxic = [k for k in toxic if k in self.novel]
+        share = len(toxic) / max(1, len(toxic) + len(clean))
+        telling = np.zeros(self.size, bool)
+        for level in range(3):
+            no, yes = (np.bincount(np.concatenate([np.zeros(0, np.int64), *(self.levels[kind][k][level] for k in of)]), minlength=self.size) for kind, of in ((0, clean), (1, toxic)))
+            tried = np.flatnonzero(yes >= 3)
+            for g, k, n in zip(tried.tolist(), yes[tried].tolist(), (yes + no)[tried].tolist(), strict=True):
+                if k > 2 * share * n and log(len(tried)) + _tail(n, k, share) < log(0.05):
+                    telling[g] = True
+        beside: dict[str, set] = defaultdict(set)
+        texts_of: Counter = Counter()
+        for found in (self.toxic[k] for k in toxic):
+            for k, u in enumerate(found):
                 beside[u].add((found[k - 1] if k else "", found[k + 1] if k + 1 < len(found) else ""))
-        texts.update({u for u in found if u not in negative})
-    # a passage that several toxic texts copy has the same neighbours each time
-    marks = sorted((u for u, n in texts.items() if n >= 3 and len(beside[u]) >= max(3, 0.6 * n)), key=lambda u: (-texts[u], u))[:600]
+            texts_of.update(set(found))
+        # a passage that several texts copy has the same neighbours each time
+        return Counter({u: n for u, n in texts_of.items() if len(beside[u]) >= 0.6 * n and telling[self.of[u]].any()})
+
+
+def _tail(n: int, k: int, p: float) -> float:
+    """Logarithm of the chance of k or more of n at ``p`` each (a bound by relative entropy)."""
+    q = k / n
+    return -n * (q * log(q / p) + ((1 - q) * log((1 - q) / (1 - p)) if q < 1 else 0.0))
+
+
+def _fit(toxic: list[list[str]], clean: list[list[str]], marks: Counter, landmarks: int) -> Machine | None:
+    negative = Counter(u for found in clean for u in set(found))
     if not marks or not negative:
         return None
+    positive = sorted(marks, key=lambda u: (-marks[u], u))
     common = sorted(negative, key=lambda u: (-negative[u], u))
-    against = common[:: max(1, len(common) // 3000)]
+    against = list(dict.fromkeys(common[:: max(1, len(common) // 2000)] + [u for u in positive if u in negative]))
     half = landmarks // 2
-    z = vectors(marks[:half] + against[:: max(1, len(against) // half)][:half])
-    for _ in range(3):
-        found = marks + against
-        # a mark weighs as many texts as it marks; unmarked units count alike
-        weight = np.array([float(texts[u]) for u in marks] + [1.0] * len(against))
-        machine = Machine(*_machine(z, found, np.arange(len(found)) < len(marks), weight), 1.0, 0.0)
+    z = vectors(positive[:half] + against[:: max(1, len(against) // half)][:half])
+    for _ in range(2):
+        found = positive + against
+        # a mark weighs as many texts as it is in; so do clean units, but in proportion to the kinds' texts
+        weight = np.array([float(marks[u]) for u in positive] + [1.0 + (negative[u] * len(toxic) / max(1, len(clean)) if u in marks else 0.0) for u in against])
+        machine = Machine(*_machine(z, found, np.arange(len(found)) < len(positive), weight))
         value = machine.values(common)
-        against = list(dict.fromkeys(against + [common[k] for k in np.argsort(-value, kind="stable")[:700]]))
-    top = [np.array([max(machine.values(list(set(per[t]))), default=-2.0) for t in x]) for x in (toxic, clean)]
-    x, y = np.concatenate(top), np.concatenate([np.ones(len(toxic)), np.zeros(len(clean))])
-    machine.slope, machine.offset = _sigmoid(x, y)
+        against = list(dict.fromkeys(against + [common[k] for k in np.argsort(-value, kind="stable")[:1000]]))
+    return machine
+
+
+def train(toxic: list[str], clean: list[str], share: float | None = None, landmarks: int = LANDMARKS, folds: int = 3) -> Machine | None:
+    """None if no units speak for toxic texts. ``share`` is that of toxic texts where the samples were drawn from."""
+    groups = []
+    for texts in (toxic, clean):
+        texts = sorted(set(texts), key=lambda t: (zlib.crc32(t.encode("utf-8", "replace")), t))
+        cut = [text_words(t) for t in texts]
+        of = units(list({w for words in cut for w in words}))
+        groups.append([[u for w in words for u in of[w]] for words in cut])
+    evidence = _Evidence(*groups)
+
+    def machine_of(chosen: list[list[int]]) -> Machine | None:
+        return _fit(*([g[k] for k in c] for g, c in zip(groups, chosen, strict=True)), evidence.marks(*chosen), landmarks)
+
+    machine = machine_of([list(range(len(g))) for g in groups])
+    if machine is None:
+        return None
+    rows, label = [], []
+    for fold in range(folds):
+        other = machine_of([[k for k in range(len(g)) if k % folds != fold] for g in groups]) or machine
+        for kind, g in ((1.0, groups[0]), (0.0, groups[1])):
+            own = g[fold::folds]
+            distinct = list({u for x in own for u in x})
+            value = dict(zip(distinct, other.values(distinct).tolist(), strict=True))
+            rows += [text_features([value[u] for u in set(x)]) for x in own]
+            label += [kind] * len(own)
+    machine.weights = _logistic(np.array(rows), np.array(label), len(groups[0]) / max(1, sum(map(len, groups))) if share is None else share)
     return machine
 
 
-def _sigmoid(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset that make the value a probability (classes count alike)."""
-    weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+def _logistic(x: np.ndarray, y: np.ndarray, share: float, penalty: float = 2e-4) -> np.ndarray:
+    """Weights that make features a probability, where a ``share`` of all is toxic."""
+    weight = np.where(y > 0, share / max(1.0, y.sum()), (1 - share) / max(1.0, (1 - y).sum()))
     y = np.where(y > 0, 0.98, 0.02)
-    m, w = np.stack([x, np.ones_like(x)], axis=1), np.array([1.0, 0.0])
+    w = np.zeros(x.shape[1])
+    ridge = np.full(x.shape[1], penalty)
+    ridge[0] = 1e-6
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(m @ w, -30, 30)))
-        h = (m.T * (weight * p * (1 - p))) @ m + 1e-4 * np.eye(2)
-        step = np.linalg.solve(h, m.T @ (weight * (p - y)) + 1e-4 * w)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x.T * (weight * p * (1 - p))) @ x + np.diag(ridge)
+        step = np.linalg.solve(h, x.T @ (weight * (p - y)) + ridge * w)
         w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
-    return float(max(w[0], 0.0)), float(w[1])
+    return w
 
 
 class Scorer:
@@ -253,26 +357,28 @@ class Scorer:
         value, at = self.machine.values(flat).tolist(), 0
         for w in new:
             n = len(cut[w])
-            self.now[w] = max(value[at : at + n]) if n else -2.0
+            self.now[w] = max(value[at : at + n]) if n else None
             at += n
         get = self.now.__getitem__
-        return self.machine.score(np.array([max(map(get, x), default=-2.0) for x in distinct]))
+        return self.machine.score(np.array([text_features([v for v in map(get, x) if v is not None]) for x in distinct]).reshape(len(texts), -1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS) -> Machine | None:
-    """Train on about ``sample_docs`` labelled rows of either kind outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS, sample_text_bytes: int = SAMPLE_TEXT_BYTES) -> Machine | None:
+    """Train on about ``sample_docs`` labelled rows of either kind outside the held-out fold; texts of over ``sample_text_bytes`` aren't drawn."""
     marked = labels.where(learnable(id_col)).select(id_col, label_col).where(f"`{label_col}` in (0, 1)").distinct()
     counts = {r[0]: r[1] for r in marked.groupBy(label_col).count().collect()}
     # ids are drawn before texts are looked up, so no text is shuffled; the drawn ids are about twice the sample at most
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30))
     share = F.coalesce(*[F.when(F.col(label_col) == c, min(1.0, 1.2 * sample_docs / n) * (1 << 30)) for c, n in counts.items()], F.lit(0.0))
     drawn = marked.withColumn("_draw", draw).where(F.col("_draw") < share)
-    rows = docs.where(F.octet_length(text_col) <= SAMPLE_TEXT_BYTES).select(id_col, text_col).join(F.broadcast(drawn), id_col)
+    rows = docs.where(F.octet_length(text_col) <= sample_text_bytes).select(id_col, text_col).join(F.broadcast(drawn), id_col)
+    # equal rows count once, so a text that is repeated ever so often is sent once
+    rows = rows.groupBy(label_col, "_draw", F.sha2(text_col, 256)).agg(F.first(text_col).alias("text"))
     found: dict[int, list[tuple[int, str]]] = {0: [], 1: []}
-    for label, order, text in rows.select(label_col, "_draw", text_col).collect():
+    for label, order, text in rows.select(label_col, "_draw", "text").collect():
         found[label].append((order, text))
     toxic, clean = ([t for _, t in sorted(found[c])[:sample_docs]] for c in (1, 0))
-    return train(toxic, clean)
+    return train(toxic, clean, counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
