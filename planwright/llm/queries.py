@@ -50,8 +50,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the text that is left."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffixdedup.remove_repeats(docs)
+    return suffixdedup.remove_repeats(docs, with_text=True)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,19 +207,25 @@ def repeated(group: list[tuple[int, Entry]], length: int) -> Iterator[tuple[int,
     entries = [group[i][1] for i in firsts]
     alone = {group[i][1][2:4] for i in single}
     if len(entries) == 2:
-        pairs = [(prefix[1], 0, shared(entries[0][1], entries[1][1])), (prefix[1], 1, shared(entries[0][1], entries[1][1]))]
+        left = shared(entries[0][1], entries[1][1])
+        levels = [(prefix[1], np.array([left, left]))]
     else:
-        pairs = _best_left(prefix, [e[1] for e in entries])
-    for k, i, left in pairs:
-        _, _, tid, at, first, last = entries[i]
-        if (tid, at) in alone:
-            far, near = min(left, at - first), max(length - k, at - last)
-            if near <= far:
-                yield tid, at - far, at - near + length
-
-
-def _best_left(prefix: list[int], lefts: list[bytes]) -> Iterator[tuple[int, int, int]]:
-    """For each level of common prefixes to the right: (level, entry, longest common left context with another that shares it)."""
+        levels = _best_left(prefix, [e[1] for e in entries])
+    at, most, least = (np.array(x) for x in zip(*((e[3], e[3] - e[4], e[3] - e[5]) for e in entries), strict=True))
+    begin, end = at.copy(), at.copy()
+    for level, left in levels:
+        far, near = np.minimum(left, most), np.maximum(length - level, least)
+        good = near <= far  # such a run covers its anchor, so all runs of one anchor make one interval
+        begin[good] = np.minimum(begin[good], (at - far)[good])
+        end[good] = np.maximum(end[good], (at - near)[good] + length)
+    for i in np.flatnonzero(end > begin).tolist():
+        if entries[i][2:4] in alone:
+            yield entries[i][2], int(begin[i]), int(end[i])
+
+
+def _best_left(prefix: list[int], lefts: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each level of common prefixes to the right: the level, and each entry's longest common left context with another that
+    shares it (-1: no other does)."""
     order = sorted(range(len(lefts)), key=lefts.__getitem__)
     common = np.array([0] + [shared(lefts[a], lefts[b]) for a, b in zip(order, order[1:], strict=False)])
     rank = np.empty(len(order), np.int64)
@@ -245,8 +251,7 @@ def _best_left(prefix: list[int], lefts: list[bytes]) -> Iterator[tuple[int, int
         best = np.full(len(prefix), -1)
         np.maximum.at(best, by[near], least)
         np.maximum.at(best, by[near + 1], least)
-        for i in np.flatnonzero(best >= 0).tolist():
-            yield level, i, int(best[i])
+        yield level, best
 
 
 def _spans(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
