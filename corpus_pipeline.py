@@ -15,6 +15,10 @@ from planwright.sources.tables import table
 from planwright.staging import staged
 
 
+#: Fifty words of three letters and the space after each: repeats that are shorter are no passage.
+PASSAGE_BYTES = 200
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return quality.judge_quality(docs).where("quality_keep").select(*docs.columns)
@@ -34,7 +38,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of repeated passages go; documents of which nothing is left go too."""
-    left = suffixdedup.remove_repeats(docs, with_text=True)
+    left = suffixdedup.remove_repeats(docs, length=PASSAGE_BYTES, with_text=True)
     changed = left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
     return changed.where("n_removed = 0 or n_removed < n_bytes").select(*docs.columns)
 
