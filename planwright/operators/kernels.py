@@ -289,3 +289,32 @@ def polygonise(segments: DataFrame, key: str, least: float = 0.1, digits: int =
 
     kind = segments.schema[key].dataType.simpleString()
     return segments.groupBy(key).applyInPandas(run, f"`{key}` {kind}, area double, cx double, cy double, points int")
+
+
+def kmeans_chunks(nodes: DataFrame, key: str, per_chunk: int = 30, rounds: int = 50) -> DataFrame:
+    """(key, node, chunk): each layout's nodes (columns node, x, y) by k-means, k = nodes / ``per_chunk`` rounded up, 2 at least.
+
+    Centres begin at nodes that are farthest from those taken before, from the node of least number on, so the result is always the same.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node")
+        xy = group[["x", "y"]].to_numpy(float)
+        k = min(len(xy), max(2, -(-len(xy) // per_chunk)))
+        centres, far = [xy[0]], ((xy - xy[0]) ** 2).sum(axis=1)
+        while len(centres) < k:
+            centres.append(xy[far.argmax()])
+            far = np.minimum(far, ((xy - centres[-1]) ** 2).sum(axis=1))
+        c, own = np.array(centres), None
+        for _ in range(rounds):
+            new = np.concatenate([((xy[lo : lo + 4096, None] - c) ** 2).sum(axis=2).argmin(axis=1) for lo in range(0, len(xy), 4096)])
+            if own is not None and (new == own).all():
+                break
+            own = new
+            n = np.bincount(own, minlength=k)
+            mean = np.stack([np.bincount(own, xy[:, i], minlength=k) for i in (0, 1)], axis=1) / np.maximum(n, 1)[:, None]
+            c = np.where(n[:, None] > 0, mean, c)
+        return pd.DataFrame({key: group[key].iloc[0], "node": group["node"], "chunk": own.astype("int32")})
+
+    kind = nodes.schema[key].dataType.simpleString()
+    return nodes.groupBy(key).applyInPandas(run, f"`{key}` {kind}, node long, chunk int")

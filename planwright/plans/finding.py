@@ -56,7 +56,7 @@ def q11_aspect_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _priors(spark, sf_dir).select("p_partkey", F.round(aspect_bonus(F.col("e"), F.col("plan"), F.col("strip")), 6).alias("bonus"))
 
 
-_COUNTED = drawing_sql("regions", "entities") + """, c AS (SELECT region_id, x0 - 60 AS a, y0 - 60 AS b, x0 + w + 60 AS c, y0 + h + 60 AS d FROM regions WHERE region_id % 50 = 0),
+_COUNTED = drawing_sql("regions", "entities") + """, c AS (SELECT region_id, x0 - 60 AS a, y0 - 60 AS b, x0 + w + 60 AS c, y0 + h + 60 AS d FROM regions),
 n AS (SELECT region_id, any_value(c.c - c.a) AS bw, any_value(c.d - c.b) AS bh, count(e.entity_id) AS n FROM c LEFT JOIN entities e ON e.x BETWEEN c.a AND c.c AND e.y BETWEEN c.b AND c.d GROUP BY region_id)"""
 
 
@@ -69,7 +69,7 @@ def q12_candidate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def k11_k12_frame_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 120 best of each file by fill, squareness and area, then suppressed at IoU 0.85; scored with the aspect bonus."""
-    r = drawing(spark, sf_dir, "regions").where("region_id % 4 = 0").withColumn("b", G.ring_box(ring()))
+    r = drawing(spark, sf_dir, "regions").withColumn("b", G.ring_box(ring()))
     w, h = F.col("b.max_x") - F.col("b.min_x"), F.col("b.max_y") - F.col("b.min_y")
     fill = G.ring_area(ring()) / G.box_area(F.col("b"))
     plan, strip = priors(F.greatest(w, h) / F.least(w, h), fill, F.lit(0.0), F.lit(0.5), F.lit(0.0), F.lit(1.0))
@@ -170,9 +170,9 @@ def spline_points(fit: Column, control: Column, most: int = 180) -> Column:
     return F.when(F.size(fit) >= 2, fit).when(n < 2, control).otherwise(F.transform(F.sequence(F.lit(0), samples - 1), at))
 
 
-@query("SELECT p_partkey, i, round(CASE WHEN i * 2 / 23.0 <= 1 THEN i * 2 / 23.0 * p_size ELSE p_size + (i * 2 / 23.0 - 1) * 10 END, 5) AS x FROM part, range(24) t(i) WHERE p_partkey % 50 = 3")
+@query("SELECT p_partkey, i, round(CASE WHEN i * 2 / 23.0 <= 1 THEN i * 2 / 23.0 * p_size ELSE p_size + (i * 2 / 23.0 - 1) * 10 END, 5) AS x FROM part, range(24) t(i)")
 def m26_spline_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey % 50 = 3")
+    p = table(spark, sf_dir, "part")
     control = F.array(G.point(0.0, 0.0), G.point(F.col("p_size").cast("double"), 1.0), G.point(F.col("p_size") + 10.0, 2.0))
     return p.select("p_partkey", F.posexplode(spline_points(F.slice(control, 1, 0), control)).alias("i", "p")).select("p_partkey", F.col("i").cast("long").alias("i"), F.round("p.x", 5).alias("x"))
 
@@ -198,7 +198,7 @@ def q6_label_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def g24_dominant_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A box goes if it is an outlier by area and holds another box."""
-    r = drawing(spark, sf_dir, "regions").where("region_id % 25 = 0")
+    r = drawing(spark, sf_dir, "regions")
     by = F.when(F.col("region_id") % 500 == 0, 400.0).otherwise(0.0)
     b = r.select("file_id", "region_id", G.grow(G.ring_box(ring()), by).alias("b")).withColumn("area", G.box_area(F.col("b")))
     marked = high_outliers(b, "file_id", "area")
@@ -207,7 +207,7 @@ def g24_dominant_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.join(holds.select("region_id").distinct(), "region_id", "left_anti").select("region_id")
 
 
-@query(drawing_sql("regions") + """, p AS (SELECT * FROM regions WHERE region_id % 5 = 1 AND layout_id = 1), s AS (SELECT * FROM regions WHERE region_id % 3 = 0)
+@query(drawing_sql("regions") + """, p AS (SELECT * FROM regions WHERE layer = '1-URGENT' AND layout_id = 1), s AS (SELECT * FROM regions WHERE layer <> '1-URGENT')
 SELECT s.region_id, 'sub-region' AS class FROM s WHERE EXISTS (SELECT 1 FROM p WHERE s.x0 <= p.x0 + p.w AND s.x0 + s.w >= p.x0 AND s.y0 <= p.y0 + p.h AND s.y0 + s.h >= p.y0)
 UNION ALL SELECT region_id, 'general drawing' FROM p""")
 def q7_routed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,8 +215,8 @@ def q7_routed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     from planwright.operators.spatial import box_semi_join
 
     r = drawing(spark, sf_dir, "regions").withColumn("box", G.ring_box(ring()))
-    parents = r.where("region_id % 5 = 1 and layout_id = 1")
-    subs = box_semi_join(r.where("region_id % 3 = 0").select("region_id", "box"), parents.select(F.col("box").alias("p")), "region_id", "box", "p", 32.0)
+    parents = r.where("layer = '1-URGENT' and layout_id = 1")
+    subs = box_semi_join(r.where("layer <> '1-URGENT'").select("region_id", "box"), parents.select(F.col("box").alias("p")), "region_id", "box", "p", 32.0)
     return subs.select("region_id", F.lit("sub-region").alias("class")).unionByName(parents.select("region_id", F.lit("general drawing").alias("class")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from planwright.functions import geometry as G
 from planwright.functions import vectors as V
-from planwright.operators.spatial import box_join, box_semi_join, points_in_boxes
+from planwright.operators.spatial import box_join, box_semi_join, nearest_points, points_in_boxes
 from planwright.plans.layouts import ring, with_boxes
 from planwright.plans.registry import query
 from planwright.sources.drawings import drawing, drawing_sql
@@ -81,13 +81,13 @@ def f10_oversize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counted_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate boxes (every 50th region, grown by 60) with the number of entities inside."""
-    boxes = drawing(spark, sf_dir, "regions").where("region_id % 50 = 0").select("region_id", G.grow(G.ring_box(ring()), 60.0).alias("box"))
+    """Candidate boxes (regions, grown by 60) with the number of entities inside."""
+    boxes = drawing(spark, sf_dir, "regions").select("region_id", G.grow(G.ring_box(ring()), 60.0).alias("box"))
     hits = points_in_boxes(drawing(spark, sf_dir, "entities").select("x", "y"), boxes, "x", "y", "box", 150.0).groupBy("region_id").agg(F.count("*").alias("n"))
     return boxes.join(hits, "region_id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
-_COUNTED = drawing_sql("regions", "entities") + """, c AS (SELECT region_id, x0 - 60 AS a, y0 - 60 AS b, x0 + w + 60 AS c, y0 + h + 60 AS d FROM regions WHERE region_id % 50 = 0),
+_COUNTED = drawing_sql("regions", "entities") + """, c AS (SELECT region_id, x0 - 60 AS a, y0 - 60 AS b, x0 + w + 60 AS c, y0 + h + 60 AS d FROM regions),
 n AS (SELECT region_id, any_value(c.c - c.a) AS bw, any_value(c.d - c.b) AS bh, count(e.entity_id) AS n FROM c LEFT JOIN entities e ON e.x BETWEEN c.a AND c.c AND e.y BETWEEN c.b AND c.d GROUP BY region_id)"""
 
 
@@ -179,21 +179,21 @@ def j5_lookup_with_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.join(m, "layout_id", "left").select("region_id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
 
 
-@query(drawing_sql("regions", "entities") + """, roi AS (SELECT region_id, x0 - 20 AS a, y0 - 20 AS b, x0 + w + 20 AS c, y0 + h + 20 AS d FROM regions WHERE region_id % 40 = 0)
+@query(drawing_sql("regions", "entities") + """, roi AS (SELECT region_id, x0 - 20 AS a, y0 - 20 AS b, x0 + w + 20 AS c, y0 + h + 20 AS d FROM regions)
 SELECT entity_id, count(*) AS n FROM entities JOIN roi ON x > a AND x < c AND y > b AND y < d GROUP BY 1""")
 def j6_entities_in_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates by box on a grid, then the exact test of the polygon."""
-    roi = drawing(spark, sf_dir, "regions").where("region_id % 40 = 0").select("region_id", G.rectangle(F.col("x0") - 20, F.col("y0") - 20, F.col("w") + 40, F.col("h") + 40).alias("ring"))
+    roi = drawing(spark, sf_dir, "regions").select("region_id", G.rectangle(F.col("x0") - 20, F.col("y0") - 20, F.col("w") + 40, F.col("h") + 40).alias("ring"))
     pairs = points_in_boxes(drawing(spark, sf_dir, "entities").select("entity_id", "x", "y"), roi.withColumn("box", G.ring_box(F.col("ring"))), "x", "y", "box", 100.0)
     inside = G.has_point(F.col("ring"), F.col("x"), F.col("y")) & (F.col("x") > F.col("box.min_x")) & (F.col("y") > F.col("box.min_y"))
     return pairs.where(inside).groupBy("entity_id").agg(F.count("*").alias("n"))
 
 
-@query(drawing_sql("regions") + """, a AS (SELECT * FROM regions WHERE region_id % 3 = 0), b AS (SELECT * FROM regions WHERE region_id % 5 = 1)
+@query(drawing_sql("regions") + """, a AS (SELECT * FROM regions WHERE layer <> '1-URGENT'), b AS (SELECT * FROM regions WHERE layer = '1-URGENT')
 SELECT a.region_id AS left_id, b.region_id AS right_id FROM a JOIN b ON a.x0 <= b.x0 + b.w AND a.x0 + a.w >= b.x0 AND a.y0 <= b.y0 + b.h AND a.y0 + a.h >= b.y0""")
 def j7_box_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = drawing(spark, sf_dir, "regions").withColumn("box", G.ring_box(ring()))
-    a, b = r.where("region_id % 3 = 0").select(F.col("region_id").alias("left_id"), F.col("box").alias("l")), r.where("region_id % 5 = 1").select(F.col("region_id").alias("right_id"), F.col("box").alias("r"))
+    a, b = r.where("layer <> '1-URGENT'").select(F.col("region_id").alias("left_id"), F.col("box").alias("l")), r.where("layer = '1-URGENT'").select(F.col("region_id").alias("right_id"), F.col("box").alias("r"))
     return box_join(a, b, "l", "r", 32.0).select("left_id", "right_id")
 
 
@@ -250,29 +250,27 @@ def j13_majority_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.groupBy("layout_id").agg(best.alias("b")).select("layout_id", "b.layer", "b.n")
 
 
-@query(drawing_sql("regions") + """ SELECT a.region_id FROM regions a WHERE a.region_id % 3 = 0 AND EXISTS (SELECT 1 FROM regions b WHERE b.region_id % 5 = 1 AND a.x0 <= b.x0 + b.w AND a.x0 + a.w >= b.x0 AND a.y0 <= b.y0 + b.h AND a.y0 + a.h >= b.y0)""")
+@query(drawing_sql("regions") + """ SELECT a.region_id FROM regions a WHERE a.layer <> '1-URGENT' AND EXISTS (SELECT 1 FROM regions b WHERE b.layer = '1-URGENT' AND a.x0 <= b.x0 + b.w AND a.x0 + a.w >= b.x0 AND a.y0 <= b.y0 + b.h AND a.y0 + a.h >= b.y0)""")
 def j17_overlapping_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = drawing(spark, sf_dir, "regions").withColumn("box", G.ring_box(ring()))
-    return box_semi_join(r.where("region_id % 3 = 0").select("region_id", "box"), r.where("region_id % 5 = 1").select(F.col("box").alias("parent")), "region_id", "box", "parent", 32.0).select("region_id")
+    return box_semi_join(r.where("layer <> '1-URGENT'").select("region_id", "box"), r.where("layer = '1-URGENT'").select(F.col("box").alias("parent")), "region_id", "box", "parent", 32.0).select("region_id")
 
 
-@query(drawing_sql("regions") + """, p AS (SELECT a.region_id, b.region_id AS parent_id, b.layer, row_number() OVER (PARTITION BY a.region_id ORDER BY b.region_id) AS k FROM regions a JOIN regions b ON a.region_id % 3 = 0 AND b.region_id % 5 = 1 AND contains(b.layer, 'H')
+@query(drawing_sql("regions") + """, p AS (SELECT a.region_id, b.region_id AS parent_id, b.layer, row_number() OVER (PARTITION BY a.region_id ORDER BY b.region_id) AS k FROM regions a JOIN regions b ON NOT contains(a.layer, 'H') AND contains(b.layer, 'H')
 AND a.x0 <= b.x0 + b.w AND a.x0 + a.w >= b.x0 AND a.y0 <= b.y0 + b.h AND a.y0 + a.h >= b.y0) SELECT region_id, parent_id, layer FROM p WHERE k = 1""")
 def j18_first_parent_with_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = drawing(spark, sf_dir, "regions").withColumn("box", G.ring_box(ring()))
-    parents = r.where("region_id % 5 = 1").where(F.contains("layer", F.lit("H"))).select(F.col("region_id").alias("parent_id"), "layer", F.col("box").alias("p"))
-    return box_join(r.where("region_id % 3 = 0").select("region_id", "box"), parents, "box", "p", 32.0).groupBy("region_id").agg(F.min(F.struct("parent_id", "layer")).alias("f")).select("region_id", "f.*")
+    parents = r.where(F.contains("layer", F.lit("H"))).select(F.col("region_id").alias("parent_id"), "layer", F.col("box").alias("p"))
+    return box_join(r.where(~F.contains("layer", F.lit("H"))).select("region_id", "box"), parents, "box", "p", 32.0).groupBy("region_id").agg(F.min(F.struct("parent_id", "layer")).alias("f")).select("region_id", "f.*")
 
 
-@query(drawing_sql("entities") + """, a AS (SELECT entity_id AS anchor, x AS ax, y AS ay FROM entities WHERE entity_id % 250 = 1)
-SELECT entity_id, arg_min(anchor, (x - ax) * (x - ax) + (y - ay) * (y - ay) + anchor * 1e-7) AS anchor FROM entities, a GROUP BY 1""")
+@query(drawing_sql("entities") + """, a AS (SELECT entity_id AS anchor, x AS ax, y AS ay FROM entities WHERE type = 'TEXT'),
+d AS (SELECT entity_id, anchor, row_number() OVER (PARTITION BY entity_id ORDER BY (x - ax) * (x - ax) + (y - ay) * (y - ay), anchor) AS k FROM entities, a)
+SELECT entity_id, anchor FROM d WHERE k = 1""")
 def j19_nearest_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anchors are the few titles of a drawing; their number is checked before they are broadcast."""
-    e = drawing(spark, sf_dir, "entities")
-    anchors = e.where("entity_id % 250 = 1").select(F.col("entity_id").alias("anchor"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    few = anchors.limit(100_001).count() <= 100_000
-    far = (F.col("x") - F.col("ax")) ** 2 + (F.col("y") - F.col("ay")) ** 2
-    return e.crossJoin(F.broadcast(anchors) if few else anchors).groupBy("entity_id").agg(F.min(F.struct(far.alias("d"), F.col("anchor"))).alias("m")).select("entity_id", "m.anchor")
+    """Anchors are the texts of the drawings."""
+    e = drawing(spark, sf_dir, "entities").select("entity_id", "type", "x", "y")
+    return nearest_points(e.drop("type"), e.where("type = 'TEXT'").select(F.col("entity_id").alias("anchor"), "x", "y"), "entity_id", "anchor", 64.0)
 
 
 @query(drawing_sql("entities") + """, k AS (SELECT sqrt(pow(x - 2000, 2) + pow(y - 2000, 2)) AS d FROM entities ORDER BY d LIMIT 25), p AS (SELECT d FROM k WHERE d > 0 ORDER BY d LIMIT 15) SELECT round(median(d), 6) AS scale FROM p""")

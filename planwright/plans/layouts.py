@@ -119,7 +119,7 @@ def g7b_semantic_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawing(spark, sf_dir, "entities").where(F.exists(words, lambda k: F.contains(F.upper("layer"), k))).groupBy("layer").agg(F.count("*").alias("n"))
 
 
-@query(drawing_sql("entities", "regions") + """, roi AS (SELECT DISTINCT x0, y0, w, h FROM regions WHERE region_id % 97 = 0),
+@query(drawing_sql("entities", "regions") + """, roi AS (SELECT DISTINCT x0, y0, w, h FROM regions WHERE layer = '5-LOW'),
 hit AS (SELECT DISTINCT e.entity_id, e.type, e.layer FROM entities e JOIN roi r ON e.x + e.radius >= r.x0 AND e.x - e.radius <= r.x0 + r.w AND e.y + e.radius >= r.y0 AND e.y - e.radius <= r.y0 + r.h)
 SELECT layer, type, count(*) AS n FROM hit GROUP BY ALL""")
 def g8_roi_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,7 @@ def g8_roi_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     from planwright.operators.spatial import box_join
 
     e = drawing(spark, sf_dir, "entities").withColumn("box", G.box(F.col("x") - F.col("radius"), F.col("y") - F.col("radius"), F.col("x") + F.col("radius"), F.col("y") + F.col("radius")))
-    roi = drawing(spark, sf_dir, "regions").where("region_id % 97 = 0").select(G.ring_box(ring()).alias("roi")).distinct()
+    roi = drawing(spark, sf_dir, "regions").where("layer = '5-LOW'").select(G.ring_box(ring()).alias("roi")).distinct()
     return box_join(e, roi, "box", "roi", cell=200.0).select("entity_id", "type", "layer").distinct().groupBy("layer", "type").agg(F.count("*").alias("n"))
 
 

@@ -76,12 +76,12 @@ def m7_m9_insert_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ARC = "(CASE WHEN (p_partkey * 7) % 360 < p_partkey % 360 THEN (p_partkey * 7) % 360 + 360 ELSE (p_partkey * 7) % 360 END)"
 
 
-@query(f"SELECT p_partkey, i, round(p_size * cos(radians(p_partkey % 360 + ({_ARC} - p_partkey % 360) * i / 36.0)), 5) AS x, round(p_size * sin(radians(p_partkey % 360 + ({_ARC} - p_partkey % 360) * i / 36.0)), 5) AS y FROM part, range(37) t(i) WHERE p_partkey % 50 = 1 AND i % 6 = 0")
+@query(f"SELECT p_partkey, i, round(p_size * cos(radians(p_partkey % 360 + ({_ARC} - p_partkey % 360) * i / 36.0)), 5) + 0.0 AS x, round(p_size * sin(radians(p_partkey % 360 + ({_ARC} - p_partkey % 360) * i / 36.0)), 5) + 0.0 AS y FROM part, range(37) t(i)")
 def m10_m11_arc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """37 points of an arc; an end before the start wraps."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 50 = 1")
+    p = table(spark, sf_dir, "part")
     points = G.arc_points(0.0, 0.0, F.col("p_size").cast("double"), F.col("p_partkey") % 360, F.col("p_partkey") * 7 % 360)
-    out = p.select("p_partkey", F.posexplode(points).alias("i", "p")).where("i % 6 = 0")
+    out = p.select("p_partkey", F.posexplode(points).alias("i", "p"))
     return out.select("p_partkey", F.col("i").cast("long").alias("i"), (F.round("p.x", 5) + 0.0).alias("x"), (F.round("p.y", 5) + 0.0).alias("y"))
 
 
@@ -319,7 +319,7 @@ _VALUES = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinsta
 
 def _expanded(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     root = F.col("p_partkey").alias("root_id")
-    top = table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(root, F.lit("INSERT").alias("type"), F.concat(F.lit("B"), (F.col("p_partkey") % 3).cast("string")).alias("name"), (F.col("p_partkey") % 100).cast("double").alias("x"), F.lit(7.0).alias("y"), F.lit(2.0).alias("x_scale"), F.lit(1.0).alias("y_scale"), (F.col("p_size") / 10.0).alias("rotation"))
+    top = table(spark, sf_dir, "part").select(root, F.lit("INSERT").alias("type"), F.concat(F.lit("B"), (F.col("p_partkey") % 3).cast("string")).alias("name"), (F.col("p_partkey") % 100).cast("double").alias("x"), F.lit(7.0).alias("y"), F.lit(2.0).alias("x_scale"), F.lit(1.0).alias("y_scale"), (F.col("p_size") / 10.0).alias("rotation"))
     defs = spark.createDataFrame(_BLOCKS, "block string, type string, name string, x double, y double, x_scale double, y_scale double, rotation double")
     return blocks.expand_blocks(top, defs, **how)
 
@@ -328,7 +328,7 @@ _R = "(CASE WHEN abs(coalesce({p}.rotation, 0)) > 2 * pi() + 1e-6 THEN radians({
 _SX, _SY = "(CASE WHEN coalesce({p}.x_scale, 0) <> 0 THEN {p}.x_scale ELSE 1 END)", "(CASE WHEN coalesce({p}.y_scale, 0) <> 0 THEN {p}.y_scale ELSE 1 END)"
 _TREE = f"""WITH RECURSIVE b(block, type, name, x, y, x_scale, y_scale, rotation) AS (VALUES {_VALUES}),
 t AS (SELECT p_partkey AS root_id, 'INSERT' AS type, 'B' || p_partkey % 3 AS name, CAST(p_partkey % 100 AS DOUBLE) AS x, CAST(7 AS DOUBLE) AS y, CAST(2 AS DOUBLE) AS x_scale, CAST(1 AS DOUBLE) AS y_scale, p_size / 10.0 AS rotation,
-  CAST(1 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS bb, CAST(0 AS DOUBLE) AS c, CAST(1 AS DOUBLE) AS d, CAST(0 AS DOUBLE) AS tx, CAST(0 AS DOUBLE) AS ty, 0 AS depth FROM part WHERE p_partkey % 20 = 0
+  CAST(1 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS bb, CAST(0 AS DOUBLE) AS c, CAST(1 AS DOUBLE) AS d, CAST(0 AS DOUBLE) AS tx, CAST(0 AS DOUBLE) AS ty, 0 AS depth FROM part
 UNION ALL SELECT t.root_id, b.type, b.name, b.x, b.y, b.x_scale, b.y_scale, b.rotation,
   t.a * sx * cos(r) + t.bb * sx * sin(r), -t.a * sy * sin(r) + t.bb * sy * cos(r), t.c * sx * cos(r) + t.d * sx * sin(r), -t.c * sy * sin(r) + t.d * sy * cos(r), t.a * t.x + t.bb * t.y + t.tx, t.c * t.x + t.d * t.y + t.ty, t.depth + 1
   FROM (SELECT *, {_SX.format(p="t")} AS sx, {_SY.format(p="t")} AS sy, {_R.format(p="t")} AS r FROM t WHERE type = 'INSERT' AND depth < 3) t JOIN b ON b.block = t.name)"""
@@ -396,13 +396,6 @@ def g16_diameter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.topology(component_edges(spark, sf_dir), "component")
 
 
-@query(drawing_sql("regions") + " SELECT file_id, layout_id, count(*) AS polygons, sum(w * h) AS area FROM regions WHERE region_id % 16 = 0 GROUP BY ALL HAVING count(*) = count(DISTINCT region_id) AND false")
-def r1_polygonise_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No segments, no faces."""
-    none = segments(spark, sf_dir).where("false").withColumn("layout_id", F.lit(0).cast("long"))
-    return kernels.polygonise(none, "file_id").groupBy("file_id").agg(F.count("*").alias("polygons"), F.sum("area").alias("area")).select("file_id", F.lit(0).cast("long").alias("layout_id"), "polygons", "area")
-
-
 @query()
 def r1_polygonise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faces of the edges of the regions of each layer in a file.
@@ -428,13 +421,9 @@ def r3_recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def r4_kmeans_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k by size (about one cluster for each 30 nodes of a layout), clusters by MLlib."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    r = drawing(spark, sf_dir, "regions").where("file_id = 0 and layout_id = 0").select("region_id", array_to_vector(F.array("x0", "y0")).alias("features"))
-    k = max(2, math.ceil(r.count() / 30))
-    return KMeans(k=k, seed=42, maxIter=20).fit(r).transform(r).select("region_id", "prediction")
+    """About one cluster for each 30 nodes of a layout of a file."""
+    r = drawing(spark, sf_dir, "regions").select((F.col("file_id") * 8 + F.col("layout_id")).alias("layout"), F.col("region_id").alias("node"), F.col("x0").alias("x"), F.col("y0").alias("y"))
+    return kernels.kmeans_chunks(r, "layout")
 
 
 @query()
@@ -456,12 +445,12 @@ def r9_edge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawing(spark, sf_dir, "edges").where((F.col("src") * 31 + F.col("dst") * 17 + 42) % 10 >= 2)
 
 
-_CELLS = drawing_sql("regions") + ", cell AS (SELECT DISTINCT CAST(floor(x0 / 200) AS BIGINT) AS cx, CAST(floor(y0 / 100) AS BIGINT) AS cy FROM regions WHERE file_id = 0 AND region_id % 8 = 0)"
+_CELLS = drawing_sql("regions") + ", cell AS (SELECT DISTINCT CAST(floor(x0 / 40) AS BIGINT) AS cx, CAST(floor(y0 / 20) AS BIGINT) AS cy FROM regions)"
 
 
 def occupied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = drawing(spark, sf_dir, "regions").where("file_id = 0 and region_id % 8 = 0")
-    return r.select(F.floor(F.col("x0") / 200).alias("cx"), F.floor(F.col("y0") / 100).alias("cy")).distinct()
+    r = drawing(spark, sf_dir, "regions")
+    return r.select(F.floor(F.col("x0") / 40).alias("cx"), F.floor(F.col("y0") / 20).alias("cy")).distinct()
 
 
 @query(_CELLS + " SELECT cx, cy FROM cell")
@@ -471,7 +460,7 @@ def q9_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CELLS.replace("WITH ", "WITH RECURSIVE ", 1) + """, s AS (SELECT cx, cy FROM cell ORDER BY (cx - 25) * (cx - 25) + (cy - 20) * (cy - 20), cx, cy LIMIT 1),
 f(cx, cy) AS (SELECT cx, cy FROM s UNION SELECT c.cx, c.cy FROM f JOIN cell c ON abs(c.cx - f.cx) <= 1 AND abs(c.cy - f.cy) <= 1)
-SELECT CAST(min(cx) * 200 AS DOUBLE) AS min_x, CAST(min(cy) * 100 AS DOUBLE) AS min_y, CAST((max(cx) + 1) * 200 AS DOUBLE) AS max_x, CAST((max(cy) + 1) * 100 AS DOUBLE) AS max_y, count(*) AS cells FROM f""")
+SELECT CAST(min(cx) * 40 AS DOUBLE) AS min_x, CAST(min(cy) * 20 AS DOUBLE) AS min_y, CAST((max(cx) + 1) * 40 AS DOUBLE) AS max_x, CAST((max(cy) + 1) * 20 AS DOUBLE) AS max_y, count(*) AS cells FROM f""")
 def r10_q10_flood_from_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seed is moved to the nearest occupied cell; its 8-connected component's box."""
     cells = occupied(spark, sf_dir)
@@ -479,7 +468,7 @@ def r10_q10_flood_from_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cell_components(cells, diagonal=True)
     mine = found.join(F.broadcast(seed.select("cx", "cy")), ["cx", "cy"]).select("component")
     box = found.join(F.broadcast(mine), "component")
-    return box.agg((F.min("cx") * 200.0).alias("min_x"), (F.min("cy") * 100.0).alias("min_y"), ((F.max("cx") + 1) * 200.0).alias("max_x"), ((F.max("cy") + 1) * 100.0).alias("max_y"), F.count("*").alias("cells"))
+    return box.agg((F.min("cx") * 40.0).alias("min_x"), (F.min("cy") * 20.0).alias("min_y"), ((F.max("cx") + 1) * 40.0).alias("max_x"), ((F.max("cy") + 1) * 20.0).alias("max_y"), F.count("*").alias("cells"))
 
 
 def cell_components(cells: DataFrame, diagonal: bool) -> DataFrame:
@@ -503,11 +492,11 @@ def r12_dilation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grown.crossJoin(cells.agg(F.count("*").alias("cells")))
 
 
-@query(_SEG + """, s AS (SELECT *, CAST(greatest(1, floor(greatest(abs(x2 - x1), abs(y2 - y1)) / 4)) AS BIGINT) AS n FROM seg WHERE file_id = 0), p AS (SELECT x1 + (x2 - x1) * i / n AS x, y1 + (y2 - y1) * i / n AS y FROM s, range(0, 8) t(i) WHERE i <= n)
+@query(_SEG + """, s AS (SELECT *, CAST(greatest(1, floor(greatest(abs(x2 - x1), abs(y2 - y1)) / 4)) AS BIGINT) AS n FROM seg), p AS (SELECT x1 + (x2 - x1) * i / n AS x, y1 + (y2 - y1) * i / n AS y FROM s, range(0, 8) t(i) WHERE i <= n)
 SELECT DISTINCT CAST(floor(x / 16) AS BIGINT) AS cx, CAST(floor(y / 16) AS BIGINT) AS cy FROM p""")
 def r11_r13_sampled_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that segments pass, by samples along them."""
-    s = segments(spark, sf_dir).where("file_id = 0").withColumn("n", F.greatest(F.lit(1), F.floor(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))) / 4)).cast("int"))
+    s = segments(spark, sf_dir).withColumn("n", F.greatest(F.lit(1), F.floor(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))) / 4)).cast("int"))
     p = s.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
     at = lambda k: F.floor((F.col(f"{k}1") + (F.col(f"{k}2") - F.col(f"{k}1")) * F.col("i") / F.col("n")) / 16)
     return p.select(at("x").alias("cx"), at("y").alias("cy")).distinct()
@@ -519,7 +508,7 @@ def r11_component_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cell_components(r11_r13_sampled_segments(spark, sf_dir), diagonal=False)
     boxes = c.groupBy("component").agg(F.count("*").alias("cells"), F.min("cx").alias("x1"), F.min("cy").alias("y1"), F.max("cx").alias("x2"), F.max("cy").alias("y2"))
     area = (F.col("x2") - F.col("x1") + 1) * (F.col("y2") - F.col("y1") + 1)
-    return boxes.where("cells >= 3").withColumn("area", area).orderBy("area", "component").limit(50)
+    return boxes.where("cells >= 3").withColumn("area", area).orderBy("area", "component")
 
 
 def isovist(segs: DataFrame, x: float, y: float, radius: float = 30000.0, rays: int = 360) -> DataFrame:
@@ -605,13 +594,13 @@ def drawing_slot(segs: DataFrame, seed: tuple[float, float], bins: int = 400) ->
 
 @query()
 def c3_drawing_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drawing_slot(segments(spark, sf_dir).where("region_id % 300 < 3"), (5000.0, 2500.0))
+    return drawing_slot(segments(spark, sf_dir), (5000.0, 2500.0))
 
 
 @query()
 def c4_tight_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slot drawn in to the geometry inside it."""
-    s = segments(spark, sf_dir).where("region_id % 300 < 3")
+    s = segments(spark, sf_dir)
     slot = drawing_slot(s, (5000.0, 2500.0))
     p = s.select("file_id", F.explode(F.array(G.point(F.col("x1"), F.col("y1")), G.point(F.col("x2"), F.col("y2")))).alias("p"))
     inside = p.join(F.broadcast(slot), "file_id").where("p.x between min_x and max_x and p.y between min_y and max_y")
@@ -634,27 +623,41 @@ def g26_line_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(entropy, "file_id").withColumn("entropy", F.round("entropy", 6))
 
 
+def suppressed(boxes: DataFrame, most: float, cell: float) -> DataFrame:
+    """Greedy by ``order``, within equal ``file_id``: the ids (region_id) of boxes (column box) whose IoU with all kept before is under ``most``.
+
+    Boxes only bear on each other through pairs that reach ``most``, so each component of these pairs is dealt with by itself.
+    """
+    b = boxes.select("file_id", "region_id", "order", "box")
+    other = b.select("file_id", F.col("region_id").alias("other_id"), F.col("box").alias("other"))
+    pairs = box_join(b.select("file_id", "region_id", "box"), other, "box", "other", cell, on=(F.col("region_id") < F.col("other_id")) & (G.iou(F.col("box"), F.col("other")) >= most), keys=("file_id",))
+    part = graph.connected_components(pairs.select("region_id", "other_id"), "region_id", "other_id").withColumnRenamed("node", "region_id")
+    grouped = b.join(part, "region_id", "left").select("file_id", F.coalesce("component", "region_id").alias("part"), F.struct("order", "region_id", "box.*").alias("b"))
+    kept = grouped.groupBy("file_id", "part").agg(F.sort_array(F.collect_list("b")).alias("boxes")).select("file_id", kernels.suppress(F.col("boxes"), most).alias("kept"))
+    return kept.select("file_id", F.explode("kept.region_id").alias("region_id"))
+
+
 @query()
 def k10_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy: of each file's candidates by area, those under IoU 0.3 with all kept before."""
-    r = drawing(spark, sf_dir, "regions").where("region_id % 40 = 0")
-    b = F.struct((-F.col("w") * F.col("h")).alias("order"), "region_id", *(G.ring_box(ring())[k].alias(k) for k in ("min_x", "min_y", "max_x", "max_y")))
-    kept = r.groupBy("file_id").agg(F.sort_array(F.collect_list(b)).alias("boxes")).select("file_id", kernels.suppress(F.col("boxes"), 0.3).alias("kept"))
-    return kept.select("file_id", F.explode("kept.region_id").alias("region_id"))
+    """Of each file's regions by area, those under IoU 0.3 with all kept before."""
+    r = drawing(spark, sf_dir, "regions").withColumn("box", G.ring_box(ring()))
+    return suppressed(r.withColumn("order", -F.col("w") * F.col("h")), 0.3, 32.0)
 
 
 @query()
 def u5_merged_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = drawing(spark, sf_dir, "regions").where("region_id % 5 = 0").select("file_id", "region_id", G.grow(G.ring_box(ring()), 25.0).alias("b")).select("file_id", "region_id", "b.*")
-    return kernels.merge_overlapping(r, "file_id", "region_id")
+    """Within each layout of a file."""
+    layout = (F.col("file_id") * 8 + F.col("layout_id")).alias("layout")
+    r = drawing(spark, sf_dir, "regions").select(layout, "region_id", G.grow(G.ring_box(ring()), 25.0).alias("b")).select("layout", "region_id", "b.*")
+    return kernels.merge_overlapping(r, "layout", "region_id")
 
 
 @query()
 def q1_region_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label seeds -> slot of their drawing -> geometry count and aspect -> reading order of the seeds."""
-    seeds = drawing(spark, sf_dir, "entities").where("type = 'TEXT'").where(F.col("text").rlike("(?i)^[a-c]")).select("file_id", "entity_id", "text", "x", "y").orderBy("entity_id").limit(10)
+    seeds = drawing(spark, sf_dir, "entities").where("type = 'TEXT'").where(F.col("text").rlike("(?i)^[a-c]")).select("file_id", "entity_id", "text", "x", "y")
     s = segments(spark, sf_dir)
-    slot = drawing_slot(s.where("region_id % 300 < 3"), (2000.0, 2000.0))
+    slot = drawing_slot(s, (2000.0, 2000.0))
     inside = s.join(F.broadcast(slot), "file_id").where("x1 between min_x and max_x and y1 between min_y and max_y").groupBy("file_id").agg(F.count("*").alias("n"))
     out = seeds.join(slot, "file_id", "left").join(inside, "file_id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     aspect = (F.col("max_x") - F.col("min_x")) / (F.col("max_y") - F.col("min_y"))

@@ -32,7 +32,7 @@ DERIVED: dict[str, tuple[str, str | None, dict[str, str]]] = {
         "min_x": "CAST(event_id % 500 AS DOUBLE)", "created_at": "ts",
     }),
     "annotations": ("documents", None, {
-        "id": "doc_id", "text": "substr(text, 1, 80)", "x": "CAST((doc_id * 17) % 40000 AS DOUBLE)", "y": "CAST((doc_id * 31) % 9000 AS DOUBLE)", "layer": "source",
+        "id": "doc_id", "text": "text", "x": "CAST((doc_id * 17) % 40000 AS DOUBLE)", "y": "CAST((doc_id * 31) % 9000 AS DOUBLE)", "layer": "source",
     }),
     "agent_events": ("events", None, {"id": "event_id", "type": "event_type", "run_id": "user_id % 2", "layout_id": "user_id % 8", "data": "props", "ts": "ts"}),
 }
