@@ -30,10 +30,12 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates the document of the smallest id stays."""
-    found = simhash.near_duplicates(docs)
-    gone = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of near-duplicates the first row stays; rows are told apart by a number, as ids may repeat or be null."""
+    row = "_planwright_row"
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = simhash.near_duplicates(rows, row)
+    gone = staged(found.where(F.col(row) != F.col("component_id")).select(row), "duplicates")
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
