@@ -1,5 +1,6 @@
 """Each stage of the pipeline on its own input, against plain versions."""
 
+import random
 import zlib
 
 import corpus_pipeline as C
@@ -49,13 +50,13 @@ def test_stages(spark):
     raw = {r.doc_id: r.text.encode() for r in docs.collect()}
     seen = {}
     for d, t in raw.items():
-        for s in range(len(t) - 399):
-            seen.setdefault(t[s : s + 400], []).append((d, s))
+        for s in range(len(t) - C.PASSAGE_BYTES + 1):
+            seen.setdefault(t[s : s + C.PASSAGE_BYTES], []).append((d, s))
     gone = {d: np.zeros(len(t), bool) for d, t in raw.items()}
     for found in seen.values():
         if len(found) > 1:
             for d, s in found:
-                gone[d][s : s + 400] = True
+                gone[d][s : s + C.PASSAGE_BYTES] = True
     left = {d: bytes(np.frombuffer(t, np.uint8)[~gone[d]]) for d, t in raw.items()}
     got = {r.doc_id: r.text for r in cut.collect()}
     assert got == {d: t.decode("utf-8", "ignore") for d, t in left.items() if t or not raw[d]}
@@ -69,4 +70,46 @@ def test_stages(spark):
 
 
 def test_run(spark):
-    assert C.run(spark, SF).count() > 0
+    """The packed documents are those that all stages keep, and every piece of theirs is there."""
+    packed = C.run(spark, SF).collect()
+    docs = table(spark, SF, "documents")
+    for _, stage in C.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+    left = {r.doc_id: r.text for r in docs.collect()}
+    assert {r.doc_id for r in packed} == set(left) and len(left) > 50
+    by = {}
+    for r in packed:
+        by.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+    for pieces in by.values():
+        assert [a for a, _, _ in sorted(pieces)] == [sum(n for b, n, _ in pieces if b < a) for a, _, _ in sorted(pieces)] and sum(n for _, n, _ in pieces) == pieces[0][2]
+
+
+def test_passages_of_fifty_words_go(spark):
+    """Passages of 51 to 60 short words that several documents share; documents that share nothing stay as they are."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(n) for n in (51, 55, 60)]
+    rows = [(k, f"{text(80)} {passages[k % 3]} {text(70)}") for k in range(30)] + [(100 + k, text(150)) for k in range(20)]
+    got = {r.doc_id: r.text for r in dict(C.STAGES)["suffix-dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    assert len(got) == 50 and not any(p[5:-5] in t for p in passages for t in got.values())
+    assert all(got[k] == t for k, t in rows if k >= 100) and all(len(got[k]) > 700 for k in range(30))
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls, empty and repeated rows, ids that repeat or are null, a column of a clashing name, and empty tables."""
+    prose = "The sea was calm that day, and we went out early with the boats. " * 4
+    rows = [(1, prose, "a", 1.5), (1, prose, "a", 1.5), (1, prose + "Another day came after it, and all of us slept.", "a", 1.5), (None, prose, None, None), (None, None, None, None), (3, "", "b", 0.0), (4, None, "b", 0.0), (5, "é 中文", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, score double")
+    for name, stage in C.STAGES:
+        out = stage(spark, docs, SF)
+        got = out.collect()
+        assert stage(spark, docs.where("false"), SF).count() == 0
+        if name == "packing":
+            assert {r.doc_id for r in got} == {1, 3, 4, 5, None} and sum(r.start == 0 for r in got) == len(rows)
+            continue
+        assert out.columns == docs.columns and {tuple(r)[0::2] for r in got} <= {r[0::2] for r in rows}
+        if name == "near-dedup":  # of equal texts one row; the empty ones are alike too
+            assert [r.text for r in got].count(prose) <= 1 and sum(not r.text for r in got) == 1 and any(r.text == "é 中文" for r in got)
+        if name == "suffix-dedup":
+            assert not any(r.text == prose for r in got) and sum(not r.text for r in got) == 3
