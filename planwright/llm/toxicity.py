@@ -35,7 +35,7 @@ from planwright.llm.sampling import SAMPLE_TEXT_BYTES, held_out, learnable
 DECAY, SHORTEST, LONGEST = 0.6, 3, 20
 LANDMARKS, SAMPLE_DOCS, THRESHOLD = 192, 1200, 0.3
 #: Classes of characters: a to z, digits, marks, and other letters by their code point.
-BASE, DIGIT, MARK, OTHERS = 48, 27, 28, 29
+BASE, DIGIT, MARK, OTHERS = 40, 27, 28, 29
 
 _SPACED = re.compile(r"(?<!\S)(?:\w[ .\-_*]){3,}\w(?!\w)")
 _WORD = re.compile(r"\S+")
@@ -125,10 +125,10 @@ class Machine:
         for k, u in enumerate(found):
             by[len(u)].append(k)
         for at in by.values():
-            for lo in range(0, len(at), 4096):
-                part = [found[k] for k in at[lo : lo + 4096]]
+            for lo in range(0, len(at), 1024):
+                part = [found[k] for k in at[lo : lo + 1024]]
                 c, w = subsequences(part)
-                out[at[lo : lo + 4096]] = (self.direction[c] @ w) / norms(part) + self.constant
+                out[at[lo : lo + 1024]] = (self.direction[c] @ w) / norms(part) + self.constant
         return out
 
     def score(self, found: np.ndarray) -> np.ndarray:
@@ -165,13 +165,13 @@ def kernels(found: list[str], landmarks: np.ndarray) -> np.ndarray:
     for k, u in enumerate(found):
         by[len(u)].append(k)
     for at in by.values():
-        for lo in range(0, len(at), 2048):
-            part = [found[k] for k in at[lo : lo + 2048]]
+        for lo in range(0, len(at), 512):
+            part = [found[k] for k in at[lo : lo + 512]]
             c, w = subsequences(part)
             total = np.zeros((len(part), out.shape[1]), np.float32)
             for t in range(len(w)):
                 total += w[t] * landmarks[c[:, t]]
-            out[at[lo : lo + 2048]] = total / norms(part)[:, None]
+            out[at[lo : lo + 512]] = total / norms(part)[:, None]
     return out
 
 
@@ -219,19 +219,27 @@ class _Evidence:
     """For each text the strings that one, two and three or more of its units hold; only strings of three or more toxic texts."""
 
     def __init__(self, toxic: list[list[str]], clean: list[list[str]]):
+        # strings are counted by a hash first, so that the many that come once or twice are never held together
+        places = np.zeros(1 << 22, np.uint16)
+        for found in toxic:
+            here = {g for u in set(found) for g in _strings(u)}
+            at = np.unique(np.fromiter((zlib.crc32(g.encode("latin-1")) & 0x3FFFFF for g in here), np.int64, len(here)))
+            places[at] = np.minimum(places[at], 65_000) + 1
         first: Counter = Counter()
         for found in toxic:
-            first.update({g for u in set(found) for g in _strings(u)})
+            first.update({g for u in set(found) for g in _strings(u) if places[zlib.crc32(g.encode("latin-1")) & 0x3FFFFF] >= 3})
+        del places
         number = {g: i for i, g in enumerate(sorted(g for g, n in first.items() if n >= 3))}
+        del first
         self.size, self.of = len(number), {}
-        none = np.zeros(0, np.int64)
+        none = np.zeros(0, np.int32)
         self.levels = []
         for texts in (clean, toxic):
             rows = []
             for found in texts:
                 for u in (own := set(found)):
                     if u not in self.of:
-                        self.of[u] = np.array([number[g] for g in _strings(u) if g in number], np.int64)
+                        self.of[u] = np.array([number[g] for g in _strings(u) if g in number], np.int32)
                 held, times = np.unique(np.concatenate([none, *(self.of[u] for u in own)]), return_counts=True)
                 rows.append([held[times > level] for level in range(3)])
             self.levels.append(rows)
@@ -252,14 +260,17 @@ class _Evidence:
             for g, k, n in zip(tried.tolist(), yes[tried].tolist(), (yes + no)[tried].tolist(), strict=True):
                 if k > 2 * share * n and log(len(tried)) + _tail(n, k, share) < log(0.05):
                     telling[g] = True
+        chosen = {u for k in toxic for u in self.toxic[k]}
+        chosen = {u for u in chosen if telling[self.of[u]].any()}
         beside: dict[str, set] = defaultdict(set)
         texts_of: Counter = Counter()
         for found in (self.toxic[k] for k in toxic):
             for k, u in enumerate(found):
-                beside[u].add((found[k - 1] if k else "", found[k + 1] if k + 1 < len(found) else ""))
-            texts_of.update(set(found))
+                if u in chosen:
+                    beside[u].add((found[k - 1] if k else "", found[k + 1] if k + 1 < len(found) else ""))
+            texts_of.update(chosen.intersection(found))
         # a passage that several texts copy has the same neighbours each time
-        return Counter({u: n for u, n in texts_of.items() if len(beside[u]) >= 0.6 * n and telling[self.of[u]].any()})
+        return Counter({u: n for u, n in texts_of.items() if len(beside[u]) >= 0.6 * n})
 
 
 def _tail(n: int, k: int, p: float) -> float:
@@ -289,12 +300,15 @@ def _fit(toxic: list[list[str]], clean: list[list[str]], marks: Counter, landmar
 
 def train(toxic: list[str], clean: list[str], share: float | None = None, landmarks: int = LANDMARKS, folds: int = 3) -> Machine | None:
     """None if no units speak for toxic texts. ``share`` is that of toxic texts where the samples were drawn from."""
-    groups = []
+    groups, of = [], {}
     for texts in (toxic, clean):
-        texts = sorted(set(texts), key=lambda t: (zlib.crc32(t.encode("utf-8", "replace")), t))
-        cut = [text_words(t) for t in texts]
-        of = units(list({w for words in cut for w in words}))
-        groups.append([[u for w in words for u in of[w]] for words in cut])
+        cut = []
+        for t in sorted(set(texts), key=lambda t: (zlib.crc32(t.encode("utf-8", "replace")), t)):
+            words = text_words(t)
+            of.update(units(list(set(words).difference(of))))
+            cut.append([u for w in words for u in of[w]])
+        groups.append(cut)
+    del of
     evidence = _Evidence(*groups)
 
     def machine_of(chosen: list[list[int]]) -> Machine | None:
