@@ -53,8 +53,10 @@ def match_form(text: pd.Series) -> pd.Series:
 
 
 def loose_form(text: Column) -> Column:
-    """Range marks as one, then white space, hyphens, underscores and tildes go."""
-    return F.regexp_replace(F.translate(text, "～至到—–", "~~~--"), r"[\s\-_~]", "")
+    """The match form with range marks as one, then without white space, hyphens, underscores and tildes."""
+    # fixed values: range marks, and the ASCII mark that each stands for
+    marks = F.translate(match_form(text), "～∼〜至到－—", "~~~~~--")
+    return F.regexp_replace(marks, r"[\s\-_~]", "")
 
 
 def keyword_pattern(keyword: str) -> str:

@@ -187,7 +187,7 @@ def t3_t4_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where("not same")
 
 
-@query(drawing_sql("annotations") + " SELECT id, regexp_replace(replace(replace(text, '～', '~'), '至', '~'), '[\\s\\-_~]', '', 'g') AS loose FROM annotations")
+@query(drawing_sql("annotations") + " SELECT id, regexp_replace(translate(replace(lower(text), 'ß', 'ss'), '～∼〜至到－—', '~~~~~--'), '[\\s\\-_~]', '', 'g') AS loose FROM annotations")
 def t5_loose_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawing(spark, sf_dir, "annotations").select("id", T.loose_form(F.col("text")).alias("loose"))
 

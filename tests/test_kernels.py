@@ -32,6 +32,8 @@ def test_text(spark):
     assert one(spark, T.decode_mtext(F.lit(r"\S1^2; \U+4E2D\U+zz"))) == "1/2 中\\U+zz"
     assert one(spark, T.decode_mtext(F.lit(None).cast("string"))) == ""
     assert one(spark, T.match_form(F.lit(" Straße\t Ａ "))) == "strasse a"
+    assert one(spark, T.loose_form(F.lit("Ａ1 ∼ B_2〜C至d－e — f–G"))) == "a1b2cdef–g"
+    assert one(spark, T.loose_form(F.lit(None).cast("string"))) is None
     assert T.keyword_pattern("a b") == "a.*b" and T.keyword_pattern("(x") == r"\(x"
 
 
