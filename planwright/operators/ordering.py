@@ -19,3 +19,28 @@ def with_row_number(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     offsets = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(first), F.lit(0)).alias("_before"))
     inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return dealt.withColumn(name, inner).join(offsets, "_part").withColumn(name, F.col(name) - 1 + F.col("_before")).drop("_part", "_before")
+
+
+def sorted_runs(rows: DataFrame, order: list[str], name: str = "runs") -> DataFrame:
+    """``rows`` staged as runs that ascend by ``order``, run after run; added are _run and _place (from 0, gapless in a run).
+
+    A run is what one task has sorted. Equal rows are dealt by a hash of their place in the input too, so many copies of one row
+    are not one run. Give it a scan or a staged table, which a lost executor's tasks read again in the same order.
+    """
+    salted = rows.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = salted.repartitionByRange(*order, "_salt").sortWithinPartitions(*order, "_salt").drop("_salt")
+    # numbers of rows in a task ascend from 0 in their low 33 bits; the task is above
+    at = F.monotonically_increasing_id()
+    return staged(dealt.withColumn("_at", at).select(*rows.columns, F.shiftright("_at", 33).cast("int").alias("_run"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_place")), name)
+
+
+def runs_of_groups(runs: DataFrame, group: list[str]) -> DataFrame:
+    """Of ``sorted_runs`` whose order begins with ``group``: each run's part of each group, with _rows, _total (rows of the group) and _shift.
+
+    ``_place + _shift`` is a row's place in its group, from 0. There are as many rows as runs, and one more for each border of groups.
+    """
+    parts = runs.groupBy("_run", *group).agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first"))
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")
+    return parts.select("_run", *group, "_rows", F.sum("_rows").over(whole).alias("_total"), shift.alias("_shift"))

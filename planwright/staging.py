@@ -33,14 +33,24 @@ def _folder(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def staged(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back; Spark removes it when it ends."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder, for tables of one job; Spark removes it when it ends."""
     path = f"{shared_dir(spark)}/planwright/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     where, files = _folder(spark, path)
     files.deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as Parquet to ``path`` and read it back."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back; Spark removes it when it ends."""
+    path = new_folder(df.sparkSession, name)
+    out = written(df, path)
     out.staged_path = path
     return out
 
