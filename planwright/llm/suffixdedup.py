@@ -99,7 +99,7 @@ def shared(a: bytes, b: bytes, known: int = 0) -> int:
 
 
 Entry = tuple[bytes, bytes, int, int, int, int]  # right context, left context (reversed), text, anchor, first and last start
-_HEAD = struct.Struct("<HHHqqHH")
+_HEAD = struct.Struct("<IIIqqII")
 
 
 def front_code(entries: list[Entry]) -> bytes:
@@ -267,9 +267,9 @@ def _spans(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, window: int | None = None, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """Remove every byte of each whole text that a string of ``length`` bytes covers which also starts anywhere else.
 
-    Texts are UTF-8 bytes (null: empty); strings never cross documents and are judged on the input. Every column of ``docs`` is
-    kept and n_bytes, n_removed, n_spans and kept_sha256 are added (replacing those of the same name); ``with_text`` puts what is
-    left in place of the text (a character that a cut goes through is dropped). Texts shorter than ``length`` come back
+    Texts are UTF-8 bytes (null: empty); strings never cross documents and are judged on the input. Every column of ``docs`` but the text
+    is kept, whatever its name, and n_bytes, n_removed, n_spans and kept_sha256 are added (replacing those of the same name); ``with_text`` keeps
+    the text too, as what is left of it (a character that a cut goes through is dropped). Texts shorter than ``length`` come back
     as they are; a text that occurs twice loses everything. Repeated rows count as copies; ids may be null or repeat.
     """
     window = window or max(1, length // 2)
@@ -286,9 +286,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 tids, texts_ = (b.column(i).slice(at, 256).to_pylist() for i in (0, 1))
                 parts = [(np.full(len(p), tid), p, f, e, h) for tid, t in zip(tids, texts_, strict=True) for p, f, e, h in [anchors(t.encode("utf-8", "replace"), length, window, gram)]]
                 tid, p, f, e, h = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(tid), pa.array(p.astype(np.int32)), pa.array((p - f).astype(np.int16)), pa.array((p - e).astype(np.int16))], ["h", "tid", "at", "far", "near"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(tid), pa.array(p.astype(np.int32)), pa.array((p - f).astype(np.int32)), pa.array((p - e).astype(np.int32))], ["h", "tid", "at", "far", "near"])
 
-    filed = staged(texts.select("tid", "text").mapInArrow(file, "h long, tid long, at int, far short, near short"), "anchors")
+    filed = staged(texts.select("tid", "text").mapInArrow(file, "h long, tid long, at int, far int, near int"), "anchors")
     twice = staged(filed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-anchors")
     wanted = staged(filed.join(twice, "h").groupBy("tid").agg(F.collect_list(F.struct("at", "far", "near", "h")).alias("anchors")), "wanted")
     total = wanted.agg(F.sum(F.size("anchors"))).first()[0] or 0
@@ -365,13 +365,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["text_key", "removed", "spans", "sha", "left_text"])
 
     told = staged(texts.select("tid", "text_key", "text").join(cover, "tid").select("text_key", "text", "cover").mapInArrow(cut, "text_key binary, removed long, spans long, sha string, left_text string"), "cut")
-    keep = [c for c in docs.columns if c not in added]
-    shown = [F.coalesce("left_text", text_col).alias(text_col) if with_text and c == text_col else F.col(c) for c in keep]
+    # the rows' own columns travel in one struct, so that no name of theirs can clash
+    keep = [c for c in docs.columns if c not in added and (with_text or c != text_col)]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(*keep, key.alias("text_key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(F.encode(text, "UTF-8"), 256).alias("whole_sha"))
-    if not with_text:
-        keep = [c for c in keep if c != text_col]
-        shown = [F.col(c) for c in keep]
-        rows = rows.drop(text_col)
+    own = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None)
+    rows = docs.select(own.alias("row"), key.alias("text_key"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(F.encode(text, "UTF-8"), 256).alias("whole_sha"))
+    shown = [F.coalesce("left_text", F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in keep]
     out = rows.join(told, "text_key", "left")
-    return out.select(*shown, "n_bytes", F.coalesce("removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("sha", "whole_sha").alias("kept_sha256"))
+    none = F.lit(0).cast("long")
+    return out.select(*shown, "n_bytes", F.coalesce("removed", none).alias("n_removed"), F.coalesce("spans", none).alias("n_spans"), F.coalesce("sha", "whole_sha").alias("kept_sha256"))

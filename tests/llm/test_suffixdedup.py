@@ -56,3 +56,17 @@ def test_loser_tree_merges_with_prefixes():
     assert [e[0] for _, e in merged] == sorted(e[0] for e in entries)
     for (_, a), (k, b) in zip(merged, merged[1:], strict=False):
         assert k == S.shared(a[0], b[0])
+
+
+def test_any_column_name_and_long_strings(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefgh") for _ in range(75_000))
+    names = "text_key removed spans sha left_text whole_sha row tid n_removed".split()
+    rows = [(1, "x" + long + "y", *names), (2, "zz" + long, *names), (3, long[:60_000], *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = S.remove_repeats(docs, length=70_000)
+    got = {r.doc_id: r for r in out.collect()}
+    assert {k: (r.n_removed, r.n_spans) for k, r in got.items()} == {1: (75_000, 1), 2: (75_000, 1), 3: (0, 0)}
+    assert all(r[n] == n for r in got.values() for n in names if n != "n_removed") and "text" not in out.columns
+    kept = {r.doc_id: r.text for r in S.remove_repeats(docs, length=70_000, with_text=True).collect()}
+    assert kept == {1: "xy", 2: "zz", 3: long[:60_000]}
