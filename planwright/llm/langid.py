@@ -19,17 +19,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planwright.llm.sampling import bounded_sample, held_out, learnable
+from planwright.llm.sampling import MOST_CLASSES, SAMPLE_TEXT_BYTES, bounded_sample, held_out, learnable
 
 ORDER, DOCS_PER_LANGUAGE, MOST_CELLS = 4, 150, 24_000_000
 
 
+class Sparse:
+    """The same as a dense table of steps, found by bisection; for tries of many cells."""
+
+    def __init__(self, nodes: np.ndarray, symbols: np.ndarray, to: np.ndarray, base: int):
+        key = nodes.astype(np.int64) * base + symbols
+        by = np.argsort(key)
+        self.key, self.to, self.base = key[by], to[by].astype(np.int32), base
+
+    def __getitem__(self, at: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        key = at[0].astype(np.int64) * self.base + at[1]
+        found = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[found] == key, self.to[found], 0).astype(np.int32)
+
+
 @dataclass
 class Trees:
     languages: list[str]
     order: int
     symbol: np.ndarray  # of each byte value; 0 is the border between texts
-    step: np.ndarray  # [node, symbol] -> node, 0 if there is none; node 1 is the root
+    step: np.ndarray | Sparse  # [node, symbol] -> node, 0 if there is none; node 1 is the root
     cost: np.ndarray  # [node, language]: bits of the node's last byte after the bytes before it
     leave: np.ndarray  # [node, language]: bits to leave the node as a context
 
@@ -83,7 +97,7 @@ class Trees:
 
 
 def grow(samples: dict[str, list[bytes]], order: int = ORDER, most_cells: int = MOST_CELLS) -> Trees:
-    """Count contexts of all samples; a smaller order is taken if the trie would have over ``most_cells`` cells."""
+    """Count contexts of all samples; a trie of over ``most_cells`` cells has its steps in a sorted list, which gives the same."""
     languages = sorted(samples)
     seen = np.zeros(256, bool)
     for texts in samples.values():
@@ -119,11 +133,10 @@ def grow(samples: dict[str, list[bytes]], order: int = ORDER, most_cells: int =
         by = np.argsort(merged)
         codes[d] = merged[by]
         counts[d] = np.concatenate([counts[d], np.zeros((len(new), len(languages)))])[by]
-    while order > 1 and sum(map(len, codes[: order + 1])) * base > most_cells:
-        order -= 1
-        codes, counts = codes[: order + 2], counts[: order + 2]
     first = np.cumsum([1, *map(len, codes)])  # node number of the first of each depth
-    step = np.zeros((first[order + 1], base), np.int32)
+    dense = first[order + 1] * base <= most_cells
+    step = np.zeros((first[order + 1], base), np.int32) if dense else None
+    links: list[tuple[np.ndarray, ...]] = []
     total = first[order + 2]
     cost = np.zeros((total, len(languages)), np.float32)
     leave = np.zeros((total, len(languages)), np.float32)
@@ -131,7 +144,10 @@ def grow(samples: dict[str, list[bytes]], order: int = ORDER, most_cells: int =
     for d in range(1, order + 2):
         parent = np.searchsorted(codes[d - 1], codes[d] // base)
         nodes = first[d] + np.arange(len(codes[d]))
-        step[first[d - 1] + parent, codes[d] % base] = nodes
+        if dense:
+            step[first[d - 1] + parent, codes[d] % base] = nodes
+        else:
+            links.append((first[d - 1] + parent, codes[d] % base, nodes))
         n = np.zeros((len(codes[d - 1]), len(languages)))
         t = np.zeros_like(n)
         np.add.at(n, parent, counts[d])
@@ -149,19 +165,21 @@ def grow(samples: dict[str, list[bytes]], order: int = ORDER, most_cells: int =
             shorter = np.where(known[:, None], below[at], 8.0)
         below = np.where(counts[d] > 0, own, out[parent] + shorter)
         cost[nodes] = below
+    if not dense:
+        step = Sparse(*(np.concatenate(x) for x in zip(*links, strict=True)), base)
     return Trees(languages, order, symbol, step, cost, leave)
 
 
-def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE, order: int = ORDER) -> DataFrame:
+def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE, order: int = ORDER, sample_text_bytes: int = SAMPLE_TEXT_BYTES, most_languages: int = MOST_CLASSES) -> DataFrame:
     """Predict the language of each whole text; one row for each row.
 
-    Trees are grown from about ``docs_per_language`` rows of each language (``sampling.bounded_sample``) outside the
-    held-out fold. Returns ``id_col``, held_out, lang_pred, score (the posterior of equally likely languages), bits_per_byte.
+    Trees are grown from about ``docs_per_language`` different texts of each of the ``most_languages`` most frequent languages, outside the held-out
+    fold; of texts of over ``sample_text_bytes`` bytes from a passage of that size (``sampling.bounded_sample``). Returns ``id_col``, held_out, lang_pred, score (the posterior of equally likely languages), bits_per_byte.
     Null texts and texts without a letter, and all texts if there is nothing to learn from, give ``und`` with score 0.
     Equal code lengths: the first language in byte order. Rows may repeat; further columns are ignored.
     """
     spark = docs.sparkSession
-    sample = bounded_sample(docs.where(learnable(id_col)).select(id_col, text_col, lang_col), lang_col, docs_per_language, id_col, text_col)
+    sample = bounded_sample(docs.where(learnable(id_col)).select(id_col, text_col, lang_col), lang_col, docs_per_language, text_col, sample_text_bytes, most_languages)
     model = spark.sparkContext.broadcast(grow({str(k): [t.encode("utf-8", "replace") for t in v] for k, v in sample.items()}, order) if sample else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

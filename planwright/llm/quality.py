@@ -20,8 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from planwright.llm.sampling import SAMPLE_TEXT_BYTES
-
 BAD, GOOD, NONE = "b", "g", "-"
 #: Hashed features: runs of four character classes, and word and line traits.
 GRAMS, TRAITS = 4096, 512
@@ -152,32 +150,41 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def pattern(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([votes(traits(t or "")) for t in b.column(0).to_pylist()], pa.string())], ["votes"])
+            yield pa.RecordBatch.from_arrays([pa.array([votes(traits(t or "")) for t in b.column(0).to_pylist()], pa.string()), b.column(1)], ["votes", "draw"])
 
-    counted = docs.select(text_col).mapInArrow(pattern, "votes string").groupBy("votes").count()
+    # equal texts have one number, so copies are drawn together
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 30))
+    counted = docs.select(text_col, draw).mapInArrow(pattern, "votes string, draw long").groupBy("votes").agg(F.count(F.lit(1)), F.approx_count_distinct("draw", 0.02))
     # at most three votes to the power of the number of labellers
-    counts = {r[0]: r[1] for r in counted.collect()}
+    told_counts = counted.collect()
+    counts, different = ({r[0]: r[i] for r in told_counts} for i in (1, 2))
     posterior = fit_votes(counts)
-    likely = {side: sum(n for p, n in counts.items() if (posterior[p] >= 0.5) == side) for side in (True, False)}
+    likely = {side: sum(n for p, n in different.items() if (posterior[p] >= 0.5) == side) for side in (True, False)}
     shares = {side: min(1.0, sample_docs / 2 / max(1, n)) for side, n in likely.items()}
     told = spark.sparkContext.broadcast((posterior, shares))
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, part = told.value
         for b in batches:
             rows = []
             for text, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if at < max(part.values()) and (p := known[votes(traits(text))]) is not None and at < part[p >= 0.5]:
-                    rows.append((text, p, at))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))], ["text", "posterior", "at"])
-
-    drawn = docs.where(F.octet_length(text_col) <= SAMPLE_TEXT_BYTES).select(F.col(text_col).alias("text"), (F.pmod(F.xxhash64(F.col(id_col).cast("string"), text_col), F.lit(1 << 30)) / float(1 << 30)).alias("at"))
-    # rows that neither share can take stay in the JVM
-    drawn = drawn.where(F.col("at") < max(shares.values())).mapInArrow(draw, "text string, posterior double, at double").collect()
-    drawn = sorted(drawn, key=lambda r: (r["at"], r["text"]))
+                t = traits(text)
+                if (p := known[votes(t)]) is not None and at / float(1 << 30) < part[p >= 0.5]:
+                    f = features(text, t)
+                    own = np.flatnonzero(f).astype(np.int16)
+                    rows.append((at, p, own.tobytes(), f[own].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.float64(), pa.binary(), pa.binary()))], ["draw", "posterior", "places", "values"])
+
+    # rows that neither share can take stay in the JVM; of a drawn text only its features are sent, and copies once
+    drawn = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), draw.alias("draw")).where(F.col("draw") < max(shares.values()) * (1 << 30))
+    drawn = drawn.mapInArrow(rows_of, "draw long, posterior double, places binary, values binary").dropDuplicates(["draw", "places", "values"]).collect()
+    drawn = sorted(drawn, key=lambda r: (r["draw"], bytes(r["places"]), bytes(r["values"])))
     weights = None
     if drawn and 0.02 < (mean := float(np.mean([r["posterior"] for r in drawn]))) < 0.98 and mean:
-        weights = fit_scorer(np.stack([features(r["text"], traits(r["text"])) for r in drawn]), np.array([r["posterior"] for r in drawn]))
+        table = np.zeros((len(drawn), GRAMS + TRAITS), np.float32)
+        for k, r in enumerate(drawn):
+            table[k, np.frombuffer(r["places"], np.int16)] = np.frombuffer(r["values"], np.float32)
+        weights = fit_scorer(table, np.array([r["posterior"] for r in drawn]))
     model = spark.sparkContext.broadcast((posterior, weights))
     added = {"quality_posterior", "quality_score", "quality_keep"}
     kept = [c for c in docs.columns if c not in added]

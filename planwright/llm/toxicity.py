@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from planwright.llm.sampling import SAMPLE_TEXT_BYTES, held_out, learnable
+from planwright.llm.sampling import SAMPLE_TEXT_BYTES, held_out, learnable, passage
 
 DECAY, SHORTEST, LONGEST = 0.6, 3, 20
 LANDMARKS, SAMPLE_DOCS, THRESHOLD = 192, 1200, 0.3
@@ -378,18 +378,21 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = SAMPLE_DOCS, sample_text_bytes: int = SAMPLE_TEXT_BYTES) -> Machine | None:
-    """Train on about ``sample_docs`` labelled rows of either kind outside the held-out fold; texts of over ``sample_text_bytes`` aren't drawn."""
+    """Train on about ``sample_docs`` labelled ids of either kind outside the held-out fold.
+
+    An id that has several texts gives one of them; of a text of over ``sample_text_bytes`` bytes a passage of that size is learned.
+    """
     marked = labels.where(learnable(id_col)).select(id_col, label_col).where(f"`{label_col}` in (0, 1)").distinct()
     counts = {r[0]: r[1] for r in marked.groupBy(label_col).count().collect()}
     # ids are drawn before texts are looked up, so no text is shuffled; the drawn ids are about twice the sample at most
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30))
     share = F.coalesce(*[F.when(F.col(label_col) == c, min(1.0, 1.2 * sample_docs / n) * (1 << 30)) for c, n in counts.items()], F.lit(0.0))
     drawn = marked.withColumn("_draw", draw).where(F.col("_draw") < share)
-    rows = docs.where(F.octet_length(text_col) <= sample_text_bytes).select(id_col, text_col).join(F.broadcast(drawn), id_col)
-    # equal rows count once, so a text that is repeated ever so often is sent once
-    rows = rows.groupBy(label_col, "_draw", F.sha2(text_col, 256)).agg(F.first(text_col).alias("text"))
+    drawn = drawn.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"), "_draw")
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(drawn), "_id")
+    rows = rows.groupBy("_label", "_id").agg(F.min("_draw").alias("_draw"), F.min(passage("_text", sample_text_bytes)).alias("text"))
     found: dict[int, list[tuple[int, str]]] = {0: [], 1: []}
-    for label, order, text in rows.select(label_col, "_draw", "text").collect():
+    for label, order, text in rows.select("_label", "_draw", "text").collect():
         found[label].append((order, text))
     toxic, clean = ([t for _, t in sorted(found[c])[:sample_docs]] for c in (1, 0))
     return train(toxic, clean, counts.get(1, 0) / max(1, sum(counts.values())))

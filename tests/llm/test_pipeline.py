@@ -6,6 +6,7 @@ import zlib
 import corpus_pipeline as C
 import numpy as np
 import public_tokenizers as P
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from planwright.llm import quality, simhash, toxicity
@@ -113,3 +114,37 @@ def test_stages_take_odd_rows(spark):
             assert [r.text for r in got].count(prose) <= 1 and sum(not r.text for r in got) == 1 and any(r.text == "é 中文" for r in got)
         if name == "suffix-dedup":
             assert not any(r.text == prose for r in got) and sum(not r.text for r in got) == 3
+
+
+NAMES = "text_key removed spans sha left_text whole_sha row number group first draw votes tid copies begin end cover fp h at far near n_bytes c0 _planwright_row"
+
+
+def test_stages_take_any_column_name(spark):
+    """Further columns may have the names that the operators use inside."""
+    rng = random.Random(2)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n))
+    shared, long = text(60), text(60_000)
+    texts = [f"{text(30)} {shared} {text(20)}" for _ in range(6)] + [long, long + " and more.", None, ""]
+    names = [n for n in NAMES.split() if n != "n_bytes"]
+    rows = [(k, t, "s", *(f"{n}{k}" for n in names)) for k, t in enumerate(texts)] * 2
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, source string", *(f"{n} string" for n in names)]))
+    for name, stage in C.STAGES:
+        out = stage(spark, docs, SF)
+        got = out.collect()
+        if name != "packing":
+            assert out.columns == docs.columns
+            assert all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+        if name == "near-dedup":
+            assert [r.doc_id for r in got if r.doc_id >= 8] == [8] and len([r for r in got if r.doc_id in (6, 7)]) <= 2
+        if name == "suffix-dedup":
+            assert not any(shared in (r.text or "") or long in (r.text or "") for r in got)
+
+
+def test_survivors_do_not_depend_on_partitions(spark):
+    rows = [(k % 3 or None, f"the same words stand here in every row {k % 2}", str(k)) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra string")
+    got = [rows_of(dict(C.STAGES)["near-dedup"](spark, df.repartition(n).sortWithinPartitions(F.desc("extra")), SF)) for n in (1, 3, 7)]
+    assert got[0] == got[1] == got[2] and len(got[0]) <= 2
+
+
+rows_of = rows
