@@ -97,70 +97,6 @@ def suppress(boxes: Column, most: float) -> Column:
     return F.aggregate(boxes, none, lambda kept, b: F.when(F.exists(kept, lambda k: iou(k, b) >= most), kept).otherwise(F.array_append(kept, b)))
 
 
-def multiline(rows: DataFrame, key: str, height: float | None = None) -> DataFrame:
-    """(key, first_id, size, text): texts that stand under each other, joined from top to bottom.
-
-    ``rows`` has key, id, text, x, y and height (null: unknown). Bands and line gaps follow the median height (80 if unknown).
-    """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        known = group["height"][group["height"] > 0]
-        h = float(known.median()) if len(known) else 80.0
-        wide, gap = max(300.0, 3 * h), max(250.0, 2.5 * h)
-        rows_ = sorted(group[["id", "text", "x", "y"]].itertuples(index=False), key=lambda r: (round(r.x / wide), -r.y, r.id))
-        groups: list[dict] = []
-        for r in rows_:
-            home = next((g for g in groups if abs(g["x"] - r.x) <= wide and g["y"] - r.y <= gap and r.y <= g["y"] + gap), None)
-            if home is None:
-                groups.append({"x": r.x, "y": r.y, "rows": [r]})
-                continue
-            home["rows"].append(r)
-            n = len(home["rows"])
-            home["x"], home["y"] = (home["x"] * (n - 1) + r.x) / n, r.y
-        out = []
-        for g in groups:
-            lines = sorted(g["rows"], key=lambda r: -r.y)
-            text = " ".join(r.text for r in lines if r.text).strip()
-            if len(lines) > 1 and text:
-                out.append((group[key].iloc[0], lines[0].id, len(lines), text))
-        return pd.DataFrame(out, columns=[key, "first_id", "size", "text"])
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandas(run, f"`{key}` {kind}, first_id long, size int, text string")
-
-
-def bisect_chunks(nodes: DataFrame, key: str, least: int = 8, depth: int = 10) -> DataFrame:
-    """(key, node, chunk): layouts cut at the median of their main axis while they are long or loose, in the way of a worklist.
-
-    ``nodes`` has key, node, x, y, area. Nodes under a fifth of the median area go first.
-    """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group[group["area"] >= 0.2 * group["area"].median()].sort_values("node")
-        whole, work, done = group["area"].sum(), [(group, 0)], []
-        while work:
-            part, d = work.pop(0)
-            xy = part[["x", "y"]].to_numpy()
-            if len(part) >= 2 * least and d < depth:
-                centred = xy - xy.mean(axis=0)
-                values, axes = np.linalg.eigh(centred.T @ centred / len(xy))
-                turned = centred @ axes
-                span = turned.max(axis=0) - turned.min(axis=0) + 1e-9
-                box = float(np.prod(span))
-                if part["area"].sum() > 0.03 * whole and (span.max() / span.min() > 1.9 or part["area"].sum() / box < 0.65):
-                    along = turned[:, 1] * (1 if axes[np.abs(axes[:, 1]).argmax(), 1] > 0 else -1)
-                    low = along <= np.median(along)
-                    if 0 < low.sum() < len(part):
-                        work += [(part[low], d + 1), (part[~low], d + 1)]
-                        continue
-            done.append(part)
-        out = [(group[key].iloc[0], n, i) for i, part in enumerate(done) for n in part["node"]] if len(group) else []
-        return pd.DataFrame(out, columns=[key, "node", "chunk"])
-
-    kind = nodes.schema[key].dataType.simpleString()
-    return nodes.groupBy(key).applyInPandas(run, f"`{key}` {kind}, node long, chunk int")
-
-
 def laplacian_encodings(edges: DataFrame, key: str, k: int = 8) -> DataFrame:
     """(key, node, encoding array of k): eigenvectors of the normalised Laplacian after the first, signs fixed, zero padded."""
 

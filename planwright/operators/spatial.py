@@ -43,31 +43,34 @@ def box_semi_join(left: DataFrame, right: DataFrame, key: str, left_box: str, ri
     return left.join(hits, key, "left_semi")
 
 
-def nearest_points(points: DataFrame, anchors: DataFrame, key: str, anchor: str, cell: float, growth: int = 8) -> DataFrame:
-    """(``key``, ``anchor``): the anchor nearest to each point (columns x and y; unique keys); of equally near ones the least. None if there are no anchors.
+def nearest_points(points: DataFrame, anchors: DataFrame, key: str, anchor: str, cell: float, growth: int = 8, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(``key``, ``keys``, ``anchor``): of the anchors of equal ``keys`` the one nearest to each point (columns x and y; ``key`` is unique); of equally near ones the least. None if there are none.
 
     Points meet the anchors of their own and the eight cells around it by an equi-join. What is found within one cell's size is
     the nearest; the other points are left for the next round, with cells ``growth`` times as large and as many anchors
     in each. Points that are far from all anchors are few where drawings are labelled.
     """
     span = anchors.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    done = points.select(key, F.lit(None).cast(anchors.schema[anchor].dataType).alias(anchor))
+    done = points.select(key, *keys, F.lit(None).cast(anchors.schema[anchor].dataType).alias(anchor))
     if span[0] is None:
         return done
-    done, left = done.where("false"), staged(points.select(key, "x", "y"), "points")
+    done, left = done.where("false"), staged(points.select(key, *keys, "x", "y"), "points")
     reach = left.agg(F.max(F.greatest(F.abs(F.col("x") - span[2]), F.abs(F.col("x") - span[3]), F.abs(F.col("y") - span[4]), F.abs(F.col("y") - span[5])))).first()[0] or 0.0
     around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
     last = False
     while not last:
         last = cell > 2 * (reach + span[0] + span[1])  # every anchor is then within a cell of every point
-        near = left.withColumn("_d", F.explode(around)).select(key, "x", "y", (F.floor(F.col("x") / cell) + F.col("_d.a")).alias("_cx"), (F.floor(F.col("y") / cell) + F.col("_d.b")).alias("_cy"))
-        there = anchors.select(anchor, F.col("x").alias("_ax"), F.col("y").alias("_ay"), F.floor(F.col("x") / cell).alias("_cx"), F.floor(F.col("y") / cell).alias("_cy"))
+        near = left.withColumn("_d", F.explode(around)).select(key, *keys, "x", "y", (F.floor(F.col("x") / cell) + F.col("_d.a")).alias("_cx"), (F.floor(F.col("y") / cell) + F.col("_d.b")).alias("_cy"))
+        there = anchors.select(anchor, *keys, F.col("x").alias("_ax"), F.col("y").alias("_ay"), F.floor(F.col("x") / cell).alias("_cx"), F.floor(F.col("y") / cell).alias("_cy"))
         far = (F.col("x") - F.col("_ax")) ** 2 + (F.col("y") - F.col("_ay")) ** 2
-        best = near.join(there, ["_cx", "_cy"]).groupBy(key).agg(F.min(F.struct(far.alias("d"), F.col(anchor).alias("a"))).alias("m"))
+        best = near.join(there, [*keys, "_cx", "_cy"]).groupBy(key).agg(F.min(F.struct(far.alias("d"), F.col(anchor).alias("a"))).alias("m"))
         best = staged(left.join(best, key, "left"), "nearest")
         found = F.col("m").isNotNull() if last else F.coalesce(F.col("m.d") <= cell * cell, F.lit(False))
-        done = done.unionByName(best.where(found).select(key, F.col("m.a").alias(anchor)))
-        left = best.where(~found).select(key, "x", "y")
+        done = done.unionByName(best.where(found).select(key, *keys, F.col("m.a").alias(anchor)))
+        rest = best.where(~found).select(key, *keys, "x", "y")
+        if last:  # those that have no anchor at all
+            done = done.unionByName(rest.select(key, *keys, F.lit(None).cast(anchors.schema[anchor].dataType).alias(anchor)))
+        left = rest
         last = last or left.isEmpty()
         cell *= growth
     return done

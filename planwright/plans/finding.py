@@ -114,17 +114,17 @@ def f21_request_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", verdict.alias("verdict"))
 
 
-@query(drawing_sql("regions") + """, d AS (SELECT greatest(0.5, least(5.0, (max(x0 + w) - min(x0)) * 0.01)) AS d FROM regions WHERE file_id = 2)
-SELECT a.region_id AS src, b.region_id AS dst FROM regions a JOIN regions b ON a.file_id = 2 AND b.file_id = 2 AND a.region_id < b.region_id, d
+@query(drawing_sql("regions") + """, d AS (SELECT file_id, greatest(0.5, least(5.0, (max(x0 + w) - min(x0)) * 0.01)) AS d FROM regions GROUP BY 1)
+SELECT a.region_id AS src, b.region_id AS dst FROM regions a JOIN regions b ON a.file_id = b.file_id AND a.region_id < b.region_id JOIN d ON d.file_id = a.file_id
 WHERE sqrt(pow(greatest(a.x0 - b.x0 - b.w, b.x0 - a.x0 - a.w, 0), 2) + pow(greatest(a.y0 - b.y0 - b.h, b.y0 - a.y0 - a.h, 0), 2)) < d""")
 def j11_adaptive_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distance is 1 % of the drawing's width, within 0.5 and 5."""
-    r = drawing(spark, sf_dir, "regions").where("file_id = 2").withColumn("box", G.ring_box(ring()))
-    width = r.agg((F.max("box.max_x") - F.min("box.min_x")).alias("w")).first()["w"] or 0.0
-    d = max(0.5, min(5.0, width * 0.01))
-    a, b = r.select(F.col("region_id").alias("src"), F.col("box").alias("l")), r.select(F.col("region_id").alias("dst"), F.col("box").alias("r"))
+    """The distance is 1 % of each drawing's width, within 0.5 and 5."""
+    r = drawing(spark, sf_dir, "regions").withColumn("box", G.ring_box(ring()))
+    width = r.groupBy("file_id").agg(F.greatest(F.lit(0.5), F.least(F.lit(5.0), (F.max("box.max_x") - F.min("box.min_x")) * 0.01)).alias("d"))
+    a = r.join(width, "file_id").select("file_id", F.col("region_id").alias("src"), F.col("box").alias("l"), "d")
+    b = r.select("file_id", F.col("region_id").alias("dst"), F.col("box").alias("r"))
     gap = [F.greatest(F.col(f"l.min_{k}") - F.col(f"r.max_{k}"), F.col(f"r.min_{k}") - F.col(f"l.max_{k}"), F.lit(0.0)) for k in "xy"]
-    return box_join(a, b, "l", "r", 32.0, (F.col("src") < F.col("dst")) & (F.sqrt(gap[0] ** 2 + gap[1] ** 2) < d), d).select("src", "dst")
+    return box_join(a, b, "l", "r", 32.0, (F.col("src") < F.col("dst")) & (F.sqrt(gap[0] ** 2 + gap[1] ** 2) < F.col("d")), 5.0, ("file_id",)).select("src", "dst")
 
 
 @query(drawing_sql("regions") + " SELECT region_id, greatest(0, w - 9) * greatest(0, h - 5) AS area FROM regions")

@@ -264,13 +264,13 @@ def j18_first_parent_with_keyword(spark: SparkSession, sf_dir: str) -> DataFrame
     return box_join(r.where(~F.contains("layer", F.lit("H"))).select("region_id", "box"), parents, "box", "p", 32.0).groupBy("region_id").agg(F.min(F.struct("parent_id", "layer")).alias("f")).select("region_id", "f.*")
 
 
-@query(drawing_sql("entities") + """, a AS (SELECT entity_id AS anchor, x AS ax, y AS ay FROM entities WHERE type = 'TEXT'),
-d AS (SELECT entity_id, anchor, row_number() OVER (PARTITION BY entity_id ORDER BY (x - ax) * (x - ax) + (y - ay) * (y - ay), anchor) AS k FROM entities, a)
+@query(drawing_sql("entities") + """, a AS (SELECT file_id, entity_id AS anchor, x AS ax, y AS ay FROM entities WHERE type = 'TEXT'),
+d AS (SELECT entity_id, anchor, row_number() OVER (PARTITION BY entity_id ORDER BY (x - ax) * (x - ax) + (y - ay) * (y - ay), anchor) AS k FROM entities LEFT JOIN a USING (file_id))
 SELECT entity_id, anchor FROM d WHERE k = 1""")
 def j19_nearest_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anchors are the texts of the drawings."""
-    e = drawing(spark, sf_dir, "entities").select("entity_id", "type", "x", "y")
-    return nearest_points(e.drop("type"), e.where("type = 'TEXT'").select(F.col("entity_id").alias("anchor"), "x", "y"), "entity_id", "anchor", 64.0)
+    """Anchors are the texts of the same drawing."""
+    e = drawing(spark, sf_dir, "entities").select("file_id", "entity_id", "type", "x", "y")
+    return nearest_points(e.drop("type"), e.where("type = 'TEXT'").select("file_id", F.col("entity_id").alias("anchor"), "x", "y"), "entity_id", "anchor", 64.0, keys=("file_id",)).select("entity_id", "anchor")
 
 
 @query(drawing_sql("entities") + """, k AS (SELECT sqrt(pow(x - 2000, 2) + pow(y - 2000, 2)) AS d FROM entities ORDER BY d LIMIT 25), p AS (SELECT d FROM k WHERE d > 0 ORDER BY d LIMIT 15) SELECT round(median(d), 6) AS scale FROM p""")
@@ -294,11 +294,11 @@ def j22_masks_with_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawing(spark, sf_dir, "regions").join(d, ["layout_id", "chunk_id"], "left_semi").select("region_id")
 
 
-@query(drawing_sql("regions") + " SELECT DISTINCT a.layout_id, b.chunk_id FROM (SELECT DISTINCT layout_id FROM regions) a, (SELECT DISTINCT chunk_id FROM regions WHERE chunk_id < 4) b")
+@query(drawing_sql("regions") + " SELECT DISTINCT a.layout_id, b.chunk_id FROM (SELECT DISTINCT layout_id FROM regions) a, (SELECT DISTINCT chunk_id FROM regions) b")
 def j23_work_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layouts times chunks, both lists that a user picked."""
+    """Layouts times chunks: every pair is a work item, so the product is the result."""
     r = drawing(spark, sf_dir, "regions")
-    return r.select("layout_id").distinct().crossJoin(r.where("chunk_id < 4").select("chunk_id").distinct())
+    return r.select("layout_id").distinct().crossJoin(r.select("chunk_id").distinct())
 
 
 @query("WITH i AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings), w(i) AS (VALUES (0), (7), (99), (99999999)) SELECT w.i AS i, vec_id FROM w JOIN i ON w.i = i.i")

@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 from planwright.functions import geometry as G
 from planwright.functions import text as T
 from planwright.functions import vectors as V
-from planwright.operators import blocks, graph, kernels
+from planwright.operators import blocks, graph, kernels, occupancy
+from planwright.operators.chunking import chunk_layouts
+from planwright.operators.community import communities
+from planwright.operators.islands import stacked_texts
+from planwright.operators.occupancy import cell_components, dilated
 from planwright.operators.spatial import box_join
 from planwright.plans.joins import region_graph
 from planwright.plans.layouts import ring
 from planwright.plans.registry import query
 from planwright.sources.drawings import drawing, drawing_sql
 from planwright.sources.tables import table
+from planwright.staging import staged
 
 # ---------------------------------------------------------------- geometry
 
@@ -205,11 +210,15 @@ def t7_multi_query_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawing(spark, sf_dir, "annotations").withColumn("hit", hit).where(F.size("hit") > 0).select("id", F.array_join("hit", ",").alias("queries"))
 
 
-@query()
+@query(drawing_sql("annotations") + """, l AS (SELECT layer, id, text, y / 4 AS y, CAST(floor(x / 20 / 300 + 0.5) AS BIGINT) AS band FROM annotations),
+c AS (SELECT *, CASE WHEN lag(y) OVER w - y > 250 THEN 1 ELSE 0 END AS cut FROM l WINDOW w AS (PARTITION BY layer, band ORDER BY y DESC, id)),
+i AS (SELECT *, sum(cut) OVER (PARTITION BY layer, band ORDER BY y DESC, id ROWS UNBOUNDED PRECEDING) AS island FROM c)
+SELECT layer, arg_min(id, (-y, id)) AS first_id, CAST(count(*) AS INTEGER) AS size, trim(string_agg(text, ' ' ORDER BY y DESC, id) FILTER (trim(text) <> '')) AS text FROM i
+GROUP BY layer, band, island HAVING count(*) > 1 AND count(*) FILTER (trim(text) <> '') > 0""")
 def t8_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-dependent, so by group."""
+    """Texts of several lines in each layer, by bands and gaps."""
     a = drawing(spark, sf_dir, "annotations").select("layer", "id", "text", (F.col("x") / 20).alias("x"), (F.col("y") / 4).alias("y"), F.lit(None).cast("double").alias("height"))
-    return kernels.multiline(a, "layer")
+    return stacked_texts(a, "layer")
 
 
 @query(drawing_sql("annotations") + " SELECT id FROM annotations WHERE length(text) <= 48 AND regexp_matches(text, '^(The|Der|De|La) ')")
@@ -412,18 +421,41 @@ def r1_polygonise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return faces.withColumn("group_id", F.regexp_replace("group_id", "/[0-9]+$", ""))
 
 
+def region_layouts(spark: SparkSession, sf_dir: str, reach: float = 120.0) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the layouts of all drawings: regions at most ``reach`` apart hang together, and three or more make a layout, named by the least."""
+    regions = drawing(spark, sf_dir, "regions")
+    edges = staged(region_graph(regions, reach), "region-graph")
+    found = graph.connected_components(edges).withColumnsRenamed({"node": "region_id", "component": "layout"})
+    found = staged(found.withColumn("n", F.count("*").over(Window.partitionBy("layout"))).where("n >= 3").drop("n"), "layouts")
+    closed = F.concat(ring(), F.slice(ring(), 1, 1))
+    nodes = regions.join(found, "region_id").select("layout", F.col("region_id").alias("node"), (F.col("w") * F.col("h")).alias("area"), (2 * (F.col("w") + F.col("h"))).alias("perimeter"), (F.col("x0") + F.col("w") / 2).alias("x"), (F.col("y0") + F.col("h") / 2).alias("y"), closed.alias("ring"))
+    return nodes, edges.join(found.withColumnRenamed("region_id", "src"), "src").select("layout", "src", "dst", F.col("weight").cast("long").alias("weight"))
+
+
+@query()
+def r3_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Louvain communities of each layout at a resolution of 1.5."""
+    nodes, edges = region_layouts(spark, sf_dir)
+    found = communities(nodes.select(F.col("layout").alias("block"), "node", F.lit(3).alias("twice_resolution")), edges.withColumnRenamed("layout", "block"))
+    return found.select(F.col("block").alias("layout"), "node", "community")
+
+
 @query()
 def r3_recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = drawing(spark, sf_dir, "regions")
-    nodes = r.select((F.col("file_id") * 8 + F.col("layout_id")).alias("layout"), F.col("region_id").alias("node"), "x0", "y0", (F.col("w") * F.col("h")).alias("area"))
-    return kernels.bisect_chunks(nodes.withColumnsRenamed({"x0": "x", "y0": "y"}), "layout")
+    """Chunks of each layout with the nodes next to them."""
+    return chunk_layouts(*region_layouts(spark, sf_dir), overlap=1)
 
 
 @query()
 def r4_kmeans_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """About one cluster for each 30 nodes of a layout of a file."""
-    r = drawing(spark, sf_dir, "regions").select((F.col("file_id") * 8 + F.col("layout_id")).alias("layout"), F.col("region_id").alias("node"), F.col("x0").alias("x"), F.col("y0").alias("y"))
-    return kernels.kmeans_chunks(r, "layout")
+    """About one cluster for each 30 nodes of a layout of a file; nodes that an edge of the region graph joins to a cluster's are in it too, as non-core."""
+    regions = drawing(spark, sf_dir, "regions").withColumn("layout", F.col("file_id") * 8 + F.col("layout_id"))
+    core = staged(kernels.kmeans_chunks(regions.select("layout", F.col("region_id").alias("node"), F.col("x0").alias("x"), F.col("y0").alias("y")), "layout"), "clusters")
+    edges = region_graph(regions, 250.0)
+    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).union(edges.select("dst", "src"))
+    there = core.select(F.col("layout").alias("there"), F.col("node").alias("next"))
+    beside = core.join(both, "node").join(there, "next").where("layout = there").select("layout", F.col("next").alias("node"), "chunk").distinct()
+    return beside.join(core, ["layout", "node", "chunk"], "left_anti").withColumn("is_core", F.lit(False)).unionByName(core.withColumn("is_core", F.lit(True)))
 
 
 @query()
@@ -445,70 +477,97 @@ def r9_edge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawing(spark, sf_dir, "edges").where((F.col("src") * 31 + F.col("dst") * 17 + 42) % 10 >= 2)
 
 
-_CELLS = drawing_sql("regions") + ", cell AS (SELECT DISTINCT CAST(floor(x0 / 40) AS BIGINT) AS cx, CAST(floor(y0 / 20) AS BIGINT) AS cy FROM regions)"
+_CELLS = drawing_sql("regions") + ", cell AS (SELECT DISTINCT file_id, CAST(floor(x0 / 40) AS BIGINT) AS cx, CAST(floor(y0 / 20) AS BIGINT) AS cy FROM regions)"
 
 
 def occupied(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = drawing(spark, sf_dir, "regions")
-    return r.select(F.floor(F.col("x0") / 40).alias("cx"), F.floor(F.col("y0") / 20).alias("cy")).distinct()
+    return r.select("file_id", F.floor(F.col("x0") / 40).alias("cx"), F.floor(F.col("y0") / 20).alias("cy")).distinct()
 
 
-@query(_CELLS + " SELECT cx, cy FROM cell")
+@query(_CELLS + " SELECT file_id, cx, cy FROM cell")
 def q9_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occupied(spark, sf_dir)
 
 
-@query(_CELLS.replace("WITH ", "WITH RECURSIVE ", 1) + """, s AS (SELECT cx, cy FROM cell ORDER BY (cx - 25) * (cx - 25) + (cy - 20) * (cy - 20), cx, cy LIMIT 1),
-f(cx, cy) AS (SELECT cx, cy FROM s UNION SELECT c.cx, c.cy FROM f JOIN cell c ON abs(c.cx - f.cx) <= 1 AND abs(c.cy - f.cy) <= 1)
-SELECT CAST(min(cx) * 40 AS DOUBLE) AS min_x, CAST(min(cy) * 20 AS DOUBLE) AS min_y, CAST((max(cx) + 1) * 40 AS DOUBLE) AS max_x, CAST((max(cy) + 1) * 20 AS DOUBLE) AS max_y, count(*) AS cells FROM f""")
+@query(_CELLS.replace("WITH ", "WITH RECURSIVE ", 1) + """, s AS (SELECT file_id, cx, cy FROM cell QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY (cx - 25) * (cx - 25) + (cy - 20) * (cy - 20), cx, cy) = 1),
+f(file_id, cx, cy) AS (SELECT * FROM s UNION SELECT c.file_id, c.cx, c.cy FROM f JOIN cell c ON c.file_id = f.file_id AND abs(c.cx - f.cx) <= 1 AND abs(c.cy - f.cy) <= 1)
+SELECT file_id, CAST(min(cx) * 40 AS DOUBLE) AS min_x, CAST(min(cy) * 20 AS DOUBLE) AS min_y, CAST((max(cx) + 1) * 40 AS DOUBLE) AS max_x, CAST((max(cy) + 1) * 20 AS DOUBLE) AS max_y, count(*) AS cells FROM f GROUP BY 1""")
 def r10_q10_flood_from_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The seed is moved to the nearest occupied cell; its 8-connected component's box."""
+    """In each drawing the seed is moved to the nearest occupied cell; that cell's 8-connected component's box."""
     cells = occupied(spark, sf_dir)
-    seed = cells.orderBy((F.col("cx") - 25) ** 2 + (F.col("cy") - 20) ** 2, "cx", "cy").limit(1)
-    found = cell_components(cells, diagonal=True)
-    mine = found.join(F.broadcast(seed.select("cx", "cy")), ["cx", "cy"]).select("component")
-    box = found.join(F.broadcast(mine), "component")
+    seed = cells.groupBy("file_id").agg(F.min_by(F.struct("cx", "cy"), F.struct((F.col("cx") - 25) ** 2 + (F.col("cy") - 20) ** 2, "cx", "cy")).alias("s"))
+    found = cell_components(cells, ["file_id"], diagonal=True)
+    mine = found.join(seed.select("file_id", "s.cx", "s.cy"), ["file_id", "cx", "cy"]).select("file_id", "component")
+    box = found.join(mine, ["file_id", "component"]).groupBy("file_id")
     return box.agg((F.min("cx") * 40.0).alias("min_x"), (F.min("cy") * 20.0).alias("min_y"), ((F.max("cx") + 1) * 40.0).alias("max_x"), ((F.max("cy") + 1) * 20.0).alias("max_y"), F.count("*").alias("cells"))
 
 
-def cell_components(cells: DataFrame, diagonal: bool) -> DataFrame:
-    """(cx, cy, component) of a table of occupied cells; neighbours are found by equi-joins on shifted cells."""
-    code = lambda x, y: F.shiftleft(x, 32) + y
-    steps = [(1, 0), (0, 1), *([(1, 1), (1, -1)] if diagonal else [])]
-    shifts = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps))
-    me = cells.select("cx", "cy", F.explode(shifts).alias("d")).select("cx", "cy", (F.col("cx") + F.col("d.a")).alias("nx"), (F.col("cy") + F.col("d.b")).alias("ny"))
-    there = cells.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"))
-    edges = me.join(there, ["nx", "ny"]).select(code(F.col("cx"), F.col("cy")).alias("src"), code(F.col("nx"), F.col("ny")).alias("dst"))
-    own = cells.withColumn("node", code(F.col("cx"), F.col("cy")))
-    c = graph.connected_components(edges)
-    return own.join(c, "node", "left").select("cx", "cy", F.coalesce("component", "node").alias("component"))
-
-
-@query(_CELLS + ", d(a) AS (VALUES (-1), (0), (1)) SELECT count(DISTINCT (cx + p.a) * 100000 + cy + q.a) AS dilated, (SELECT count(*) FROM cell) AS cells FROM cell, d p, d q")
+@query(_CELLS + """, d(a) AS (VALUES (-1), (0), (1)), g AS (SELECT DISTINCT file_id, cx + p.a AS cx, cy + q.a AS cy FROM cell, d p, d q)
+SELECT file_id, count(*) AS dilated, (SELECT count(*) FROM cell WHERE cell.file_id = g.file_id) AS cells FROM g GROUP BY 1""")
 def r12_dilation(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = occupied(spark, sf_dir)
-    around = F.array(*(F.struct((F.col("cx") + a).alias("cx"), (F.col("cy") + b).alias("cy")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-    grown = cells.select(F.explode(around).alias("c")).distinct().agg(F.count("*").alias("dilated"))
-    return grown.crossJoin(cells.agg(F.count("*").alias("cells")))
+    grown = dilated(cells, ["file_id"]).groupBy("file_id").agg(F.count("*").alias("dilated"))
+    return grown.join(cells.groupBy("file_id").agg(F.count("*").alias("cells")), "file_id")
+
+
+_POINTS = drawing_sql("regions").replace("WITH ", "WITH RECURSIVE ", 1) + """, pt AS (SELECT file_id, x0 AS x, y0 AS y FROM regions UNION ALL SELECT file_id, x0 + w, y0 + h FROM regions),
+fine AS (SELECT file_id, CAST(floor(x / 20) AS BIGINT) AS cx, CAST(floor(y / 20) AS BIGINT) AS cy, count(*) AS n FROM pt GROUP BY ALL), k(scale) AS (VALUES (20), (40), (80)),
+cell AS (SELECT file_id, scale, CAST(floor(cx * 20 / scale) AS BIGINT) AS cx, CAST(floor(cy * 20 / scale) AS BIGINT) AS cy, CAST(sum(n) AS BIGINT) AS n FROM fine, k GROUP BY ALL)"""
+
+
+def pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of the regions counted in cells of 20, and these in cells twice and four times as large."""
+    r = drawing(spark, sf_dir, "regions").select("file_id", F.explode(F.array(G.point(F.col("x0"), F.col("y0")), G.point(F.col("x0") + F.col("w"), F.col("y0") + F.col("h")))).alias("p"))
+    return occupancy.pyramid(r.select("file_id", "p.x", "p.y"), ["file_id"], 20, 3)
+
+
+@query(_POINTS + " SELECT file_id, CAST(scale AS INTEGER) AS scale, cx, cy, n FROM cell")
+def r12_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pyramid(spark, sf_dir)
+
+
+@query(_POINTS + """, d(a) AS (VALUES (-1), (0), (1)), g AS (SELECT DISTINCT file_id, scale, cx + p.a AS cx, cy + q.a AS cy FROM cell, d p, d q),
+e AS (SELECT file_id, scale, g.cx + p.a AS cx, g.cy + q.a AS cy FROM g, d p, d q GROUP BY ALL HAVING count(*) = 9), o AS (SELECT file_id, scale, cell.cx + p.a AS cx, cell.cy + q.a AS cy FROM cell, d p, d q GROUP BY ALL HAVING count(*) = 9),
+gn AS (SELECT file_id, scale, count(*) AS dilated FROM g GROUP BY ALL), en AS (SELECT file_id, scale, count(*) AS closed FROM e GROUP BY ALL), ons AS (SELECT file_id, scale, count(*) AS eroded FROM o GROUP BY ALL)
+SELECT file_id, CAST(scale AS INTEGER) AS scale, dilated, closed, coalesce(eroded, 0) AS eroded FROM gn JOIN en USING (file_id, scale) LEFT JOIN ons USING (file_id, scale)""")
+def r12_closing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of each scale after dilation, after dilation and erosion, and after erosion alone."""
+    keys, cells = ["file_id", "scale"], pyramid(spark, sf_dir).drop("n")
+    grown = dilated(cells, keys)
+    size = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    out = size(grown, "dilated").join(size(occupancy.eroded(grown, keys), "closed"), keys).join(size(occupancy.eroded(cells, keys), "eroded"), keys, "left")
+    return out.select(*keys, "dilated", "closed", F.coalesce("eroded", F.lit(0).cast("long")).alias("eroded"))
+
+
+@query()
+def r12_seed_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each label and scale the component of dilated cells nearest to it, its box, and the share of the box that is occupied (floods in SQL are too slow on whole tables)."""
+    return seeded_boxes(spark, sf_dir).withColumn("fill", F.round("fill", 6))
+
+
+def label_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drawing(spark, sf_dir, "entities").where("type = 'TEXT'").where(F.col("text").rlike("^[a-c]")).select("file_id", F.col("entity_id").alias("seed_id"), "text", "x", "y")
+
+
+def seeded_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return occupancy.boxes_at_seeds(pyramid(spark, sf_dir).drop("n"), label_seeds(spark, sf_dir).select("seed_id", "file_id", "x", "y"), "seed_id", ["file_id"])
 
 
-@query(_SEG + """, s AS (SELECT *, CAST(greatest(1, floor(greatest(abs(x2 - x1), abs(y2 - y1)) / 4)) AS BIGINT) AS n FROM seg), p AS (SELECT x1 + (x2 - x1) * i / n AS x, y1 + (y2 - y1) * i / n AS y FROM s, range(0, 8) t(i) WHERE i <= n)
-SELECT DISTINCT CAST(floor(x / 16) AS BIGINT) AS cx, CAST(floor(y / 16) AS BIGINT) AS cy FROM p""")
+@query(_SEG + """, s AS (SELECT *, CAST(greatest(1, floor(greatest(abs(x2 - x1), abs(y2 - y1)) / 4)) AS BIGINT) AS n FROM seg), p AS (SELECT file_id, x1 + (x2 - x1) * i / n AS x, y1 + (y2 - y1) * i / n AS y FROM s, range(0, 8) t(i) WHERE i <= n)
+SELECT DISTINCT file_id, CAST(floor(x / 16) AS BIGINT) AS cx, CAST(floor(y / 16) AS BIGINT) AS cy FROM p""")
 def r11_r13_sampled_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that segments pass, by samples along them."""
-    s = segments(spark, sf_dir).withColumn("n", F.greatest(F.lit(1), F.floor(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))) / 4)).cast("int"))
-    p = s.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
-    at = lambda k: F.floor((F.col(f"{k}1") + (F.col(f"{k}2") - F.col(f"{k}1")) * F.col("i") / F.col("n")) / 16)
-    return p.select(at("x").alias("cx"), at("y").alias("cy")).distinct()
+    return occupancy.sampled_cells(segments(spark, sf_dir), ["file_id"], 16, 4)
 
 
 @query()
 def r11_component_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes and sizes of the 4-connected components of the sampled cells, smallest first."""
-    c = cell_components(r11_r13_sampled_segments(spark, sf_dir), diagonal=False)
-    boxes = c.groupBy("component").agg(F.count("*").alias("cells"), F.min("cx").alias("x1"), F.min("cy").alias("y1"), F.max("cx").alias("x2"), F.max("cy").alias("y2"))
+    """Boxes and sizes of the 4-connected components of each drawing's sampled cells, smallest first."""
+    c = cell_components(r11_r13_sampled_segments(spark, sf_dir), ["file_id"], diagonal=False)
+    boxes = c.groupBy("file_id", "component").agg(F.count("*").alias("cells"), F.min("cx").alias("x1"), F.min("cy").alias("y1"), F.max("cx").alias("x2"), F.max("cy").alias("y2"))
     area = (F.col("x2") - F.col("x1") + 1) * (F.col("y2") - F.col("y1") + 1)
-    return boxes.where("cells >= 3").withColumn("area", area).orderBy("area", "component")
+    return boxes.where("cells >= 3").withColumn("area", area).orderBy("file_id", "area", "component")
 
 
 def isovist(segs: DataFrame, x: float, y: float, radius: float = 30000.0, rays: int = 360) -> DataFrame:

@@ -55,10 +55,10 @@ def s15_flat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("layout_id", "chunk_id", *(F.col("bbox")[i].alias(c) for i, c in enumerate(("x", "y", "w", "h"))))
 
 
-@query(drawing_sql("regions") + " SELECT layout_id, chunk_id, count(*) AS polygons, min(x0) - 5 AS min_x, max(y0 + h) + 5 AS max_y FROM regions WHERE layout_id < 3 GROUP BY ALL")
+@query(drawing_sql("regions") + " SELECT layout_id, chunk_id, count(*) AS polygons, min(x0) - 5 AS min_x, max(y0 + h) + 5 AS max_y FROM regions GROUP BY ALL")
 def s16_s30_nested_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested and taken apart again."""
-    flat = files.masks(drawing(spark, sf_dir, "regions").where("layout_id < 3").withColumn("ring", ring()))
+    flat = files.masks(drawing(spark, sf_dir, "regions").withColumn("ring", ring()))
     n = files.nested_masks(flat, 5.0).select(F.explode("layouts").alias("layout_id", "l")).select("layout_id", F.explode("l.chunks").alias("chunk_id", "c"))
     return n.select(F.col("layout_id").cast("long").alias("layout_id"), F.col("chunk_id").cast("long").alias("chunk_id"), F.size("c.polygons").cast("long").alias("polygons"), F.col("c.bounding_box.min_x").alias("min_x"), F.col("c.bounding_box.max_y").alias("max_y"))
 

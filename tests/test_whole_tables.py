@@ -2,13 +2,17 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from planwright.operators import kernels
+from planwright.operators.chunking import plain_chunks
+from planwright.operators.community import plain_communities
 from planwright.operators.graph import connected_components
 from planwright.operators.spatial import nearest_points
 from planwright.plans import registry, shapes
+from planwright.plans.joins import region_graph
 from planwright.sources.drawings import drawing
 
 SF = "/root/testdata/sf0.001"
@@ -54,7 +58,12 @@ def test_kmeans_chunks(spark):
     assert {r.node for r in got} == set(nodes)
     by = {}
     for r in got:
-        by.setdefault(r.layout, {}).setdefault(r.chunk, []).append((nodes[r.node].x0, nodes[r.node].y0))
+        if r.is_core:
+            by.setdefault(r.layout, {}).setdefault(r.chunk, []).append((nodes[r.node].x0, nodes[r.node].y0))
+    own = {(r.layout, r.node): r.chunk for r in got if r.is_core}
+    edges = {(e.src, e.dst) for e in region_graph(drawing(spark, SF, "regions"), 250.0).collect()}
+    beside = {(la, b, c) for s, d in edges for a, b in ((s, d), (d, s)) for (la, n), c in own.items() if n == a and own.get((la, b), c) != c}
+    assert {(r.layout, r.node, r.chunk) for r in got if not r.is_core} == beside and len(beside) > 5
     for chunks in by.values():
         centre = {c: (sum(x for x, _ in p) / len(p), sum(y for _, y in p) / len(p)) for c, p in chunks.items()}
         for c, p in chunks.items():  # a fixed point: every node is in the chunk of its nearest centre
@@ -89,3 +98,19 @@ def test_whole_result(spark, name):
 def test_kmeans_of_few_nodes(spark):
     one = spark.createDataFrame([(1, 5, 0.0, 0.0)], "layout long, node long, x double, y double")
     assert kernels.kmeans_chunks(one, "layout").collect()[0].chunk == 0
+
+
+def test_region_chunks_and_communities(spark):
+    """Of all layouts of the table, against the plain loops."""
+    nodes, edges = shapes.region_layouts(spark, SF)
+    own, links = {}, {}
+    for r in nodes.collect():
+        own.setdefault(r.layout, {})[r.node] = (r.area, r.perimeter, r.x, r.y, np.array([tuple(p) for p in r.ring]))
+    for r in edges.collect():
+        links.setdefault(r.layout, []).append((r.src, r.dst, r.weight))
+    home = {n: c for k, e in links.items() for n, c in plain_communities(e, own[k], 3).items()}
+    got = registry.QUERIES["r3_communities"](spark, SF).collect()
+    assert {r.node: r.community for r in got} == home and len(set(home.values())) < len(home) / 2
+    core = sorted((k, i, n) for k, ns in own.items() for i, part in enumerate(plain_chunks(ns, links[k])) for n in part)
+    found = registry.QUERIES["r3_recursive_chunks"](spark, SF).collect()
+    assert sorted((r.layout, r.chunk, r.node) for r in found if r.is_core) == core and any(not r.is_core for r in found)
