@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from planwright.functions import geometry as G
 from planwright.functions import text as T
 from planwright.functions import vectors as V
-from planwright.operators import blocks, graph, kernels, occupancy
+from planwright.operators import blocks, faces, graph, hierarchy, kernels, nearby, occupancy
 from planwright.operators.chunking import chunk_layouts
 from planwright.operators.community import communities
 from planwright.operators.islands import stacked_texts
@@ -407,18 +407,19 @@ def g16_diameter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def r1_polygonise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Faces of the edges of the regions of each layer in a file.
+    """Faces of the edges of the regions of each layer in a file."""
+    keys = ["file_id", "layer"]
+    half = staged(faces.half_edges(faces.noded(segments(spark, sf_dir), keys, 20.0), keys), "half-edges")
+    found = faces.face_table(half, keys)
+    return found.select(F.concat_ws("/", F.col("file_id").cast("string"), "layer").alias("group_id"), "area", "cx", "cy", "points")
 
-    Regions that touch, directly or through others, go to one task, so no face is cut; 64 tasks a layer hold whole sets of them.
-    """
-    r = drawing(spark, sf_dir, "regions").select("region_id", "file_id", "layer", G.box(F.col("x0"), F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("h")).alias("box"))
-    other = r.select("file_id", "layer", F.col("region_id").alias("other_id"), F.col("box").alias("other_box"))
-    touching = box_join(r, other, "box", "other_box", 20.0, on=F.col("region_id") < F.col("other_id"), margin=0.001, keys=("file_id", "layer"))
-    root = graph.connected_components(touching, "region_id", "other_id")
-    s = segments(spark, sf_dir).join(root.withColumnRenamed("node", "region_id"), "region_id", "left")
-    part = F.pmod(F.xxhash64(F.coalesce("component", "region_id")), F.lit(64)).cast("string")
-    faces = kernels.polygonise(s.withColumn("group_id", F.concat_ws("/", F.col("file_id").cast("string"), "layer", part)), "group_id")
-    return faces.withColumn("group_id", F.regexp_replace("group_id", "/[0-9]+$", ""))
+
+@query()
+def q13_region_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions that the lines of a drawing enclose, all layers together; each takes the layer of most lines at it."""
+    s = segments(spark, sf_dir).withColumn("line", F.col("region_id") * 4 + F.col("side"))
+    found = faces.build_regions(s.select("file_id", "line", "layer", "x1", "y1", "x2", "y2"), ["file_id"], 20.0)
+    return found.select("file_id", F.round("area", 4).alias("area"), F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"), "points", "layer", "votes")
 
 
 def region_layouts(spark: SparkSession, sf_dir: str, reach: float = 120.0) -> tuple[DataFrame, DataFrame]:
@@ -618,6 +619,20 @@ def dbscan(vectors: DataFrame, eps: float, id_col: str = "vec_id", vector_col: s
     return v.join(c, v["id"] == c["node"], "left").select(F.col("id").alias(id_col), F.coalesce("component", F.lit(-1).cast("long")).alias("cluster_id"))
 
 
+@query()
+def c1_hdbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hierarchical density clusters of the vectors on their three main axes."""
+    p = nearby.reduced(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return hierarchy.density_clusters(p).withColumnRenamed("id", "vec_id")
+
+
+@query()
+def c1_ward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ward's linkage of the vectors on their three main axes."""
+    p = nearby.reduced(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return hierarchy.ward_clusters(p, 1.0).withColumnRenamed("id", "vec_id")
+
+
 _BIN = "least(greatest(CAST(trunc((x - lo) / ((hi - lo) / 50)) AS BIGINT), 0), 49)"
 
 
