@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from planwright.functions import geometry as G
 from planwright.functions import text as T
 from planwright.functions import vectors as V
-from planwright.operators import blocks, faces, graph, hierarchy, kernels, nearby, occupancy
+from planwright.operators import blocks, faces, finders, graph, hierarchy, kernels, nearby, occupancy
 from planwright.operators.chunking import chunk_layouts
 from planwright.operators.community import communities
 from planwright.operators.islands import stacked_texts
@@ -571,26 +571,15 @@ def r11_component_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.where("cells >= 3").withColumn("area", area).orderBy("file_id", "area", "component")
 
 
-def isovist(segs: DataFrame, x: float, y: float, radius: float = 30000.0, rays: int = 360) -> DataFrame:
-    """(ray, distance): nearest hit of each ray, then a circular 11-tap median."""
-    ray = segs.sparkSession.range(rays).select(F.col("id").cast("int").alias("ray"), (F.col("id") * (2 * math.pi / rays)).alias("a")).select("ray", F.cos("a").alias("dx"), F.sin("a").alias("dy"))
-    s = segs.select((F.col("x1") - x).alias("ax"), (F.col("y1") - y).alias("ay"), (F.col("x2") - F.col("x1")).alias("ex"), (F.col("y2") - F.col("y1")).alias("ey"))
-    det = F.col("dx") * F.col("ey") - F.col("dy") * F.col("ex")
-    t = (F.col("ax") * F.col("ey") - F.col("ay") * F.col("ex")) / F.when(F.abs(det) > 1e-12, det)
-    u = (F.col("ax") * F.col("dy") - F.col("ay") * F.col("dx")) / F.when(F.abs(det) > 1e-12, det)
-    hits = s.crossJoin(F.broadcast(ray)).select("ray", t.alias("t"), u.alias("u")).where(f"t between 0 and {radius} and u between 0 and 1").groupBy("ray").agg(F.min("t").alias("t"))
-    near = ray.select("ray").join(hits, "ray", "left").select("ray", F.coalesce("t", F.lit(radius)).alias("d"))
-    wrapped = near.withColumn("at", F.explode(F.array(F.col("ray") - rays, F.col("ray"), F.col("ray") + rays))).where(F.col("at").between(-5, rays + 4))
-    w = Window.orderBy("at").rowsBetween(-5, 5)  # 370 rows
-    return wrapped.withColumn("distance", F.sort_array(F.collect_list("d").over(w))[5]).where(F.col("at").between(0, rays - 1)).select("ray", "distance")
-
-
-@query(_SEG + """, r AS (SELECT i AS ray, cos(i * 2 * pi() / 360) AS dx, sin(i * 2 * pi() / 360) AS dy FROM range(360) t(i)), s AS (SELECT x1 - 5000 AS ax, y1 - 2500 AS ay, x2 - x1 AS ex, y2 - y1 AS ey FROM seg WHERE file_id = 1),
-d AS (SELECT ray, (ax * ey - ay * ex) / (dx * ey - dy * ex) AS t, (ax * dy - ay * dx) / (dx * ey - dy * ex) AS u FROM r, s WHERE abs(dx * ey - dy * ex) > 1e-12),
-h AS (SELECT ray, min(t) AS t FROM d WHERE t BETWEEN 0 AND 30000 AND u BETWEEN 0 AND 1 GROUP BY 1), n AS (SELECT ray, coalesce(t, 30000) AS d FROM r LEFT JOIN h USING (ray)),
-w AS (SELECT a.ray, median(b.d) AS distance FROM n a JOIN n b ON least(abs(a.ray - b.ray), 360 - abs(a.ray - b.ray)) <= 5 GROUP BY 1) SELECT CAST(ray AS INTEGER) AS ray, round(distance, 4) AS distance FROM w""")
+@query(_SEG + """, r AS (SELECT i AS ray, cos(i * 2 * pi() / 360) AS dx, sin(i * 2 * pi() / 360) AS dy FROM range(360) t(i)), s AS (SELECT file_id, x1 - 5000 AS ax, y1 - 2500 AS ay, x2 - x1 AS ex, y2 - y1 AS ey FROM seg),
+d AS (SELECT file_id, ray, (ax * ey - ay * ex) / (dx * ey - dy * ex) AS t, (ax * dy - ay * dx) / (dx * ey - dy * ex) AS u FROM r, s WHERE abs(dx * ey - dy * ex) > 1e-12),
+h AS (SELECT file_id, ray, min(t) AS t FROM d WHERE t BETWEEN 0 AND 30000 AND u BETWEEN 0 AND 1 GROUP BY ALL), n AS (SELECT f.file_id, r.ray, coalesce(t, 30000) AS d FROM (SELECT DISTINCT file_id FROM seg) f CROSS JOIN r LEFT JOIN h ON h.file_id = f.file_id AND h.ray = r.ray),
+w AS (SELECT a.file_id, a.ray, median(b.d) AS distance FROM n a JOIN n b ON a.file_id = b.file_id AND least(abs(a.ray - b.ray), 360 - abs(a.ray - b.ray)) <= 5 GROUP BY ALL) SELECT file_id, CAST(ray AS INTEGER) AS ray, round(distance, 4) AS distance FROM w""")
 def r14_w4_isovist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return isovist(segments(spark, sf_dir).where("file_id = 1"), 5000.0, 2500.0).select("ray", F.round("distance", 4).alias("distance"))
+    """What is seen from one place in every drawing."""
+    s = segments(spark, sf_dir)
+    seeds = s.select("file_id").distinct().select(F.col("file_id").alias("seed_id"), "file_id", F.lit(5000.0).alias("x"), F.lit(2500.0).alias("y"))
+    return finders.isovists(s, seeds, ["file_id"], 30000.0).select(F.col("seed_id").alias("file_id"), "ray", F.round("distance", 4).alias("distance"))
 
 
 # ---------------------------------------------------------------- clustering and region finding
@@ -726,18 +715,44 @@ def u5_merged_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.merge_overlapping(r, "layout", "region_id")
 
 
+def centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = drawing(spark, sf_dir, "regions")
+    return r.select("file_id", (F.col("x0") + F.col("w") / 2).alias("x"), (F.col("y0") + F.col("h") / 2).alias("y"))
+
+
+def first_seeds(spark: SparkSession, sf_dir: str, most: int = 10) -> DataFrame:
+    """The first labels of each drawing in reading order."""
+    order = Window.partitionBy("file_id").orderBy(F.bround(F.col("x") / 10000, 0), F.desc("y"), "seed_id")
+    return label_seeds(spark, sf_dir).withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).drop("k")
+
+
 @query()
 def q1_region_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label seeds -> slot of their drawing -> geometry count and aspect -> reading order of the seeds."""
-    seeds = drawing(spark, sf_dir, "entities").where("type = 'TEXT'").where(F.col("text").rlike("(?i)^[a-c]")).select("file_id", "entity_id", "text", "x", "y")
-    s = segments(spark, sf_dir)
-    slot = drawing_slot(s, (2000.0, 2000.0))
-    inside = s.join(F.broadcast(slot), "file_id").where("x1 between min_x and max_x and y1 between min_y and max_y").groupBy("file_id").agg(F.count("*").alias("n"))
-    out = seeds.join(slot, "file_id", "left").join(inside, "file_id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-    aspect = (F.col("max_x") - F.col("min_x")) / (F.col("max_y") - F.col("min_y"))
-    fine = (F.col("n") >= 100) & aspect.between(0.25, 5.0)
-    around = {"min_x": F.col("x") - 1000, "min_y": F.col("y") - 1000, "max_x": F.col("x") + 1000, "max_y": F.col("y") + 1000}
-    return out.select("file_id", "entity_id", "text", *(F.when(fine, F.col(k)).otherwise(v).alias(k) for k, v in around.items())).orderBy("file_id", F.bround(F.col("min_x") / 10000), F.desc("max_y"), "entity_id")
+    """Labels -> slot -> component of its linework -> extent of its geometry -> filter, order and suppression; else a box about the label.
+
+    The first ten labels of a drawing, as a search reports them.
+    """
+    seeds, s, p, keys = staged(first_seeds(spark, sf_dir), "seeds"), segments(spark, sf_dir), centres(spark, sf_dir), ["file_id"]
+    slot = seeds.join(finders.slots(s, seeds, keys), "seed_id")
+    inner = finders.refined(s, slot, keys, 60.0, least_cells=3, least_side=240.0)
+    found = finders.counted(finders.tightened(inner, p, keys, 500.0), p, keys, 500.0)
+    good = finders.sound(found, 100, 0.25, 5.0, relax=False)
+    best = finders.kept_best(good.select("seed_id", *finders.EDGES, "n", "area"), [F.desc("n"), F.desc("area")], 0.95, 5)
+    around = {c: F.col(c[-1]) + (-1000.0 if c.startswith("min") else 1000.0) for c in finders.EDGES}
+    out = seeds.join(best, "seed_id", "left")
+    return out.select("seed_id", "file_id", "text", F.coalesce("rank", F.lit(1)).alias("rank"), F.col("rank").isNotNull().alias("found"), *(F.round(F.coalesce(F.col(c), around[c]), 4).alias(c) for c in finders.EDGES))
+
+
+@query()
+def q5_isovist_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels -> what is seen from them -> three boxes of growing size -> those with enough geometry and a sound shape; their union and mean."""
+    seeds, s, keys = staged(first_seeds(spark, sf_dir), "seeds"), segments(spark, sf_dir), ["file_id"]
+    boxes = finders.isovist_boxes(finders.isovists(s, seeds, keys, 3000.0), seeds, 3000.0, 100.0)
+    good = finders.sound(finders.counted(boxes, centres(spark, sf_dir), keys, 500.0), 20, 0.35, 5.0, relax=False)
+    ends = [f(c).alias(f"{n}{c}") for n, fs in (("union_", (F.min, F.min, F.max, F.max)), ("mean_", (F.avg,) * 4)) for f, c in zip(fs, finders.EDGES, strict=True)]
+    told = good.groupBy("seed_id").agg(F.count("*").alias("boxes"), *ends)
+    named = seeds.join(told, "seed_id", "left")
+    return named.select("seed_id", "file_id", "text", F.coalesce("boxes", F.lit(0).cast("long")).alias("boxes"), *(F.round(f"{n}{c}", 4).alias(f"{n}{c}") for n in ("union_", "mean_") for c in finders.EDGES))
 
 
 @query("WITH t(id, dep) AS (VALUES (1, NULL), (2, 1), (3, 1), (4, 3), (4, 2), (5, 4)) SELECT id, CAST(CASE id WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 3 END AS BIGINT) AS level FROM (SELECT DISTINCT id FROM t)")
