@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planwright.plans.layouts import ring
 from planwright.plans.registry import query
-from planwright.sources import files
+from planwright.sources import dxf, files
 from planwright.sources.drawings import drawing, drawing_sql
 from planwright.sources.tables import table
 from planwright.staging import shared_dir
@@ -120,29 +121,69 @@ def s19_corpus_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DXF text of the fixture entities, one drawing for each file_id."""
+    """DXF text of the fixture entities, one drawing for each file_id: header, tables, a block and the entities.
+
+    After every tenth entity one whose coordinate is no number and a line that is no code, and in every text a sign that some take for the end of a line.
+    """
     e = drawing(spark, sf_dir, "entities")
     tag = lambda code, v: F.concat(F.lit(f"{code}\n"), v.cast("string"), F.lit("\n"))
-    text = F.when(F.col("type") == "TEXT", tag(1, F.col("text"))).when(F.col("type") == "INSERT", tag(2, F.lit("B1"))).when(F.col("type") == "LINE", F.concat(tag(11, F.col("x") + F.col("radius")), tag(21, F.col("y")))).otherwise("")
+    text = F.when(F.col("type") == "TEXT", tag(1, F.concat(F.col("text"), F.lit("\u0085 \u2028.")))).when(F.col("type") == "INSERT", tag(2, F.lit("B1"))).when(F.col("type") == "LINE", F.concat(tag(11, F.col("x") + F.col("radius")), tag(21, F.col("y")))).otherwise("")
     body = F.concat(tag(0, F.col("type")), tag(5, F.hex("entity_id")), tag(8, F.col("layer")), tag(10, F.col("x")), tag(20, F.col("y")), tag(40, F.col("radius")), text)
+    broken = F.when(F.col("entity_id") % 10 == 0, F.lit("0\nLINE\n8\nbad\n10\nnowhere\n20\n1\nno code here\n")).otherwise("")
+    layer = F.concat(F.lit("0\nLAYER\n2\n"), F.col("layer"), F.lit("\n62\n"), F.when(F.substring("layer", -1, 1) == "1", "-3").otherwise("5"), F.lit("\n70\n"), F.when(F.substring("layer", -1, 1) == "2", "5").otherwise("0"), F.lit("\n6\nDASHED\n"))
+    tables = F.concat(F.lit("0\nSECTION\n2\nTABLES\n"), F.array_join(F.array_sort(F.collect_set(layer)), ""), F.lit("0\nLTYPE\n2\nDASHED\n3\nlong _ _\n0\nSTYLE\n2\nNOTES\n40\n2.5\n0\nDIMSTYLE\n2\nISO\n0\nENDSEC\n0\nSECTION\n2\nBLOCKS\n0\nBLOCK\n2\nB1\n0\nENDBLK\n0\nENDSEC\n"))
+    top = F.concat(F.lit("0\nSECTION\n2\nHEADER\n9\n$ACADVER\n1\nAC1027\n9\n$EXTMAX\n10\n"), F.max("x").cast("string"), F.lit("\n20\n"), F.max("y").cast("string"), F.lit("\n0\nENDSEC\n"))
     head, tail = F.lit("0\nSECTION\n2\nENTITIES\n"), F.lit("0\nENDSEC\n0\nEOF\n")
-    all_ = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("entity_id", body.alias("b")))), lambda x: x["b"]), "")
-    return e.groupBy("file_id").agg(F.encode(F.concat(head, all_, tail), "UTF-8").alias("content")).select("content")
+    all_ = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("entity_id", F.concat(body, broken).alias("b")))), lambda x: x["b"]), "")
+    return e.groupBy("file_id").agg(F.encode(F.concat(top, tables, head, all_, tail), "UTF-8").alias("content")).select("content")
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dxf.parse_drawings(drawings(spark, sf_dir))
+
+
+@query(drawing_sql("entities") + " SELECT type, count(*) AS n, sum(x) AS sx FROM entities GROUP BY 1")
+def s2_raster_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In the order of encodings for drawings that are to be rasterised."""
+    e = dxf.entities(dxf.parse_drawings(drawings(spark, sf_dir), dxf.RASTER_ENCODINGS))
+    return e.groupBy("type").agg(F.count("*").alias("n"), F.sum(F.col("points")[0]["x"]).alias("sx"))
+
+
+@query(drawing_sql("entities") + """ SELECT CASE k WHEN 0 THEN 'LINE' END AS type, CASE k WHEN 0 THEN '10: nowhere' ELSE 'no code here' END AS corrupt, count(*) AS n FROM entities, range(2) t(k) WHERE entity_id % 10 = 0 GROUP BY ALL""")
+def s3_bad_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What couldn't be read; the entities after it are there all the same (s1_s4_dxf_entities)."""
+    return dxf.corrupt(_records(spark, sf_dir)).groupBy("type", "corrupt").agg(F.count("*").alias("n"))
+
+
+@query(drawing_sql("entities") + """ SELECT layer AS name, CASE WHEN layer LIKE '%1' THEN 3 ELSE 5 END AS color, 'DASHED' AS linetype, layer LIKE '%2' AS is_frozen, layer LIKE '%2' AS is_locked, layer LIKE '%1' AS is_off, count(DISTINCT file_id) AS files FROM entities GROUP BY layer""")
+def s5_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = dxf.layers(_records(spark, sf_dir))
+    return r.groupBy("name", "color", "linetype", "is_frozen", "is_locked", "is_off").agg(F.count_distinct("file_id").alias("files"))
+
+
+@query(drawing_sql("entities") + """, f AS (SELECT count(DISTINCT file_id) AS files FROM entities), t(kind, name, detail) AS (VALUES ('block', 'B1', NULL), ('dimstyle', 'ISO', NULL), ('linetype', 'DASHED', 'long _ _'), ('style', 'NOTES', '2.5')) SELECT kind, name, detail, files FROM t, f""")
+def s5_named_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _records(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    parts = [("block", dxf.block_names(r), none), ("dimstyle", dxf.dimstyles(r), none), ("linetype", dxf.linetypes(r), F.col("description")), ("style", dxf.styles(r), F.col("height").cast("string"))]
+    found = [df.select(F.lit(kind).alias("kind"), "name", detail.alias("detail"), "file_id") for kind, df, detail in parts]
+    return reduce(DataFrame.unionByName, found).groupBy("kind", "name", "detail").agg(F.count_distinct("file_id").alias("files"))
+
+
+@query(drawing_sql("entities") + """, m AS (SELECT file_id, max(x) AS x, max(y) AS y FROM entities GROUP BY 1), v AS (SELECT '$ACADVER' AS variable, 'AC1027' AS value FROM m UNION ALL SELECT '$EXTMAX', x || ',' || y FROM m) SELECT variable, value, count(*) AS files FROM v GROUP BY ALL""")
+def s5_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dxf.header(_records(spark, sf_dir)).groupBy("variable", "value").agg(F.count("*").alias("files"))
 
 
 @query(drawing_sql("entities") + " SELECT type, layer, count(*) AS n, sum(x) AS sx, count(CASE WHEN type = 'TEXT' THEN text END) AS texts FROM entities GROUP BY ALL")
 def s1_s4_dxf_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drawings written as DXF text and parsed again."""
-    from planwright.sources import dxf
-
     e = dxf.entities(dxf.parse_drawings(drawings(spark, sf_dir)))
     return e.groupBy("type", "layer").agg(F.count("*").alias("n"), F.sum(F.col("points")[0]["x"]).alias("sx"), F.count("text").alias("texts"))
 
 
 @query(drawing_sql("entities") + " SELECT layer, count(*) AS n, round(sum(radius), 4) AS length FROM entities WHERE type = 'LINE' AND radius > 0.1 GROUP BY 1")
 def s6_dxf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from planwright.sources import dxf
-
     lines = dxf.lines(dxf.parse_drawings(drawings(spark, sf_dir)).where("type <> 'CIRCLE'"))
     return lines.groupBy("layer").agg(F.count("*").alias("n"), F.round(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))), 4).alias("length"))
 

@@ -1,22 +1,32 @@
 """DXF drawings: tagged text files as rows, entity by entity.
 
-A drawing is read whole by one task (entities span lines), so a corpus of drawings is what runs in parallel.
+A drawing is read whole by one task (entities span lines), so a corpus of drawings is what runs in parallel. What can't be read is a row with ``corrupt``, and the
+records after it are read like any others.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Encodings that are tried in this order.
 ENCODINGS = ("utf-8", "gbk", "cp936", "gb18030", "latin1")
 #: The same for drawings that are to be rasterised.
 RASTER_ENCODINGS = ("gbk", "utf-8", "gb18030", "latin1")
+#: What becomes of records that can't be read: rows with ``corrupt``, nothing, an error.
+MODES = ("permissive", "dropmalformed", "failfast")
 
-ENTITY = "file_id string, section string, block string, entity_id long, type string, layer string, handle string, text string, name string, points array<struct<x:double,y:double>>, radius double, start_angle double, end_angle double, x_scale double, y_scale double, rotation double, closed boolean, attributes map<string,string>"
+ENTITY = "file_id string, section string, block string, entity_id long, type string, layer string, handle string, text string, name string, points array<struct<x:double,y:double>>, radius double, start_angle double, end_angle double, x_scale double, y_scale double, rotation double, closed boolean, attributes map<string,string>, corrupt string"
+_COLUMNS = [c.split()[0] for c in ENTITY.replace("struct<x:double,y:double>", "p").replace("map<string,string>", "m").split(", ")]
+#: Codes that hold a number in every kind of record.
+_NUMBERS = {10, 11, 20, 21, 40, 41, 42, 50, 51}
 
 
 def decode(data: bytes, encodings: tuple[str, ...] = ENCODINGS) -> str:
@@ -28,14 +38,26 @@ def decode(data: bytes, encodings: tuple[str, ...] = ENCODINGS) -> str:
     return data.decode("latin1")
 
 
-def tags(text: str) -> Iterator[tuple[int, str]]:
-    """(group code, value) pairs; a line that is no code ends the file."""
-    lines = text.splitlines()
-    for code, value in zip(lines[::2], lines[1::2], strict=False):
-        try:
-            yield int(code.strip()), value.strip()
-        except ValueError:
-            return
+_CODE = re.compile(r"\s*-?\d{1,4}\s*")
+_KIND = re.compile(r"[A-Z][A-Z0-9_]*")
+
+
+def tags(text: str) -> Iterator[tuple[int | None, str]]:
+    """(group code, value) pairs. Lines end in a line feed, with or without a carriage return, and in nothing else.
+
+    Where a code should stand and doesn't, the pair (None, line) tells so once, and reading goes on at the next line 0 that a kind of record follows.
+    """
+    lines = re.split(r"\r?\n", text)
+    at = 0
+    while at + 1 < len(lines):
+        if _CODE.fullmatch(lines[at]):
+            yield int(lines[at]), lines[at + 1].strip()
+            at += 2
+            continue
+        yield None, lines[at].strip()[:200]
+        at += 1
+        while at + 1 < len(lines) and not (lines[at].strip() == "0" and _KIND.fullmatch(lines[at + 1].strip())):
+            at += 1
 
 
 def _number(value: str) -> float | None:
@@ -45,25 +67,33 @@ def _number(value: str) -> float | None:
         return None
 
 
-def records(text: str) -> Iterator[tuple[str, str | None, str, list[tuple[int, str]]]]:
-    """(section, block, type, tags) of every record of the file."""
+def records(text: str) -> Iterator[tuple[str, str | None, str | None, list[tuple[int, str]]]]:
+    """(section, block, type, tags) of every record of the file; of the header's variables each is a record VARIABLE. Type None: a line that can't be read."""
     section, block, kind, own, waits = "", None, None, [], False
     for code, value in [*tags(text), (0, "EOF")]:
-        if code == 0:
+        if code is None:
+            if value:
+                yield section, block, None, [(0, value)]
+        elif code == 0 or (code == 9 and section == "HEADER"):
             if kind == "BLOCK":
                 block = next((v for c, v in own if c == 2), None)
             if kind and kind not in ("SECTION", "ENDSEC", "EOF"):
                 yield section, block, kind, own
             if kind == "ENDBLK":
                 block = None
-            kind, own, waits = value, [], value == "SECTION"
+            kind, own, waits = (value, [], value == "SECTION") if code == 0 else ("VARIABLE", [(2, value)], False)
+            if code == 0 and value == "ENDSEC":
+                section = ""
         elif waits and code == 2:
             section, waits = value, False
         else:
             own.append((code, value))
 
 
-def _row(file_id: str, i: int, section: str, block: str | None, kind: str, own: list[tuple[int, str]]) -> dict:
+def _row(file_id: str, i: int, section: str, block: str | None, kind: str | None, own: list[tuple[int, str]]) -> dict:
+    wrong = None if kind in ("VARIABLE",) or section != "ENTITIES" else next((f"{c}: {v}" for c, v in own if c in _NUMBERS and _number(v) is None), None)
+    if kind is None or wrong:
+        return {**dict.fromkeys(_COLUMNS), "file_id": file_id, "section": section, "block": block, "entity_id": i, "type": kind, "points": [], "attributes": {}, "corrupt": wrong or own[0][1]}
     first = {}
     for c, v in own:
         first.setdefault(c, v)
@@ -76,40 +106,143 @@ def _row(file_id: str, i: int, section: str, block: str | None, kind: str, own:
         "points": [{"x": x, "y": y} for x, y in zip(xs, ys, strict=False) if x is not None and y is not None], "radius": number(40) if kind in ("CIRCLE", "ARC", "TEXT", "MTEXT") else None,
         "start_angle": number(50) if kind == "ARC" else None, "end_angle": number(51) if kind == "ARC" else None, "x_scale": number(41) if kind == "INSERT" else None, "y_scale": number(42) if kind == "INSERT" else None,
         "rotation": number(50) if kind in ("INSERT", "TEXT", "MTEXT") else None, "closed": bool(int(number(70) or 0) & 1) if kind in ("LWPOLYLINE", "POLYLINE") else None,
-        "attributes": {str(c): v for c, v in first.items() if c not in (5, 8, 1, 2, 3, 10, 20, 11, 21)},
+        "attributes": {str(c): v for c, v in first.items() if section in ("HEADER", "TABLES") or c not in (5, 8, 1, 2, 3, 10, 20, 11, 21)}, "corrupt": None,
     }
 
 
-def read_dxf(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
-    """Every record of the drawings under ``path``."""
+def rows_of(file_id: str, data: bytes, encodings: tuple[str, ...], mode: str) -> Iterator[dict]:
+    for i, r in enumerate(records(decode(data, encodings))):
+        row = _row(file_id, i, *r)
+        if row["corrupt"] is not None:
+            if mode == "failfast":
+                raise ValueError(f"record {i} of drawing {file_id} can't be read: {row['corrupt']}")
+            if mode == "dropmalformed":
+                continue
+        yield row
+
+
+def _mode(mode: str) -> str:
+    if mode.lower() not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
+    return mode.lower()
+
+
+class Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+
+class DxfReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.mode = _mode(options.get("mode", "permissive"))
+        self.encodings = tuple(e.strip() for e in options["encodings"].split(",")) if "encodings" in options else ENCODINGS
+        self.bytes = int(options.get("partitionbytes", 64 << 20))
+        self.path = options["path"].removeprefix("file://")
+
+    def partitions(self) -> list[Files]:
+        """Files in the order of their names, as many to a partition as its bytes hold, one at least."""
+        if os.path.isfile(self.path):
+            return [Files([self.path])]
+        found = sorted(os.path.join(d, n) for d, _, names in os.walk(self.path) for n in names if n.lower().endswith(".dxf"))
+        out: list[Files] = []
+        size = self.bytes
+        for p in found:
+            own = os.path.getsize(p)
+            if size + own > self.bytes:
+                out.append(Files([]))
+                size = 0
+            out[-1].paths.append(p)
+            size += own
+        return out
+
+    def read(self, partition: Files) -> Iterator[tuple]:
+        for p in partition.paths:
+            with open(p, "rb") as f:
+                data = f.read()
+            for r in rows_of(hashlib.sha256(data).hexdigest(), data, self.encodings, self.mode):
+                yield tuple([(q["x"], q["y"]) for q in r[c]] if c == "points" else r[c] for c in _COLUMNS)
+
+
+class DxfSource(DataSource):
+    """``spark.read.format("dxf")``: the drawings of a folder that every executor can open, a partition for some files.
+
+    Options: path; mode (permissive, dropmalformed, failfast); encodings (a list with commas, tried in this order); partitionBytes.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "dxf"
+
+    def schema(self) -> str:
+        return ENTITY
+
+    def reader(self, schema: object) -> DxfReader:
+        return DxfReader(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    """Make the format ``dxf`` known to the session."""
+    spark.dataSource.register(DxfSource)
+
+
+def read_dxf(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS, mode: str = "permissive") -> DataFrame:
+    """Every record of the drawings under ``path``, which only Spark has to be able to open."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[dD][xX][fF]").option("recursiveFileLookup", "true").load(path)
-    return parse_drawings(files, encodings)
+    return parse_drawings(files, encodings, mode)
 
 
-def parse_drawings(files: DataFrame, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
-    """Every record of drawings in a binary column ``content``; file_id is the SHA-256 of the bytes. A record that can't be read is passed over."""
+def parse_drawings(files: DataFrame, encodings: tuple[str, ...] = ENCODINGS, mode: str = "permissive") -> DataFrame:
+    """Every record of drawings in a binary column ``content``; file_id is the SHA-256 of the bytes. A null content has no records."""
+    mode = _mode(mode)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for file_id, data in zip(b["file_id"], b["content"], strict=True):
                 rows = []
-                for i, r in enumerate(records(decode(bytes(data), encodings))):
-                    try:
-                        rows.append(_row(file_id, i, *r))
-                    except (ValueError, TypeError):
-                        continue
+                for r in rows_of(file_id, bytes(data), encodings, mode):
+                    rows.append(r)
                     if len(rows) == 5000:
-                        yield pd.DataFrame(rows)
+                        yield pd.DataFrame(rows, columns=_COLUMNS)
                         rows = []
                 if rows:
-                    yield pd.DataFrame(rows)
+                    yield pd.DataFrame(rows, columns=_COLUMNS)
 
-    return files.select(F.sha2("content", 256).alias("file_id"), "content").mapInPandas(run, ENTITY)
+    return files.where("content is not null").select(F.sha2("content", 256).alias("file_id"), "content").mapInPandas(run, ENTITY)
 
 
 def entities(records_: DataFrame) -> DataFrame:
-    """Of the model space."""
-    return records_.where("section = 'ENTITIES'")
+    """Of the model space, those that could be read."""
+    return records_.where("section = 'ENTITIES' and corrupt is null")
+
+
+def corrupt(records_: DataFrame) -> DataFrame:
+    """(file_id, section, entity_id, type, corrupt) of what couldn't be read."""
+    return records_.where("corrupt is not null").select("file_id", "section", "entity_id", "type", "corrupt")
+
+
+def header(records_: DataFrame) -> DataFrame:
+    """(file_id, variable, value): the header's variables; the values of a point are joined by commas."""
+    v = records_.where("section = 'HEADER' and type = 'VARIABLE'")
+    values = F.transform(F.array_sort(F.filter(F.map_entries("attributes"), lambda e: e["key"] != "2")), lambda e: e["value"])
+    return v.select("file_id", F.col("name").alias("variable"), F.array_join(values, ",").alias("value"))
+
+
+def linetypes(records_: DataFrame) -> DataFrame:
+    t = records_.where("section = 'TABLES' and type = 'LTYPE' and name is not null")
+    return t.select("file_id", "name", F.col("attributes")["3"].alias("description"))
+
+
+def styles(records_: DataFrame) -> DataFrame:
+    t = records_.where("section = 'TABLES' and type = 'STYLE' and name is not null")
+    return t.select("file_id", "name", F.expr("try_cast(attributes['40'] as double)").alias("height"))
+
+
+def dimstyles(records_: DataFrame) -> DataFrame:
+    return records_.where("section = 'TABLES' and type = 'DIMSTYLE' and name is not null").select("file_id", "name")
+
+
+def block_names(records_: DataFrame) -> DataFrame:
+    return records_.where("section = 'BLOCKS' and type = 'BLOCK' and name is not null").select("file_id", "name")
 
 
 def layers(records_: DataFrame) -> DataFrame:
