@@ -12,7 +12,9 @@ from pyspark.sql.types import StringType
 
 #: Formatting codes of MTEXT that run up to a semicolon.
 _FORMAT = r"\\[ACFHQTWf].*?;"
-#: Title words of layouts, in Chinese.
+#: Title words of layouts (plan, section, elevation, details, nodes, machine rooms, arrangement), and the longest title.
+TITLES = ("平面图", "剖面图", "立面图", "详图", "大样图", "节点图", "机房图", "布置图")
+LONGEST_TITLE = 48
 CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
 
 
@@ -95,3 +97,8 @@ def duration(seconds: Column) -> Column:
 
 def shorten(text: Column, most: int = 800, mark: str = "...[truncated]") -> Column:
     return F.when(F.char_length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit(mark))).otherwise(text)
+
+
+def is_title(text: Column) -> Column:
+    """A short text with one of the title words."""
+    return (F.char_length(text) <= LONGEST_TITLE) & text.rlike("|".join(TITLES))

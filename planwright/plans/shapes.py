@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from planwright.functions import entities
 from planwright.functions import geometry as G
 from planwright.functions import text as T
 from planwright.functions import vectors as V
@@ -15,6 +16,7 @@ from planwright.operators.chunking import chunk_layouts
 from planwright.operators.community import communities
 from planwright.operators.islands import stacked_texts
 from planwright.operators.occupancy import cell_components, dilated
+from planwright.operators.ordering import with_row_number
 from planwright.operators.spatial import box_join
 from planwright.plans.joins import region_graph
 from planwright.plans.layouts import ring
@@ -104,6 +106,70 @@ def m12_m14_entity_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawing(spark, sf_dir, "entities").select("entity_id", G.ring_box(points).alias("b")).select("entity_id", "b.*")
 
 
+#: Entities of fourteen kinds from the rows of ``part``.
+_SHAPES = """WITH p AS (SELECT p_partkey AS k, CAST((p_partkey * 13) % 4000 AS DOUBLE) AS x, CAST((p_partkey * 29) % 4000 AS DOUBLE) AS y, CAST(p_size AS DOUBLE) AS r, p_name AS text,
+['LINE', 'LWPOLYLINE', 'POLYLINE', 'INSERT', 'CIRCLE', 'ARC', 'ATTRIB', 'POINT', 'SOLID', 'ELLIPSE', 'SPLINE', 'HATCH', 'DIMENSION', 'TEXT'][p_partkey % 14 + 1] AS type, CASE WHEN p_partkey % 97 = 0 THEN 200000 ELSE 0 END AS far FROM part)"""
+_KINDS = ["LINE", "LWPOLYLINE", "POLYLINE", "INSERT", "CIRCLE", "ARC", "ATTRIB", "POINT", "SOLID", "ELLIPSE", "SPLINE", "HATCH", "DIMENSION", "TEXT"]
+
+
+def _sql_points(**lists: str) -> str:
+    out = " ".join(f"WHEN '{kind}' THEN [{', '.join(f'[{x}, {y}]' for x, y in (p.split(',') for p in text.split()))}]" for kind, text in lists.items())
+    return f", l AS (SELECT k, type, x, y, r, text, unnest(CASE type {out} ELSE [[x, y]] END) AS p FROM p)"
+
+
+_CORNERS = "x,y x+r,y x,y+r x+r,y+r"
+_HATCHED = "x,y x+r,y x,y+r x-1,y x,y-2 x+3,y+3 x+r,y+9"
+_SPLINED = "x,y x+r,y+5 x+2*r,y x+1,y+1"
+_MARKS = "x,y x,y+r x+r,y+r"
+_SPARSE = _sql_points(LINE="x,y x+r+far,y+2", LWPOLYLINE="x,y x+r,y x+r,y+r", POLYLINE="x,y x-r,y+1", SOLID=_CORNERS, ELLIPSE="x,y x+r,y+1 x-r,y-1 x-0.5,y+r/2 x+0.5,y-r/2", SPLINE=_SPLINED, HATCH=_HATCHED, DIMENSION=_MARKS)
+
+
+def shapes_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, e): entities of all kinds, with some far too long."""
+    k, r = F.col("p_partkey"), F.col("p_size").cast("double")
+    x, y = (k * 13 % 4000).cast("double"), (k * 29 % 4000).cast("double")
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (k % 14 + 1).cast("int"))
+    is_ = lambda *names: kind.isin(*names)
+    p = G.point
+    far = F.when(k % 97 == 0, 200000.0).otherwise(0.0)
+    edge = F.struct(p(x - 1, y).alias("start"), p(x, y - 2).alias("end"), p(x + 3, y + 3).alias("center"), F.array(p(x + r, y + 9)).alias("control"))
+    values = {
+        "type": kind, "start": F.when(is_("LINE"), p(x, y)), "end": F.when(is_("LINE"), p(x + r + far, y + 2)),
+        "vertices": F.when(is_("LWPOLYLINE"), F.array(p(x, y), p(x + r, y), p(x + r, y + r))).when(is_("POLYLINE"), F.array(p(x, y), p(x - r, y + 1))), "closed": k % 2 == 0,
+        "position": F.when(is_("INSERT", "ATTRIB", "POINT", "TEXT"), p(x, y)), "center": F.when(is_("CIRCLE", "ARC", "ELLIPSE"), p(x, y)), "radius": F.when(is_("CIRCLE", "ARC", "TEXT"), r),
+        "major": F.when(is_("ELLIPSE"), p(r, F.lit(1.0))), "ratio": F.lit(0.5), "corners": F.when(is_("SOLID"), F.array(p(x, y), p(x + r, y), p(x, y + r), p(x + r, y + r))),
+        "control": F.when(is_("SPLINE"), F.array(p(x, y), p(x + r, y + 5), p(x + 2 * r, y))), "fit": F.when(is_("SPLINE"), F.array(p(x + 1, y + 1))),
+        "loops": F.when(is_("HATCH"), F.array(F.struct(F.array(p(x, y), p(x + r, y), p(x, y + r)).alias("polyline"), F.array(edge).alias("edges")))),
+        "marks": F.when(is_("DIMENSION"), F.array(p(x, y), p(x, y + r), p(x + r, y + r))), "text": F.when(is_("TEXT"), F.col("p_name")), "width": F.lit(0.0),
+    }
+    return table(spark, sf_dir, "part").select(k.alias("k"), F.struct(*(v.alias(n) for n, v in values.items())).cast(entities.SHAPE).alias("e"))
+
+
+def _spread(rows: DataFrame, points: Column) -> DataFrame:
+    return rows.select("k", F.explode(points).alias("p")).select("k", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+
+
+@query(_SHAPES + _SPARSE + " SELECT k, round(p[1], 6) AS x, round(p[2], 6) AS y FROM l QUALIFY max(p[1]) OVER (PARTITION BY k) - min(p[1]) OVER (PARTITION BY k) <= 100000")
+def m12_entity_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Representative points of all kinds; entities that are far too long have none."""
+    return _spread(shapes_of_parts(spark, sf_dir), entities.points(F.col("e")))
+
+
+@query(_SHAPES + _sql_points(LINE="x,y x+r+far,y+2 x+(r+far)/2,y+1", LWPOLYLINE="x,y x+r,y x+r,y+r x+r/2,y x+r,y+r/2 x+r/2,y+r/2", POLYLINE="x,y x-r,y+1 x-r/2,y+0.5 x-r/2,y+0.5", CIRCLE="x,y x+r,y x-r,y x,y+r x,y-r", ELLIPSE="x,y x+r,y+1 x-r,y-1", SOLID=_CORNERS, SPLINE=_SPLINED, HATCH=_HATCHED, DIMENSION=_MARKS) + """,
+n AS (SELECT k, type, p, row_number() OVER (PARTITION BY k) AS i FROM l) SELECT k, round(p[1], 6) AS x, round(p[2], 6) AS y FROM n WHERE NOT (k % 2 = 1 AND ((type = 'LWPOLYLINE' AND i = 6) OR (type = 'POLYLINE' AND i = 4)))""")
+def m13_dense_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the middles of straight pieces, of closed lines of the last one too, and the ends of a circle's axes."""
+    return _spread(shapes_of_parts(spark, sf_dir), entities.dense_points(F.col("e")))
+
+
+@query(_SHAPES + _SPARSE + """, b AS (SELECT k, any_value(type) AS type, any_value(x) AS x, any_value(y) AS y, any_value(r) AS r, any_value(text) AS text, min(p[1]) AS a, min(p[2]) AS b, max(p[1]) AS c, max(p[2]) AS d FROM l GROUP BY k)
+SELECT k, type, round(CASE type WHEN 'CIRCLE' THEN x - r ELSE a END, 6) AS min_x, round(CASE type WHEN 'CIRCLE' THEN y - r ELSE b END, 6) AS min_y,
+round(CASE type WHEN 'CIRCLE' THEN x + r WHEN 'TEXT' THEN x + length(text) * r * 0.7 ELSE c END, 6) AS max_x, round(CASE type WHEN 'CIRCLE' THEN y + r WHEN 'TEXT' THEN y + r ELSE d END, 6) AS max_y FROM b""")
+def m14_boxes_of_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = shapes_of_parts(spark, sf_dir).select("k", "e.type", entities.box(F.col("e")).alias("b"))
+    return b.select("k", "type", *(F.round(F.col("b")[c], 6).alias(c) for c in ("min_x", "min_y", "max_x", "max_y")))
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four edges of each region: file_id, region_id, side, x1, y1, x2, y2."""
     r = drawing(spark, sf_dir, "regions").withColumn("ring", ring())
@@ -185,11 +251,14 @@ def t1_t2_mtext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", T.decode_mtext(F.col("t")).alias("long_form"), T.decode_mtext_short(F.col("t")).alias("short_form"))
 
 
-@query("SELECT doc_id, nfc_normalize(text) = text AS same FROM documents WHERE false")
+_PLAIN, _WIDE = "0123456789ABCDEFGHIJ", "０１２３４５６７８９ＡＢＣＤＥＦＧＨＩＪ"
+
+
+@query(f"SELECT doc_id, '{_PLAIN}' || replace(text, 'fi', 'fi') || ' 1/2 ffi' AS normal, trim(regexp_replace(lower('{_PLAIN}' || replace(text, 'ß', 'ss') || ' 1/2 ffi'), '[ \\t\\n\\r]+', ' ', 'g')) AS match FROM documents".replace("1/2", "1⁄2"))
 def t3_t4_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose normal form is not themselves (none in these tables)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", (T.nfkc("text") == F.col("text")).alias("same"))
-    return d.where("not same")
+    """Texts whose digits and capitals are written wide, with a ligature and a fraction: the compatibility form, and that form folded for matching."""
+    wide = F.concat(F.translate(F.lit(_PLAIN), _PLAIN, _WIDE), F.replace("text", F.lit("fi"), F.lit("ﬁ")), F.lit("　½\u00a0ﬃ"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.nfkc(wide).alias("normal"), T.match_form(wide).alias("match"))
 
 
 @query(drawing_sql("annotations") + " SELECT id, regexp_replace(translate(replace(lower(text), 'ß', 'ss'), '～∼〜至到－—', '~~~~~--'), '[\\s\\-_~]', '', 'g') AS loose FROM annotations")
@@ -221,9 +290,16 @@ def t8_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stacked_texts(a, "layer")
 
 
-@query(drawing_sql("annotations") + " SELECT id FROM annotations WHERE length(text) <= 48 AND regexp_matches(text, '^(The|Der|De|La) ')")
+@query(drawing_sql("annotations") + f""", t AS (SELECT id, layer, x, y, CASE WHEN id % 3 = 0 THEN left(text, CAST(id % 60 AS INTEGER)) ELSE left(text, CAST(id % 60 AS INTEGER)) || [{", ".join(f"'{w}'" for w in T.TITLES)}, '平面'][id % {len(T.TITLES) + 1} + 1] END AS title FROM annotations),
+a AS (SELECT * FROM t WHERE length(title) <= 48 AND regexp_matches(title, '{"|".join(T.TITLES)}')) SELECT id, title, row_number() OVER (ORDER BY round_even(x / 10000, 0), y DESC, id) AS k FROM a""")
 def t10_title_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drawing(spark, sf_dir, "annotations").where((F.char_length("text") <= 48) & F.col("text").rlike("^(The|Der|De|La) ")).select("id")
+    """Short texts with a title word, in reading order; the words are put behind beginnings of the annotations."""
+    words = F.array(*map(F.lit, [*T.TITLES, "平面"]))
+    begin = F.left("text", (F.col("id") % 60).cast("int"))
+    title = F.when(F.col("id") % 3 == 0, begin).otherwise(F.concat(begin, F.element_at(words, (F.col("id") % (len(T.TITLES) + 1) + 1).cast("int"))))
+    found = drawing(spark, sf_dir, "annotations").withColumn("title", title).where(T.is_title(F.col("title")))
+    placed = found.select("id", "title", F.bround(F.col("x") / 10000, 0).alias("column"), (-F.col("y")).alias("down"))
+    return with_row_number(placed, ["column", "down", "id"], "k").select("id", "title", (F.col("k") + 1).cast("long").alias("k"))
 
 
 @query("SELECT conv_id, turn, regexp_replace(text, '(?i)the', '@ref', 'g') AS said FROM conversations WHERE regexp_matches(text, '(?i)the')")
@@ -401,8 +477,11 @@ def component_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def g16_diameter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By walks within each component."""
-    return kernels.topology(component_edges(spark, sf_dir), "component")
+    """Nodes, diameter and articulation points of each component."""
+    e = drawing(spark, sf_dir, "edges")
+    wide = graph.diameters(e)
+    cut = graph.articulation_points(e).join(graph.connected_components(e), "node").groupBy("component").agg(F.count("*").alias("articulation_points"))
+    return wide.join(cut, "component", "left").select("component", "nodes", "diameter", F.coalesce("articulation_points", F.lit(0).cast("long")).alias("articulation_points"))
 
 
 @query()
@@ -461,7 +540,7 @@ def r4_kmeans_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def r7_laplacian_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.laplacian_encodings(component_edges(spark, sf_dir), "component").select("component", "node", F.size("encoding").alias("size"))
+    return kernels.laplacian_encodings(component_edges(spark, sf_dir), "component").select("component", "node", F.transform("encoding", lambda x: F.round(x, 6) + 0.0).alias("encoding"))
 
 
 @query(drawing_sql("regions") + ", l AS (SELECT DISTINCT layout_id, file_id FROM regions), k AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY md5(CAST(layout_id * 42 + file_id AS VARCHAR)), layout_id) AS k FROM l) SELECT file_id, layout_id, CASE WHEN k <= 2 THEN 'val' ELSE 'train' END AS fold FROM k")
@@ -798,9 +877,11 @@ def q14_text_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("file_id", (F.col("a") - pad).alias("min_x"), (F.col("b") + pad).alias("max_x"))
 
 
-@query(drawing_sql("entities") + " SELECT entity_id, type FROM entities WHERE type IN ('LWPOLYLINE', 'SOLID', 'HATCH')")
+@query(_SHAPES + _SPARSE + " SELECT k, type, round(p[1], 6) AS x, round(p[2], 6) AS y FROM l WHERE type IN ('SOLID', 'HATCH') OR (type IN ('LWPOLYLINE', 'POLYLINE') AND k % 2 = 0)")
 def q8_structural_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drawing(spark, sf_dir, "entities").where(F.col("type").isin("LWPOLYLINE", "SOLID", "HATCH")).select("entity_id", "type")
+    """Points of solids, hatches and closed polylines."""
+    e = shapes_of_parts(spark, sf_dir).where("e.type in ('SOLID', 'HATCH') or (e.type in ('LWPOLYLINE', 'POLYLINE') and e.closed)")
+    return e.select("k", "e.type", F.explode(entities.points(F.col("e"))).alias("p")).select("k", "type", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
 
 
 @query(drawing_sql("regions") + ", g AS (SELECT layout_id, chunk_id, min(x0) AS a, min(y0) AS b, max(x0 + w) AS c, max(y0 + h) AS d FROM regions WHERE layout_id IN (1, 2) GROUP BY ALL) SELECT layout_id, chunk_id, greatest(a - 20, 0) AS min_x, greatest(b - 20, 0) AS min_y, least(c + 20, 9000) AS max_x, least(d + 20, 4000) AS max_y FROM g")

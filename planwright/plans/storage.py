@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from planwright.plans.layouts import ring
 from planwright.plans.registry import query
-from planwright.sources import dxf, files
+from planwright.sources import dxf, files, vector_index
 from planwright.sources.drawings import drawing, drawing_sql
 from planwright.sources.tables import table
 from planwright.staging import shared_dir
@@ -50,6 +50,17 @@ def s13_s14_vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("vec_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x.cast("double"))), 3).alias("spread"))
 
 
+@query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), n AS (SELECT vec_id, label, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.e AS DOUBLE[])) AS s FROM embeddings v, q)
+SELECT vec_id, label, round(s, 6) AS score FROM n ORDER BY s DESC, vec_id LIMIT 10""")
+def s14_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index written, then searched cell by cell; the ten vectors most like that of vec_id 0."""
+    path, rows = _path(spark, "cells"), table(spark, sf_dir, "embeddings")
+    vector_index.write_index(rows, path, keep=("label",))
+    asked = rows.where("vec_id = 0").select("embedding").first()
+    found, _ = vector_index.search_index(spark, path, list(asked[0]) if asked else [], 10)
+    return found.select(F.col("id").alias("vec_id"), "label", F.round("score", 6).alias("score"))
+
+
 @query(drawing_sql("regions") + " SELECT layout_id, chunk_id, x0 AS x, y0 AS y, w, h FROM regions")
 def s15_flat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = files.masks(drawing(spark, sf_dir, "regions").withColumn("ring", ring()))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from planwright.plans.registry import query
 from planwright.sources.drawings import DERIVED, drawing_sql
@@ -106,3 +108,28 @@ def x10_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     w = Window.partitionBy("layout_id").orderBy("ts", "id").rowsBetween(-4, 0)
     return drawing(spark, sf_dir, "agent_events").withColumn("n", F.count("*").over(w)).groupBy("layout_id").agg(F.max("n").alias("width"))
+
+
+HEARTBEAT = "key string, kind string, seen long, beats long"
+
+
+def heartbeats(events: DataFrame, key: str, idle_ms: int) -> DataFrame:
+    """(key, kind, seen, beats): for each key a row ``events`` when some came, and a row ``idle`` whenever none came for ``idle_ms``, again and again until some do.
+
+    ``seen`` counts the key's events so far, ``beats`` its idle rows since the last one. A key without events has no rows; a null key is a key. The clock is that of
+    processing, so use an append sink and a processing-time trigger.
+    """
+
+    def beat(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, beats = state.get if state.exists else (0, 0)
+        if state.hasTimedOut:
+            kind, beats = "idle", beats + 1
+        else:
+            kind, beats = "events", 0
+            seen += sum(len(b) for b in batches)
+        state.update((seen, beats))
+        state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({"key": [k[0]], "kind": [kind], "seen": [seen], "beats": [beats]})
+
+    keyed = events.select(F.col(key).cast("string").alias("key"))
+    return keyed.groupBy("key").applyInPandasWithState(beat, HEARTBEAT, "seen long, beats long", "append", GroupStateTimeout.ProcessingTimeTimeout)
