@@ -53,42 +53,6 @@ def histogram(rows: DataFrame, values: list[str], low: Column, high: Column, bin
     return table.withColumn("hist", F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)))).drop("m")
 
 
-def _much(a: list[float], b: list[float]) -> bool:
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    if w <= 0 or h <= 0:
-        return False
-    area = min((a[2] - a[0]) * (a[3] - a[1]), (b[2] - b[0]) * (b[3] - b[1]))
-    return w * h >= 0.05 * area and w >= 0.15 * min(a[2] - a[0], b[2] - b[0]) and h >= 0.15 * min(a[3] - a[1], b[3] - b[1])
-
-
-def merge_boxes(boxes: list[list[float]]) -> list[list[float]]:
-    """Each box in turn takes in whatever it overlaps much, until nothing more; order matters."""
-    done: list[list[float]] = []
-    for new in boxes:
-        while True:
-            near = [k for k, old in enumerate(done) if _much(new, old)]
-            if not near:
-                break
-            for k in reversed(near):
-                old = done.pop(k)
-                new = [min(new[0], old[0]), min(new[1], old[1]), max(new[2], old[2]), max(new[3], old[3])]
-        done.append(new)
-    return done
-
-
-def merge_overlapping(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, min_x, min_y, max_x, max_y): the merged boxes of each key, taken in the order of ``order``."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        merged = merge_boxes(group.sort_values(order)[["min_x", "min_y", "max_x", "max_y"]].values.tolist())
-        out = pd.DataFrame(merged, columns=["min_x", "min_y", "max_x", "max_y"])
-        out.insert(0, key, group[key].iloc[0])
-        return out
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandas(run, f"`{key}` {kind}, min_x double, min_y double, max_x double, max_y double")
-
-
 def suppress(boxes: Column, most: float) -> Column:
     """Greedy suppression of an ordered array of box structs: a box goes if its IoU with one kept before is ``most`` or more."""
     from planwright.functions.geometry import iou

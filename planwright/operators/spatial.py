@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planwright.functions import geometry as G
+from planwright.operators.graph import connected_components
 from planwright.staging import staged
 
 
@@ -74,3 +75,19 @@ def nearest_points(points: DataFrame, anchors: DataFrame, key: str, anchor: str,
         last = last or left.isEmpty()
         cell *= growth
     return done
+
+
+def merged_boxes(boxes: DataFrame, keys: list[str], cell: float) -> DataFrame:
+    """(keys, id, box): ``boxes`` (keys, id, box) joined until none of equal keys overlap much (``geometry.overlaps_much``); a joined box has its least id.
+
+    In each round all boxes that hang together by such overlaps become their union at once, so neither the order of rows nor of ids matters. Ids are unique; null boxes go.
+    """
+    now = staged(boxes.where(F.col("box").isNotNull()).select(*keys, "id", "box"), "boxes")
+    while True:
+        other = now.select(*keys, F.col("id").alias("other_id"), F.col("box").alias("other"))
+        pairs = staged(box_join(now, other, "box", "other", cell, (F.col("id") < F.col("other_id")) & G.overlaps_much(F.col("box"), F.col("other")), keys=tuple(keys)).select("id", "other_id"), "overlaps")
+        if pairs.isEmpty():
+            return now
+        root = connected_components(pairs, "id", "other_id").withColumnsRenamed({"node": "id", "component": "root"})
+        ends = G.box(F.min("box.min_x"), F.min("box.min_y"), F.max("box.max_x"), F.max("box.max_y"))
+        now = staged(now.join(root, "id", "left").groupBy(*keys, F.coalesce("root", "id").alias("id")).agg(ends.alias("box")), "boxes")

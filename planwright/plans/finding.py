@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from planwright.functions import geometry as G
 from planwright.operators.kernels import suppress
+from planwright.operators.ordering import runs_of_groups, sorted_runs
 from planwright.operators.spatial import box_join
 from planwright.plans.joins import counted_boxes
 from planwright.plans.layouts import high_outliers, ring
 from planwright.plans.registry import query
-from planwright.plans.shapes import segments
 from planwright.sources.drawings import drawing, drawing_sql
 from planwright.sources.tables import table
 
@@ -85,12 +85,16 @@ def f11b_nonempty_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("region_id", ((F.col("box.max_x") - F.col("box.min_x")) > (F.col("box.max_y") - F.col("box.min_y"))).alias("wide"))
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey % 3 = 0 AND p_size % 4 = 2")
+@query("""WITH h AS (SELECT p_partkey AS id, p_partkey % 4 AS file_id, p_partkey % 3 = 0 AS in_block, p_size % 4 = 2 OR p_size % 7 = 2 AS arc FROM part WHERE p_partkey % 5 < 2)
+SELECT file_id, arg_min(id, (in_block, id)) AS id, arg_min(in_block, (in_block, id)) AS in_block FROM h WHERE arc GROUP BY 1""")
 def f20_hatch_with_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hatches with an edge of type 2 in any loop."""
-    edge = F.struct((F.col("p_size") % 4).alias("type"))
-    loops = F.when(F.col("p_partkey") % 3 == 0, F.array(F.struct(F.array(F.struct(F.lit(1).alias("type")), edge).alias("edges"))))
-    return table(spark, sf_dir, "part").withColumn("loops", loops).where(F.exists("loops", lambda x: F.exists(x["edges"], lambda e: e["type"] == 2))).select("p_partkey")
+    """Each drawing's first hatch with an edge that is an arc (type 2) in any loop: of the model space, else of the blocks."""
+    p = table(spark, sf_dir, "part").where("p_partkey % 5 < 2")
+    edge = lambda c: F.struct((F.col("p_size") % c).alias("type"))
+    loops = F.array(F.struct(F.array(F.struct(F.lit(1).alias("type")), edge(4)).alias("edges")), F.struct(F.array(edge(7)).alias("edges")))
+    hatches = p.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 4).alias("file_id"), (F.col("p_partkey") % 3 == 0).alias("in_block"), loops.alias("loops"))
+    found = hatches.where(F.exists("loops", lambda x: F.exists(x["edges"], lambda e: e["type"] == 2)))
+    return found.groupBy("file_id").agg(F.min(F.struct("in_block", "id")).alias("m")).select("file_id", "m.id", "m.in_block")
 
 
 def check_request(request: dict) -> None:
@@ -134,18 +138,21 @@ def m3_box_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawing(spark, sf_dir, "regions").select("region_id", G.box_area(b).alias("area"))
 
 
-_SEG = drawing_sql("regions") + """, seg AS (SELECT region_id, w AS len, 0.0 AS a FROM regions UNION ALL SELECT region_id, h, pi() / 2 FROM regions UNION ALL SELECT region_id, w, 0.0 FROM regions UNION ALL SELECT region_id, h, pi() / 2 FROM regions)"""
+_RINGS = drawing_sql("regions") + """, g AS (SELECT region_id, w, h, sqrt(w * w + h * h) AS d, CASE WHEN degrees(atan2(h, w)) <= 12 OR degrees(atan2(h, w)) >= 78 THEN 1 ELSE 0 END AS straight, region_id % 2 = 0 AS whole FROM regions)"""
 
 
-@query(_SEG + " SELECT region_id, CAST(1 AS DOUBLE) AS rectangularity, sum(len) / sum(len) AS orthogonal FROM seg GROUP BY 1")
+@query(_RINGS + " SELECT region_id, CAST(CASE WHEN whole THEN 1 ELSE 0.5 END AS DOUBLE) AS rectangularity, round(CASE WHEN whole THEN 1 ELSE (w + h + straight * d) / (w + h + d) END, 9) AS orthogonal FROM g")
 def m17_rectangularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of its box that a ring fills, and of its length that runs along the axes."""
-    r = drawing(spark, sf_dir, "regions").withColumn("ring", ring())
-    fill = r.select("region_id", (G.ring_area(F.col("ring")) / G.box_area(G.ring_box(F.col("ring")))).alias("rectangularity"))
-    length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    straight = F.when(G.is_orthogonal(G.segment_angle(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))), length).otherwise(0.0)
-    share = segments(spark, sf_dir).groupBy("region_id").agg((F.sum(straight) / F.sum(length)).alias("orthogonal"))
-    return fill.join(share, "region_id")
+    """Share of its box that a ring fills, and of its length that runs along the axes; every other region is a triangle."""
+    own = F.when(F.col("region_id") % 2 == 0, ring()).otherwise(F.filter(ring(), lambda p, i: i != 2))
+    r = drawing(spark, sf_dir, "regions").withColumn("ring", own)
+    n = F.size("ring")
+    sides = F.transform("ring", lambda p, i: F.struct(p.alias("p"), F.element_at("ring", (i + 1) % n + 1).alias("q")))
+    long = lambda s: F.hypot(s["q"]["x"] - s["p"]["x"], s["q"]["y"] - s["p"]["y"])
+    flat = lambda s: F.when(G.is_orthogonal(G.segment_angle(s["p"]["x"], s["p"]["y"], s["q"]["x"], s["q"]["y"])), long(s)).otherwise(0.0)
+    total = lambda f: F.aggregate(sides, F.lit(0.0), lambda a, s: a + f(s))
+    fill = G.ring_area(F.col("ring")) / G.box_area(G.ring_box(F.col("ring")))
+    return r.select("region_id", fill.alias("rectangularity"), F.round(total(flat) / total(long), 9).alias("orthogonal"))
 
 
 @query(drawing_sql("regions") + " SELECT region_id, round(x0 - w * 0.1, 6) AS min_x, round(y0 - h * 0.2, 6) AS min_y, round(x0 + w + w * 0.3, 6) AS max_x, round(y0 + h + h * 0.4, 6) AS max_y FROM regions")
@@ -220,12 +227,48 @@ def q7_routed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subs.select("region_id", F.lit("sub-region").alias("class")).unionByName(parents.select("region_id", F.lit("general drawing").alias("class")))
 
 
-@query(drawing_sql("regions") + " SELECT layout_id, count(*) AS items, count(*) FILTER (w * h < 25) AS skipped, max(CASE WHEN w * h >= 25 THEN region_id END) AS last FROM regions GROUP BY 1")
+_ITEMS = drawing_sql("regions", "defects") + """, e AS (SELECT layout_id, max(x0) + 1 AS far FROM regions GROUP BY 1),
+i AS (SELECT layout_id, CAST(floor(16 * x0 / far) AS BIGINT) AS chunk_id, min(x0) AS a, min(y0) AS b, max(x0 + w) AS c, max(y0 + h) AS d FROM regions JOIN e USING (layout_id) GROUP BY ALL),
+l AS (SELECT layout_id, (max(c) - min(a)) * (max(d) - min(b)) AS whole FROM i GROUP BY 1), t AS (SELECT layout_id, chunk_id, (c - a) * (d - b) / whole >= 0.85 OR (c - a) * (d - b) < 25 AS skipped FROM i JOIN l USING (layout_id)),
+f AS (SELECT d.id, d.layout_id, d.chunk_id, d.type, CASE WHEN lower(severity) IN ('low', 'medium', 'high') THEN lower(severity) ELSE 'low' END AS severity FROM defects d JOIN t USING (layout_id, chunk_id) WHERE NOT skipped)"""
+
+
+def defect_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(work items with ``skipped``, the defects that were found in those that are looked at); sixteen strips of a layout are its chunks."""
+    box = G.box(F.min("b.min_x"), F.min("b.min_y"), F.max("b.max_x"), F.max("b.max_y"))
+    regions = drawing(spark, sf_dir, "regions")
+    far = regions.groupBy("layout_id").agg((F.max("x0") + 1).alias("far"))
+    strip = F.floor(16 * F.col("x0") / F.col("far")).alias("chunk_id")
+    chunks = regions.join(far, "layout_id").select("layout_id", strip, G.ring_box(ring()).alias("b")).groupBy("layout_id", "chunk_id").agg(box.alias("b"))
+    whole = chunks.groupBy("layout_id").agg(G.box_area(box).alias("whole"))
+    area = G.box_area(F.col("b"))
+    # fixed values: a crop of nearly the whole layout, and one of hardly any pixel, are not looked at
+    items = chunks.join(whole, "layout_id").select("layout_id", "chunk_id", ((area / F.col("whole") >= 0.85) | (area < 25)).alias("skipped"))
+    severity = F.when(F.lower("severity").isin("low", "medium", "high"), F.lower("severity")).otherwise("low")
+    found = drawing(spark, sf_dir, "defects").join(items.where("not skipped"), ["layout_id", "chunk_id"]).select("id", "layout_id", "chunk_id", "type", severity.alias("severity"))
+    return items, found
+
+
+@query(_ITEMS + """ SELECT layout_id, chunk_id, id, type, severity, 'D' || row_number() OVER (PARTITION BY layout_id ORDER BY chunk_id, id) AS defect_id FROM f""")
+def q22_defects_of_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The defects of the items that are looked at, numbered through each layout."""
+    items, found = defect_items(spark, sf_dir)
+    runs = sorted_runs(found, ["layout_id", "chunk_id", "id"], "defects")
+    spans = runs_of_groups(runs, ["layout_id"]).select("_run", "layout_id", "_shift")
+    number = (F.col("_place") + F.col("_shift") + 1).cast("string")
+    return runs.join(spans, ["_run", "layout_id"]).select("layout_id", "chunk_id", "id", "type", "severity", F.concat(F.lit("D"), number).alias("defect_id"))
+
+
+@query(_ITEMS + """, g AS (SELECT layout_id, count(*) AS items, count(*) FILTER (skipped) AS skipped FROM t GROUP BY 1), h AS (SELECT layout_id, count(*) AS defects, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(DISTINCT chunk_id) AS chunks,
+max(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS worst FROM f GROUP BY 1) SELECT layout_id, items, skipped, coalesce(defects, 0) AS defects, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(chunks, 0) AS chunks, worst FROM g LEFT JOIN h USING (layout_id)""")
 def q22_q23_defect_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The relational part of a defect run: work items, those skipped, the last one."""
-    small = F.col("w") * F.col("h") < 25
-    r = drawing(spark, sf_dir, "regions").groupBy("layout_id")
-    return r.agg(F.count("*").alias("items"), F.count_if(small).alias("skipped"), F.max(F.when(~small, F.col("region_id"))).alias("last"))
+    """A defect run's report for each layout: work items, those skipped, defects by severity, chunks with any."""
+    items, found = defect_items(spark, sf_dir)
+    rank = F.when(F.col("severity") == "high", 3).when(F.col("severity") == "medium", 2).otherwise(1)
+    told = found.groupBy("layout_id").agg(F.count("*").alias("defects"), F.count_if(F.col("severity") == "high").alias("high"), F.count_if(F.col("severity") == "medium").alias("medium"), F.count_distinct("chunk_id").alias("chunks"), F.max(rank).alias("worst"))
+    done = items.groupBy("layout_id").agg(F.count("*").alias("items"), F.count_if("skipped").alias("skipped"))
+    none = F.lit(0).cast("long")
+    return done.join(told, "layout_id", "left").select("layout_id", "items", "skipped", *(F.coalesce(c, none).alias(c) for c in ("defects", "high", "medium", "chunks")), "worst")
 
 
 @query(drawing_sql("entities") + ", h AS (SELECT file_id, CAST(floor(x / 50) AS BIGINT) AS bin, count(*) AS n FROM entities GROUP BY ALL) SELECT file_id, round(median(n), 6) AS mid, round(quantile_cont(n, 0.95), 6) AS p95 FROM h GROUP BY 1")
@@ -233,24 +276,3 @@ def g28_w3_histogram_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median and 95th percentile of occupied bins, from which slots take their thresholds."""
     h = drawing(spark, sf_dir, "entities").groupBy("file_id", F.floor(F.col("x") / 50).alias("bin")).agg(F.count("*").alias("n"))
     return h.groupBy("file_id").agg(F.round(F.percentile("n", 0.5), 6).alias("mid"), F.round(F.percentile("n", 0.95), 6).alias("p95"))
-
-
-@query("SELECT 1 AS id, 'list_layouts' AS tool, CAST(NULL AS VARCHAR) AS needs UNION ALL SELECT 2, 'crop_layout', '1' UNION ALL SELECT 3, 'report', '2'")
-def r15_plan_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Missing prerequisites are put into a plan; placeholders become dependencies."""
-    from planwright.plans import tasks
-
-    names, arguments = {2: "crop_layout", 3: "report"}, {3: "about {{task_2_result}}"}
-    depends = {t: [] for t in names} | tasks.placeholder_dependencies(arguments)
-    names, depends = tasks.with_prerequisites(names, depends, {"crop_layout": "list_layouts"})
-    place = {t: i for i, t in enumerate(tasks.order(depends), 1)}
-    rows = [(place[t], names[t], ",".join(str(place[d]) for d in depends[t]) or None) for t in names]
-    return spark.createDataFrame(rows, "id int, tool string, needs string")
-
-
-@query()
-def d2_tool_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The names under which builders can be called."""
-    from planwright.plans.registry import ORACLES, QUERIES
-
-    return spark.createDataFrame([(n, n in ORACLES) for n in sorted(QUERIES)], "name string, has_sql boolean")

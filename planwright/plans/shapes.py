@@ -17,7 +17,7 @@ from planwright.operators.community import communities
 from planwright.operators.islands import stacked_texts
 from planwright.operators.occupancy import cell_components, dilated
 from planwright.operators.ordering import with_row_number
-from planwright.operators.spatial import box_join
+from planwright.operators.spatial import box_join, merged_boxes
 from planwright.plans.joins import region_graph
 from planwright.plans.layouts import ring
 from planwright.plans.registry import query
@@ -790,8 +790,8 @@ def k10_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def u5_merged_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Within each layout of a file."""
     layout = (F.col("file_id") * 8 + F.col("layout_id")).alias("layout")
-    r = drawing(spark, sf_dir, "regions").select(layout, "region_id", G.grow(G.ring_box(ring()), 25.0).alias("b")).select("layout", "region_id", "b.*")
-    return kernels.merge_overlapping(r, "layout", "region_id")
+    r = drawing(spark, sf_dir, "regions").select(layout, F.col("region_id").alias("id"), G.grow(G.ring_box(ring()), 25.0).alias("box"))
+    return merged_boxes(r, ["layout"], 80.0).select("layout", "box.*")
 
 
 def centres(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -834,21 +834,21 @@ def q5_isovist_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("seed_id", "file_id", "text", F.coalesce("boxes", F.lit(0).cast("long")).alias("boxes"), *(F.round(f"{n}{c}", 4).alias(f"{n}{c}") for n in ("union_", "mean_") for c in finders.EDGES))
 
 
-@query("WITH t(id, dep) AS (VALUES (1, NULL), (2, 1), (3, 1), (4, 3), (4, 2), (5, 4)) SELECT id, CAST(CASE id WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 3 END AS BIGINT) AS level FROM (SELECT DISTINCT id FROM t)")
-def k13_task_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tasks by the longest chain of what they depend on."""
-    from planwright.plans.tasks import levels
-
-    found = levels({1: [], 2: [1], 3: [1], 4: [3, 2], 5: [4]})
-    return spark.createDataFrame(sorted(found.items()), "id int, level long")
-
-
-@query(drawing_sql("edges") + ", r AS (SELECT o_orderkey AS n FROM orders WHERE false) SELECT count(*) AS edges, count(DISTINCT src) AS sources FROM edges")
+@query(drawing_sql("edges").replace("WITH ", "WITH RECURSIVE ", 1) + """, e AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), w(node, m) AS (SELECT DISTINCT src, src FROM e UNION SELECT e.dst, w.m FROM w JOIN e ON e.src = w.node),
+c AS (SELECT node, min(m) AS component FROM w GROUP BY 1), n AS (SELECT node, component, row_number() OVER (PARTITION BY component ORDER BY node) - 1 AS pos, (SELECT count(*) FROM e WHERE src = node) AS degree FROM c)
+SELECT a.component, string_agg(a.pos, ',' ORDER BY a.pos, b.pos) AS sources, string_agg(b.pos, ',' ORDER BY a.pos, b.pos) AS targets, (SELECT string_agg(degree, ',' ORDER BY pos) FROM n WHERE n.component = a.component) AS features
+FROM e JOIN n a ON a.node = e.src JOIN n b ON b.node = e.dst GROUP BY a.component""")
 def r6_edge_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edge index as two arrays of one length."""
-    e = drawing(spark, sf_dir, "edges").groupBy((F.col("src") % 16).alias("part")).agg(F.sort_array(F.collect_list(F.struct("src", "dst"))).alias("e"))
-    each = e.select(F.size("e.src").alias("n"), F.size(F.array_distinct("e.src")).alias("sources"))
-    return each.agg(F.sum("n").alias("edges"), F.sum("sources").alias("sources"))
+    """Each component as a graph sample: its edges both ways as two arrays of places, and a feature for each place (here the degree)."""
+    e = drawing(spark, sf_dir, "edges")
+    both = e.union(e.select("dst", "src"))
+    place = F.row_number().over(Window.partitionBy("component").orderBy("node")) - 1
+    nodes = staged(graph.connected_components(e).withColumn("at", place).join(both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")), "node"), "nodes")
+    end = lambda c, n: nodes.select(F.col("node").alias(c), F.col("at").alias(n))
+    index = both.join(nodes.select(F.col("node").alias("src"), "component", F.col("at").alias("a")), "src").join(end("dst", "b"), "dst")
+    arrays = index.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("e"))
+    features = nodes.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("at", "degree"))).alias("f"))
+    return arrays.join(features, "component").select("component", F.array_join("e.a", ",").alias("sources"), F.array_join("e.b", ",").alias("targets"), F.array_join("f.degree", ",").alias("features"))
 
 
 @query(drawing_sql("regions") + " SELECT DISTINCT layout_id, chunk_id FROM regions ORDER BY 1, 2")
@@ -891,6 +891,10 @@ def q15_chunk_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("layout_id", "chunk_id", G.clamp(G.grow(F.col("u"), 20.0), 9000.0, 4000.0).alias("c")).select("layout_id", "chunk_id", "c.*")
 
 
-@query(drawing_sql("memory") + " SELECT query_keyword AS key, max(id) AS id FROM memory GROUP BY 1")
+@query(drawing_sql("memory") + """, w AS (SELECT file_path AS owner, query_keyword AS key, id, CASE WHEN id % 11 = 0 THEN NULL ELSE min_x END AS value FROM memory),
+k AS (SELECT owner, key, arg_max(id, id) AS id, max(id) AS last, count(*) AS writes FROM w GROUP BY ALL) SELECT k.owner, k.key, w.id, w.value, k.writes FROM k JOIN w ON w.owner = k.owner AND w.key = k.key AND w.id = k.last WHERE w.value IS NOT NULL""")
 def q21_scratchpad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drawing(spark, sf_dir, "memory").groupBy(F.col("query_keyword").alias("key")).agg(F.max("id").alias("id"))
+    """Each owner's keys with the value that was written last; a null value takes a key away."""
+    writes = drawing(spark, sf_dir, "memory").select(F.col("file_path").alias("owner"), F.col("query_keyword").alias("key"), "id", F.when(F.col("id") % 11 != 0, F.col("min_x")).alias("value"))
+    last = writes.groupBy("owner", "key").agg(F.max(F.struct("id", "value")).alias("m"), F.count("*").alias("writes"))
+    return last.where("m.value is not null").select("owner", "key", "m.id", "m.value", "writes")

@@ -101,13 +101,13 @@ def x9_daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(s, "complete").select("type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n")
 
 
-@query(_EV + ", b AS (SELECT id, layout_id, count(*) OVER (PARTITION BY layout_id ORDER BY ts, id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS n FROM agent_events) SELECT layout_id, max(n) AS width FROM b GROUP BY 1")
+@query(_EV + """ SELECT id, layout_id, count(*) FILTER (type = 'error') OVER w AS errors, min(id) OVER w AS oldest FROM agent_events WINDOW w AS (PARTITION BY layout_id ORDER BY ts, id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
 def x10_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extension: a rolling frame of five events."""
+    """Extension: of each event and the four before it in its layout, the errors and the least id."""
     from planwright.sources.drawings import drawing
 
     w = Window.partitionBy("layout_id").orderBy("ts", "id").rowsBetween(-4, 0)
-    return drawing(spark, sf_dir, "agent_events").withColumn("n", F.count("*").over(w)).groupBy("layout_id").agg(F.max("n").alias("width"))
+    return drawing(spark, sf_dir, "agent_events").select("id", "layout_id", F.count_if(F.col("type") == "error").over(w).alias("errors"), F.min("id").over(w).alias("oldest"))
 
 
 HEARTBEAT = "key string, kind string, seen long, beats long"

@@ -56,14 +56,6 @@ def test_few_vectors_are_one_cluster(spark):
 boxes = st.lists(st.tuples(*[st.integers(0, 30)] * 2, *[st.integers(1, 12)] * 2).map(lambda t: [float(t[0]), float(t[1]), float(t[0] + t[2]), float(t[1] + t[3])]), max_size=15)
 
 
-@given(boxes)
-@settings(max_examples=60, deadline=None)
-def test_merged_boxes_are_stable(found):
-    merged = kernels.merge_boxes(found)
-    assert kernels.merge_boxes(merged) == merged
-    assert all(any(m[0] <= b[0] and m[1] <= b[1] and m[2] >= b[2] and m[3] >= b[3] for m in merged) for b in found)
-
-
 def test_slots():
     hist = np.zeros(60, int)
     hist[10:20] = 50
@@ -120,10 +112,18 @@ def test_row_numbers(spark):
     assert [r.i for r in rows] == list(range(100))
 
 
-def test_tasks():
-    assert tasks.order({3: [1], 1: [2], 2: []}) == [2, 1, 3] and tasks.levels({1: [], 2: [1], 3: [2, 1]}) == {1: 0, 2: 1, 3: 2}
-    assert tasks.placeholder_dependencies({2: "x {{task_1_result}}"}) == {2: [1]} and tasks.fill("{{task_1_result}}-{{task_9_result}}", {1: "a"}) == "a-{{task_9_result}}"
-    assert tasks.with_prerequisites({1: "crop"}, {1: []}, {"crop": "list"}) == ({1: "crop", 2: "list"}, {1: [2], 2: []})
+def test_tasks(spark):
+    t = spark.createDataFrame([(1, 3), (1, 1), (1, 2), (2, 7)], "plan long, task long")
+    n = spark.createDataFrame([(1, 2, 1), (1, 3, 2), (1, 3, 1), (2, 7, 99)], "plan long, task long, needed long")
+    assert {(r.plan, r.task, r.level) for r in tasks.levels(t, n).collect()} == {(1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 7, 0)}
+    with pytest.raises(ValueError):
+        tasks.levels(t, n.union(spark.createDataFrame([(1, 1, 3)], n.schema)))
+    p = spark.createDataFrame([(1, 1, "crop", "of {{task_2_result}} {{task_1_result}}"), (1, 2, "crop", None), (2, 1, "list", "")], "plan long, task long, tool string, arguments string")
+    assert [tuple(r) for r in tasks.placeholder_needs(p).collect()] == [(1, 1, 2)]
+    every, needs = tasks.with_prerequisites(p, spark.createDataFrame([("crop", "list")], "tool string, before string"))
+    assert {(r.plan, r.task, r.tool) for r in every.collect()} == {(1, 0, "list"), (1, 1, "crop"), (1, 2, "crop"), (2, 1, "list")}
+    assert {tuple(r) for r in needs.collect()} == {(1, 1, 0), (1, 2, 0)}
+
 
 
 DXF = "0\nSECTION\n2\nTABLES\n0\nLAYER\n2\nWALL\n62\n-3\n70\n1\n6\nCONT\n0\nENDSEC\n0\nSECTION\n2\nBLOCKS\n0\nBLOCK\n2\nB1\n0\nLINE\n8\n0\n10\n0\n20\n0\n11\n1\n21\n0\n0\nENDBLK\n0\nENDSEC\n0\nSECTION\n2\nENTITIES\n0\nLINE\n5\nA1\n8\nWALL\n10\n0\n20\n0\n11\n3\n21\n4\n0\nARC\n8\nWALL\n10\n0\n20\n0\n40\n2\n50\n350\n51\n10\n0\nMTEXT\n8\nT\n10\n1\n20\n2\n3\n长\n1\n文\n0\nENDSEC\n0\nEOF\n"

@@ -73,11 +73,30 @@ def test_kmeans_chunks(spark):
 
 
 def test_merged_boxes(spark):
-    r = registry.QUERIES["u5_merged_boxes"](spark, SF).collect()
-    whole = drawing(spark, SF, "regions").select((F.col("file_id") * 8 + F.col("layout_id")).alias("layout"), "x0", "y0", "w", "h").collect()
-    for b in whole:
-        own = [m for m in r if m.layout == b.layout]
-        assert any(m.min_x <= b.x0 - 25 and m.min_y <= b.y0 - 25 and m.max_x >= b.x0 + b.w + 25 and m.max_y >= b.y0 + b.h + 25 for m in own)
+    """Of the whole table against rounds of all pairs."""
+    got = {(r.layout, r.min_x, r.min_y, r.max_x, r.max_y) for r in registry.QUERIES["u5_merged_boxes"](spark, SF).collect()}
+
+    def much(a, b):
+        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+        small = min((a[2] - a[0]) * (a[3] - a[1]), (b[2] - b[0]) * (b[3] - b[1]))
+        return w > 0 and h > 0 and w * h >= 0.05 * small and w >= 0.15 * min(a[2] - a[0], b[2] - b[0]) and h >= 0.15 * min(a[3] - a[1], b[3] - b[1])
+
+    layouts, want = {}, set()
+    for r in drawing(spark, SF, "regions").collect():
+        layouts.setdefault(r.file_id * 8 + r.layout_id, []).append((r.x0 - 25, r.y0 - 25, r.x0 + r.w + 25, r.y0 + r.h + 25))
+    for layout, now in layouts.items():
+        while True:
+            parts = []
+            for b in now:
+                near = [p for p in parts if any(much(b, c) for c in p)]
+                parts = [p for p in parts if p not in near] + [[b, *(c for p in near for c in p)]]
+            joined = [(min(c[0] for c in p), min(c[1] for c in p), max(c[2] for c in p), max(c[3] for c in p)) for p in parts]
+            if len(joined) == len(now):
+                break
+            now = joined
+        want |= {(layout, *b) for b in now}
+    assert got == want and len(got) < 1500
+
 
 
 def test_components_raise_if_they_do_not_end(spark):
