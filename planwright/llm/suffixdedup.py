@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planwright.staging import staged
+from planwright.staging import discard, staged
 
 LENGTH, WINDOW, GRAM = 400, 200, 16
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -291,6 +291,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     filed = staged(texts.select("tid", "text").mapInArrow(file, "h long, tid long, at int, far int, near int"), "anchors")
     twice = staged(filed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-anchors")
     wanted = staged(filed.join(twice, "h").groupBy("tid").agg(F.collect_list(F.struct("at", "far", "near", "h")).alias("anchors")), "wanted")
+    # what no later step reads goes at once: anchors are many times as many as the repeated ones
+    discard(filed)
+    discard(twice)
     total = wanted.agg(F.sum(F.size("anchors"))).first()[0] or 0
     parts = max(1, total * (length + window) // PART_BYTES)
 
@@ -351,6 +354,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     merged = sent.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "tid long, begin long, end long")
     whole = texts.where("copies > 1").select("tid", F.lit(0).cast("long").alias("begin"), F.octet_length("text").cast("long").alias("end"))
     cover = staged(merged.unionByName(whole).groupBy("tid").agg(F.collect_set(F.struct("begin", "end")).alias("cover")), "cover")
+    discard(wanted)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -365,6 +369,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["text_key", "removed", "spans", "sha", "left_text"])
 
     told = staged(texts.select("tid", "text_key", "text").join(cover, "tid").select("text_key", "text", "cover").mapInArrow(cut, "text_key binary, removed long, spans long, sha string, left_text string"), "cut")
+    discard(texts)
+    discard(cover)
     # the rows' own columns travel in one struct, so that no name of theirs can clash
     keep = [c for c in docs.columns if c not in added and (with_text or c != text_col)]
     text = F.coalesce(F.col(text_col), F.lit(""))
