@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from planwright.llm import packing, quality, simhash, suffixdedup, toxicity
 from planwright.sources.tables import table
-from planwright.staging import staged
+from planwright.staging import discard, staged
 
 
 #: Fifty words of three letters and the space after each: repeats that are shorter are no passage.
@@ -36,13 +36,16 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     depend on how rows are dealt to tasks. Null, empty and wordless texts are near-duplicates of each other. Very long texts count whole.
     """
     names = [f"c{k}" for k in range(len(docs.columns))]
-    whole = docs.select(F.struct(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True))).alias("row"), F.col("doc_id"), F.col("text"))
-    rows = staged(whole.select("row", "text", "doc_id", F.monotonically_increasing_id().alias("number")), "rows")
-    found = staged(simhash.near_duplicates(rows.select("number", "text"), "number").select("number", F.col("component_id").alias("group")), "groups")
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), F.xxhash64("text"), F.xxhash64(F.to_json("row")), "number")
+    of = dict(zip(docs.columns, names, strict=True))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`").alias(n) for c, n in of.items())).alias("row"))
+    rows = staged(whole.withColumn("number", F.monotonically_increasing_id()), "rows")
+    text, doc = F.col("row")[of["text"]], F.col("row")[of["doc_id"]]
+    found = staged(simhash.near_duplicates(rows.select("number", text.alias("text")), "number").select("number", F.col("component_id").alias("group")), "groups")
+    first = F.struct(doc.isNull(), doc, text.isNull(), F.xxhash64(text), F.xxhash64(F.to_json("row")), "number")
     order = rows.select("number", first.alias("first"))
     stays = staged(order.join(found, "number").groupBy("group").agg(F.min("first")["number"].alias("number")), "stays")
-    return rows.join(stays, "number", "left_semi").select(*(F.col("row")[n].alias(c) for c, n in zip(docs.columns, names, strict=True)))
+    discard(found)
+    return rows.join(stays, "number", "left_semi").select(*(F.col("row")[n].alias(c) for c, n in of.items()))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
