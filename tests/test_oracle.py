@@ -37,10 +37,5 @@ def test_same_rows(spark, con, name):
     assert rows(df.columns, got) == rows(columns, c.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).columns
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
