@@ -5,7 +5,8 @@ their first coordinates carry most of an inner product. A block of queries meets
 query is done with a slice once its k-th best score so far is no less than its length times that of the longest vector to
 come. Within a block the first coordinates give partial sums, and by Cauchy-Schwarz what is left is at most the product of
 the lengths of the remaining parts; only candidates that may still reach the k-th best are scored, in exact integers (doubles
-while products of lengths stay below 2^52, Python integers beyond).
+while products of lengths stay below 2^52, Python integers beyond). The longest block goes first: what it gives rules out pairs of blocks before
+their vectors are shipped, and vectors are shipped as whole numbers of as few bytes as they fit in.
 
 The rotation only orders the work: it is fitted on a bounded sample, and bounds are widened for rounding.
 """
@@ -13,7 +14,7 @@ The rotation only orders the work: it is fitted on a bounded sample, and bounds
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,24 @@ def _rotation(vectors: DataFrame, dims: list[int]) -> dict[int, np.ndarray]:
     return out
 
 
-def _pack(names: list[str], size: int):
+def _narrow(v: np.ndarray, scale: int) -> bytes:
+    """Components as whole numbers of two or four bytes where they fit (a block has one width), else as they are; the first byte tells."""
+    with np.errstate(over="ignore"):
+        x = np.rint(v * scale)
+        most = np.abs(x).max(initial=0)
+    return b"2" + x.astype("<i2").tobytes() if most < 1 << 15 else b"4" + x.astype("<i4").tobytes() if most < 1 << 31 else b"8" + v.astype("<f8").tobytes()
+
+
+def _widen(data: bytes, d: int, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """(components, the same times ``scale`` and rounded)"""
+    if data[:1] == b"8":
+        raw = np.frombuffer(data, "<f8", offset=1).reshape(-1, d)
+        return raw, np.rint(raw * scale)
+    x = np.frombuffer(data, f"<i{data[:1].decode()}", offset=1).reshape(-1, d).astype(np.float64)
+    return x / scale, x
+
+
+def _pack(names: list[str], size: int, scale: int):
     """Rows of one dimension -> rows of blocks; a task's rows come in the order of the sort."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,7 +73,7 @@ def _pack(names: list[str], size: int):
             v = np.array([r[1] for r in held], "<f8")
             with np.errstate(over="ignore"):
                 top = float(np.sqrt((v**2).sum(axis=1)).max())
-            return pa.RecordBatch.from_arrays([pa.array([v.shape[1]], pa.int32()), pa.array([top]), pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array([v.shape[1]], pa.int32()), pa.array([top]), pa.array([ids.tobytes()], pa.binary()), pa.array([_narrow(v, scale)], pa.binary())], names)
 
         for b in batches:
             for key, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -113,22 +131,13 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     kinds = "dims int, top double, ids binary, data binary"
     # longest first, dealt over tasks by length; equal vectors are told apart by a hash, so none piles up
     ordered = rows.withColumn("mix", F.xxhash64("id", "v")).repartitionByRange(F.size("v"), F.desc("norm"), "mix").sortWithinPartitions(F.size("v"), F.desc("norm"), "mix").select("id", "v")
-    blocks = ordered.mapInArrow(_pack(names, BLOCK), kinds)
+    blocks = ordered.mapInArrow(_pack(names, BLOCK, scale), kinds)
     asked = rows.where(F.col("id") % every == 0).select("id", "v").distinct()
-    asked = asked.repartitionByRange(F.size("v"), "id").sortWithinPartitions(F.size("v"), "id").mapInArrow(_pack(names, QUERY_BLOCK), kinds)
+    asked = asked.repartitionByRange(F.size("v"), "id").sortWithinPartitions(F.size("v"), "id").mapInArrow(_pack(names, QUERY_BLOCK, scale), kinds)
     asked = staged(asked.withColumn("q", F.monotonically_increasing_id()), "query-blocks")
     blocks = staged(blocks.withColumn("b", F.monotonically_increasing_id()), "blocks")
     dims = [r[0] for r in blocks.select("dims").distinct().collect()]
     turn = vectors.sparkSession.sparkContext.broadcast(_rotation(rows, dims))
-    # slices hold blocks of all lengths, so that each begins with long ones
-    slices = max(1, blocks.count() // SLICE_BLOCKS)
-    cut = blocks.withColumn("slice", F.pmod(F.xxhash64("b"), F.lit(slices)).cast("int"))
-    heads = asked.select("q", F.col("dims").alias("q_dims"))
-    # candidate blocks go to each query block's task; query blocks go there once
-    tasks = cut.join(heads, F.col("dims") == F.col("q_dims")).select("q", "slice", F.lit(1).alias("kind"), "dims", "top", "ids", "data")
-    tasks = tasks.unionByName(asked.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select("q", "slice", F.lit(0).alias("kind"), "dims", "top", "ids", "data"))
-    tasks = tasks.repartition("q", "slice").sortWithinPartitions("q", "slice", "kind", F.desc("top"))
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None
         least_of = lambda a: BELOW_ALL if a.dtype == object else NOTHING
@@ -139,21 +148,20 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
             scores = [int(x) for x in best.ravel()[real]]
             order = [_order(x) for x in scores]
             scores = [x if o == b"\x80" else None for x, o in zip(scores, order, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)[real]), pa.array(found.ravel()[real]), pa.array(scores, pa.int64()), pa.array(order, pa.binary())], ["query_id", "cand", "score", "size"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(int(real.sum()), state["q"], np.int64)), pa.array(np.repeat(ids, k)[real]), pa.array(found.ravel()[real]), pa.array(scores, pa.int64()), pa.array(order, pa.binary()), pa.array(np.repeat(state["norm"], k)[real])], ["q", "query_id", "cand", "score", "size", "norm"])
 
         np.seterr(over="ignore", invalid="ignore")
         for b in batches:
             for q, s, kind, d, _, ids, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids = np.frombuffer(ids, "<i8")
-                raw = np.frombuffer(data, "<f8").reshape(-1, d)
-                x = np.rint(raw * scale)
+                raw, x = _widen(data, d, scale)
                 if kind == 0:
                     if state:
                         yield out()
                     axes = turn.value[d]
                     n = max(1, round(d * HEAD))
                     turned = x @ axes.T
-                    state = {"ids": ids, "raw": raw, "x": x, "head": turned[:, :n], "rest": np.sqrt((turned[:, n:] ** 2).sum(axis=1)), "norm": np.sqrt((turned**2).sum(axis=1)), "axes": axes, "n": n}
+                    state = {"q": q, "ids": ids, "raw": raw, "x": x, "head": turned[:, :n], "rest": np.sqrt((turned[:, n:] ** 2).sum(axis=1)), "norm": np.sqrt((turned**2).sum(axis=1)), "axes": axes, "n": n}
                     state |= {"best": np.full((len(ids), k), NOTHING), "found": np.zeros((len(ids), k), np.int64)}
                     continue
                 turned = x @ state["axes"].T
@@ -195,6 +203,38 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
         if state:
             yield out()
 
-    found = tasks.mapInArrow(search, "query_id long, cand long, score long, size binary")
+    def meet(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Scores of the pairs (q, b, slice) of query blocks and candidate blocks; a slice of a query block is one task's."""
+        send = candidates.join(pairs, "b").select("q", "slice", F.lit(1).alias("kind"), "dims", "top", "ids", "data")
+        send = send.unionByName(asked.join(pairs.select("q", "slice").distinct(), "q").select("q", "slice", F.lit(0).alias("kind"), "dims", "top", "ids", "data"))
+        dealt = send.repartition("q", "slice").sortWithinPartitions("q", "slice", "kind", F.desc("top"))
+        return dealt.mapInArrow(search, "q long, query_id long, cand long, score long, size binary, norm double")
+
+    first, found = search_pairs(blocks, asked, meet, k, scale)
     by = Window.partitionBy("query_id").orderBy(F.desc("size"), F.desc("score"), "cand")
+    found = first.unionByName(found)
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", F.col("cand").alias(id_col), "score")
+
+
+def search_pairs(blocks: DataFrame, asked: DataFrame, meet: Callable[[DataFrame, DataFrame], DataFrame], k: int, scale: int) -> tuple[DataFrame, DataFrame]:
+    """(what the longest block of each dimension gives, what the rest does).
+
+    The longest vectors come first, one block for each number of components; what they give bounds every query's k-th score from below. Of the rest only pairs of
+    blocks go on whose longest vectors' product reaches the least of these bounds, so what is shipped shrinks with how the lengths vary. Pairs are made from metadata alone.
+    """
+    heads = asked.select("q", F.col("dims").alias("q_dims"), (F.length("ids") / 8).cast("long").alias("many"))
+    longest = blocks.groupBy("dims").agg(F.max(F.struct("top", "b"))["b"].alias("b"))
+    longest = staged(longest, "longest-blocks")
+    ahead = blocks.select("b", "dims").join(longest, "b").join(heads, F.col("dims") == F.col("q_dims")).select("q", "b", F.lit(0).alias("slice"))
+    first = staged(meet(blocks, staged(ahead, "first-pairs")), "first-scores")
+    # a query's k-th score over its own length is what a candidate's length has to reach; a query without length ties with all
+    each = first.groupBy("q", "query_id").agg(F.count("score").alias("n"), F.min("score").alias("least"), F.max("norm").alias("norm"))
+    floor = each.where((F.col("n") >= k) & (F.col("norm") > 0)).groupBy("q").agg(F.count("*").alias("full"), F.min(F.col("least") / F.col("norm")).alias("least"))
+    told = heads.join(floor, "q", "left").select("q", "q_dims", F.when(F.col("full") == F.col("many"), F.col("least")).alias("floor"))
+    rest = blocks.select("b", "dims", "top").join(longest.select("b"), "b", "left_anti")
+    slices = max(1, blocks.count() // SLICE_BLOCKS)
+    # slices hold blocks of all lengths, so that each begins with long ones
+    reach = F.col("top") * float(scale) * (1 + 1e-9) + 1e-6
+    met = (F.col("dims") == F.col("q_dims")) & (F.col("floor").isNull() | (reach >= F.col("floor")))
+    pairs = rest.join(told, met).select("q", "b", F.pmod(F.xxhash64("b"), F.lit(slices)).cast("int").alias("slice"))
+    return first, meet(blocks, staged(pairs, "pairs"))
