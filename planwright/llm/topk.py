@@ -225,7 +225,7 @@ def search_pairs(blocks: DataFrame, asked: DataFrame, meet: Callable[[DataFrame,
     heads = asked.select("q", F.col("dims").alias("q_dims"), (F.length("ids") / 8).cast("long").alias("many"))
     longest = blocks.groupBy("dims").agg(F.max(F.struct("top", "b"))["b"].alias("b"))
     longest = staged(longest, "longest-blocks")
-    ahead = blocks.select("b", "dims").join(longest, "b").join(heads, F.col("dims") == F.col("q_dims")).select("q", "b", F.lit(0).alias("slice"))
+    ahead = longest.join(heads, F.col("dims") == F.col("q_dims")).select("q", "b", F.lit(0).alias("slice"))
     first = staged(meet(blocks, staged(ahead, "first-pairs")), "first-scores")
     # a query's k-th score over its own length is what a candidate's length has to reach; a query without length ties with all
     each = first.groupBy("q", "query_id").agg(F.count("score").alias("n"), F.min("score").alias("least"), F.max("norm").alias("norm"))
