@@ -215,3 +215,53 @@ def kept_best(candidates: DataFrame, order: list[Column], most_alike: float, mos
     rows = candidates.withColumn("_at", place).groupBy("seed_id").agg(F.array_sort(F.collect_list(F.struct("_at", *rest))).alias("b"))
     kept = rows.select("seed_id", F.posexplode(F.slice(kernels.suppress(F.col("b"), most_alike), 1, most)).alias("rank", "k"))
     return kept.select("seed_id", (F.col("rank") + 1).alias("rank"), *(F.col(f"k.{c}").alias(c) for c in rest))
+
+
+# ---------------------------------------------------------------- composite rank
+
+#: Weights of having the label, of likeness to the box one scale up, of smallness, of structure inside, of occupied cells, and of each other label inside.
+HAS_LABEL, STABLE, SMALL, STRUCTURE, FILLED, OTHER_LABELS = 0.12, 0.30, 0.10, 0.22, 0.26, 0.32
+
+
+def scored(candidates: DataFrame, seeds: DataFrame, structure: DataFrame, keys: list[str], tile: float) -> DataFrame:
+    """``candidates`` (seed_id, keys, scale, min_x ..., fill, whole, bonus) with labels (other seeds inside), structured and score.
+
+    ``whole`` is the drawing's area, ``bonus`` what the shape adds. A box is held against the one of the next larger scale of its seed; the label counts as inside up to a cell away.
+    """
+    places = staged(candidates.select(*keys, *EDGES).distinct().withColumn("place", F.monotonically_increasing_id()), "places")
+    count = lambda points, name: points_in(places, points, "place", keys, tile).select("place", F.col("n").alias(name))
+    known = places.join(count(seeds.select(*keys, "x", "y"), "_labels"), "place", "left").join(count(structure, "_structure"), "place", "left").drop("place")
+    rows = candidates.join(known, [*keys, *EDGES]).join(seeds.select("seed_id", F.col("x").alias("_x"), F.col("y").alias("_y")), "seed_id")
+    inside = F.col("_x").between(F.col("min_x"), F.col("max_x")) & F.col("_y").between(F.col("min_y"), F.col("max_y"))
+    near = F.col("_x").between(F.col("min_x") - F.col("scale"), F.col("max_x") + F.col("scale")) & F.col("_y").between(F.col("min_y") - F.col("scale"), F.col("max_y") + F.col("scale"))
+    before = F.lag(_flat_box()).over(Window.partitionBy("seed_id").orderBy(F.desc("scale")))  # one row a scale
+    rows = rows.withColumn("_before", before).withColumn("labels", F.coalesce("_labels", F.lit(0).cast("long")) - inside.cast("long"))
+    rows = rows.withColumn("structured", F.coalesce(F.col("_structure") > 0, F.lit(False)))
+    score = (
+        HAS_LABEL * near.cast("double")
+        + STABLE * F.coalesce(G.iou(_flat_box(), F.col("_before")), F.lit(0.0))
+        - SMALL * G.box_area(_flat_box()) / F.greatest(F.lit(1.0), F.col("whole"))
+        + STRUCTURE * F.col("structured").cast("double")
+        + FILLED * F.col("fill")
+        + F.col("bonus")
+        - OTHER_LABELS * F.col("labels")
+    )
+    return rows.withColumn("score", score).drop("_labels", "_structure", "_before", "_x", "_y")
+
+
+def partitioned(candidates: DataFrame, owned: DataFrame, local: float, least: int = 20) -> DataFrame:
+    """``candidates`` (seed_id, scale, min_x ...) drawn in to the points of their own label: the first to the 99th percentile of those inside, with a margin.
+
+    ``owned``: seed_id, x, y: points by the label that is nearest to them. A box stays where fewer than ``least`` of its label's points are inside, or where what is left would be
+    under 12 % or over 105 % of it.
+    """
+    own = candidates.select("seed_id", "scale", *EDGES).join(owned, "seed_id").where("x between min_x and max_x and y between min_y and max_y")
+    side = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
+    ends = own.groupBy("seed_id", "scale").agg(F.count("*").alias("_n"), *(F.percentile(c, F.lit(p)).alias(f"_{n}_{c}") for c in "xy" for n, p in (("min", 0.01), ("max", 0.99))))
+    pad = F.greatest(F.lit(2 * local), 0.015 * side)
+    drawn = candidates.join(ends, ["seed_id", "scale"], "left").withColumn("_pad", pad)
+    new = G.box(F.col("_min_x") - F.col("_pad"), F.col("_min_y") - F.col("_pad"), F.col("_max_x") + F.col("_pad"), F.col("_max_y") + F.col("_pad"))
+    base = G.box_area(_flat_box())
+    fits = (F.col("_n") >= least) & (G.box_area(F.col("_new")) >= 0.12 * base) & (G.box_area(F.col("_new")) <= 1.05 * base)
+    drawn = drawn.withColumn("_new", new).withColumn("_fits", F.coalesce(fits, F.lit(False)))
+    return drawn.select(*[c for c in candidates.columns if c not in EDGES], *(F.when(F.col("_fits"), F.col("_new")[c]).otherwise(F.col(c)).alias(c) for c in EDGES))

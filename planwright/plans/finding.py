@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planwright.functions import geometry as G
+from planwright.operators import finders, occupancy
 from planwright.operators.kernels import suppress
 from planwright.operators.ordering import runs_of_groups, sorted_runs
-from planwright.operators.spatial import box_join
+from planwright.operators.spatial import box_join, nearest_points
+from planwright.plans import shapes
 from planwright.plans.joins import counted_boxes
 from planwright.plans.layouts import high_outliers, ring
 from planwright.plans.registry import query
 from planwright.sources.drawings import drawing, drawing_sql
 from planwright.sources.tables import table
+from planwright.staging import staged
 
 
 def priors(elongation: Column, orthogonal: Column, hatch: Column, entropy: Column, dimensions: Column, length_ratio: Column) -> tuple[Column, Column]:
@@ -276,3 +279,44 @@ def g28_w3_histogram_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median and 95th percentile of occupied bins, from which slots take their thresholds."""
     h = drawing(spark, sf_dir, "entities").groupBy("file_id", F.floor(F.col("x") / 50).alias("bin")).agg(F.count("*").alias("n"))
     return h.groupBy("file_id").agg(F.round(F.percentile("n", 0.5), 6).alias("mid"), F.round(F.percentile("n", 0.95), 6).alias("p95"))
+
+
+def line_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, whole, plan, strip): each drawing's area, and how much its lines look like a plan and like a strip."""
+    s = shapes.segments(spark, sf_dir)
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    ends = s.groupBy("file_id").agg(F.least(F.min("x1"), F.min("x2")).alias("a"), F.least(F.min("y1"), F.min("y2")).alias("b"), F.greatest(F.max("x1"), F.max("x2")).alias("c"), F.greatest(F.max("y1"), F.max("y2")).alias("d"))
+    told = ends.join(shapes.g26_line_statistics(spark, sf_dir), "file_id")
+    w, h = F.col("c") - F.col("a"), F.col("d") - F.col("b")
+    plan, strip = priors(F.greatest(w, h) / F.greatest(F.lit(1e-9), F.least(w, h)), F.col("orthogonal"), F.lit(0.0), F.col("entropy") / F.ln(F.lit(9.0)), F.lit(0.0), F.lit(1.0))
+    return told.select("file_id", (w * h).alias("whole"), plan.alias("plan"), strip.alias("strip"))
+
+
+def scale_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each label's components at three scales the score."""
+    seeds = shapes.first_seeds(spark, sf_dir)
+    boxes = occupancy.boxes_at_seeds(shapes.pyramid(spark, sf_dir).drop("n"), seeds.select("seed_id", "file_id", "x", "y"), "seed_id", ["file_id"]).join(line_priors(spark, sf_dir), "file_id")
+    w, h = F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")
+    boxes = boxes.withColumn("bonus", aspect_bonus(F.greatest(w / h, h / w), F.col("plan"), F.col("strip"))).drop("plan", "strip", "cells")
+    lines = drawing(spark, sf_dir, "entities").where("type = 'LWPOLYLINE'").select("file_id", "x", "y")
+    return finders.scored(boxes, seeds, lines, ["file_id"], 500.0)
+
+
+@query()
+def k12_scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composite scores of the candidates of the first labels of each drawing."""
+    return scale_candidates(spark, sf_dir).select("seed_id", "scale", "labels", "structured", F.round("score", 6).alias("score"))
+
+
+@query()
+def q4_scaled_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels -> components at three scales -> composite rank -> what is nearest to the label -> suppression -> filter with relaxation -> order by density."""
+    found = staged(scale_candidates(spark, sf_dir), "candidates")
+    seeds, p = shapes.first_seeds(spark, sf_dir), staged(shapes.centres(spark, sf_dir).withColumn("id", F.monotonically_increasing_id()), "points")
+    anchors = seeds.select("file_id", F.col("seed_id").alias("anchor"), "x", "y")
+    near = nearest_points(p, anchors, "id", "anchor", 256.0, keys=("file_id",)).where("anchor is not null").select("id", F.col("anchor").alias("seed_id"))
+    drawn = finders.partitioned(found, p.join(near, "id").select("seed_id", "x", "y"), 20.0)
+    kept = finders.kept_best(drawn.select("seed_id", "file_id", "scale", "score", "structured", "fill", *finders.EDGES), [F.desc("score"), F.desc("structured"), F.desc("fill")], 0.6, 3)
+    good = finders.sound(finders.counted(kept, p, ["file_id"], 500.0), 60, 0.35, 5.0, relax=True)
+    place = F.row_number().over(Window.partitionBy("seed_id").orderBy(F.desc("density"), F.desc("n"), F.abs(F.col("aspect") - 1.6), "area", "rank"))
+    return good.withColumn("place", place).select("seed_id", "file_id", "place", "scale", "n", F.round("score", 6).alias("score"), *(F.round(c, 4).alias(c) for c in finders.EDGES))

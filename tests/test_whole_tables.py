@@ -107,7 +107,7 @@ def test_components_raise_if_they_do_not_end(spark):
 
 
 #: Compared with a plain version over the whole table elsewhere.
-COMPARED = {"c1_hdbscan", "c1_ward", "g16_diameter", "q1_region_matches", "q5_isovist_matches", "q13_region_build", "r1_polygonise", "r3_communities", "r3_recursive_chunks", "r4_kmeans_chunks", "r12_seed_fill", "u5_merged_boxes"}
+COMPARED = {"c1_hdbscan", "c1_ward", "g16_diameter", "q1_region_matches", "q5_isovist_matches", "q13_region_build", "k12_scored_candidates", "q4_scaled_matches", "r1_polygonise", "r3_communities", "r3_recursive_chunks", "r4_kmeans_chunks", "r12_seed_fill", "u5_merged_boxes"}
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES) - COMPARED))
