@@ -155,8 +155,12 @@ def m12_entity_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spread(shapes_of_parts(spark, sf_dir), entities.points(F.col("e")))
 
 
-@query(_SHAPES + _sql_points(LINE="x,y x+r+far,y+2 x+(r+far)/2,y+1", LWPOLYLINE="x,y x+r,y x+r,y+r x+r/2,y x+r,y+r/2 x+r/2,y+r/2", POLYLINE="x,y x-r,y+1 x-r/2,y+0.5 x-r/2,y+0.5", CIRCLE="x,y x+r,y x-r,y x,y+r x,y-r", ELLIPSE="x,y x+r,y+1 x-r,y-1", SOLID=_CORNERS, SPLINE=_SPLINED, HATCH=_HATCHED, DIMENSION=_MARKS) + """,
-n AS (SELECT k, type, p, row_number() OVER (PARTITION BY k) AS i FROM l) SELECT k, round(p[1], 6) AS x, round(p[2], 6) AS y FROM n WHERE NOT (k % 2 = 1 AND ((type = 'LWPOLYLINE' AND i = 6) OR (type = 'POLYLINE' AND i = 4)))""")
+#: The middle of the last piece of a line is there where the line is closed.
+_CLOSED = "CASE WHEN k % 2 = 0 THEN {} END"
+_DENSE = _sql_points(LINE="x,y x+r+far,y+2 x+(r+far)/2,y+1", LWPOLYLINE="x,y x+r,y x+r,y+r x+r/2,y x+r,y+r/2 LAST,y+r/2", POLYLINE="x,y x-r,y+1 x-r/2,y+0.5 BACK,y+0.5", CIRCLE="x,y x+r,y x-r,y x,y+r x,y-r", ELLIPSE="x,y x+r,y+1 x-r,y-1", SOLID=_CORNERS, SPLINE=_SPLINED, HATCH=_HATCHED, DIMENSION=_MARKS)
+
+
+@query(_SHAPES + _DENSE.replace("LAST", _CLOSED.format("x + r / 2")).replace("BACK", _CLOSED.format("x - r / 2")) + " SELECT k, round(p[1], 6) AS x, round(p[2], 6) AS y FROM l WHERE p[1] IS NOT NULL")
 def m13_dense_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the middles of straight pieces, of closed lines of the last one too, and the ends of a circle's axes."""
     return _spread(shapes_of_parts(spark, sf_dir), entities.dense_points(F.col("e")))
