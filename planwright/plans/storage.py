@@ -36,6 +36,38 @@ def s9_s10_grouped_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawing(spark, sf_dir, "regions").groupBy("layout_id", "chunk_id").agg(F.array_join(F.array_sort(F.collect_list("region_id")), ",").alias("nodes"))
 
 
+def _one_file_each(rows: DataFrame, path: str) -> None:
+    """A JSON file for each row of (file_id, value)."""
+    rows.repartition("file_id").write.partitionBy("file_id").text(path)
+
+
+@query(drawing_sql("entities") + " SELECT type, layer, count(*) AS n, sum(x) AS sx, count(CASE WHEN type = 'TEXT' THEN 1 END) AS texts, count(CASE WHEN entity_id % 7 = 0 THEN 1 END) AS in_blocks FROM entities GROUP BY ALL")
+def s11_cad_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawings written as CAD JSON, positions under names that change, a seventh of the entities in blocks; read from all folders below and laid flat."""
+    e = drawing(spark, sf_dir, "entities")
+    names = ("position", "insertionPoint", "center")
+    at = F.struct("x", "y")
+    place = [F.when(F.col("entity_id") % len(names) == k, at).alias(n) for k, n in enumerate(names)]
+    told = F.to_json(F.struct("type", "layer", F.when(F.col("type") == "TEXT", F.col("text")).alias("text"), *place))
+    kept = lambda inside: F.array_join(F.collect_list(F.when((F.col("entity_id") % 7 == 0) == F.lit(inside), told)), ",")
+    whole = e.groupBy("file_id").agg(F.concat(F.lit('{"entities":['), kept(False), F.lit('],"blocks":{"A":['), kept(True), F.lit("]}}")).alias("value"))
+    path = _path(spark, "cad")
+    _one_file_each(whole, path)
+    found = files.canonical_entities(files.read_cad_json(spark, path, "*.txt"))
+    return found.groupBy("type", "layer").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.count("text").alias("texts"), F.count("block").alias("in_blocks"))
+
+
+@query(drawing_sql("entities") + """, t AS (SELECT file_id, min(x) AS a, max(x) AS b, min(y) AS c, max(y) AS d FROM entities GROUP BY 1) SELECT round(a, 4) AS min_x, round(b, 4) AS max_x, round(c, 4) AS min_y, round(d, 4) AS max_y, CAST(2 AS DOUBLE) AS pixel_per_unit, CAST(ceil(2 * (b - a)) AS INTEGER) AS image_width FROM t""")
+def s17_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each drawing's transform written as JSON and read again."""
+    e = drawing(spark, sf_dir, "entities").groupBy("file_id").agg(F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
+    wide = F.ceil(2 * (F.col("max_x") - F.col("min_x"))).cast("int").alias("image_width")
+    path = _path(spark, "transforms")
+    _one_file_each(e.select("file_id", F.to_json(F.struct("min_x", "max_x", "min_y", "max_y", F.lit(2.0).alias("pixel_per_unit"), wide)).alias("value")), path)
+    t = files.read_transforms(spark, path, "*.txt")
+    return t.select(*(F.round(c, 4).alias(c) for c in ("min_x", "max_x", "min_y", "max_y")), "pixel_per_unit", "image_width")
+
+
 @query("SELECT vec_id, label FROM embeddings")
 def s12_projected_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.required(table(spark, sf_dir, "embeddings"), "vec_id", "label")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from planwright.operators.ordering import with_row_number
+
 #: Names under which exporters write a position.
 POSITION = ("position", "insertionPoint", "insert", "location", "point", "center", "startPoint", "start")
 
@@ -17,8 +19,8 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     f = raw.select(F.col("_metadata.file_name").alias("dxf_file"), F.explode("features").alias("f"))
     ring = F.transform(F.col("f.geometry.coordinates")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
     rows = f.select("dxf_file", "f.properties.*", ring.alias("ring")).where("size(ring) > 0")
-    index = rows.select("dxf_file").distinct().withColumn("file_idx", F.dense_rank().over(Window.orderBy("dxf_file")) - 1)
-    return rows.join(F.broadcast(index) if index.limit(100_001).count() <= 100_000 else index, "dxf_file")
+    index = with_row_number(rows.select("dxf_file").distinct(), ["dxf_file"], "file_idx").withColumn("file_idx", F.col("file_idx").cast("int"))
+    return rows.join(index, "dxf_file")
 
 
 def write_geojson(regions: DataFrame, path: str) -> None:
@@ -29,9 +31,9 @@ def write_geojson(regions: DataFrame, path: str) -> None:
     each.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.col("found.f").alias("features"))).alias("value")).write.mode("overwrite").text(path)
 
 
-def read_cad_json(spark: SparkSession, path: str) -> DataFrame:
+def read_cad_json(spark: SparkSession, path: str, names: str = "*.json") -> DataFrame:
     """(file, where, entity variant) of the entities and block entities of CAD JSON files; blocks are lists or objects."""
-    raw = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").text(path)
+    raw = spark.read.option("wholetext", "true").option("pathGlobFilter", names).option("recursiveFileLookup", "true").text(path)
     d = raw.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
     top = d.select("file", F.lit(None).cast("string").alias("block"), F.explode(F.try_variant_get("v", "$.entities", "array<variant>")).alias("entity"))
     blocks = d.select("file", F.explode(F.try_variant_get("v", "$.blocks", "map<string,variant>")).alias("block", "b"))
@@ -39,6 +41,18 @@ def read_cad_json(spark: SparkSession, path: str) -> DataFrame:
     return top.unionByName(blocks.select("file", "block", F.explode(inner).alias("entity")))
 
 
+TRANSFORM = "min_x double, max_x double, min_y double, max_y double, pixel_per_unit double, image_width int, image_height int, s_x double, s_y double, t_x double, t_y double, H array<array<double>>"
+
+
+def read_transforms(spark: SparkSession, path: str, names: str = "*.json") -> DataFrame:
+    """(file, the fields of the transform) of the JSON files under ``path``, one from world to pixels in each; fields that are missing or no numbers are null.
+
+    A file that is no JSON gives a row of nulls.
+    """
+    raw = spark.read.option("wholetext", "true").option("pathGlobFilter", names).option("recursiveFileLookup", "true").text(path)
+    return raw.select(F.col("_metadata.file_name").alias("file"), F.from_json("value", TRANSFORM).alias("t")).select("file", "t.*")
+
+
 def canonical_entities(cad: DataFrame) -> DataFrame:
     """Typed columns of CAD JSON entities; a position under any of its names."""
     get = lambda path, kind: F.try_variant_get("entity", f"$.{path}", kind)
