@@ -242,7 +242,7 @@ class TextCoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary = vocabulary
         self.decimal = {i: str(i) for i in vocabulary.strings}
-        self.cache = PieceCache(pattern, self._pieces, self._join)
+        self.cache = PieceCache(pattern, self._pieces, self._join, limit=400_000)
 
     def _pieces(self, pieces: list[str]) -> list[tuple[str, bytes]]:
         ids, name, text = encode_pieces(self.vocabulary, [p.encode("utf-8", "replace") for p in pieces]), self.decimal.__getitem__, self.vocabulary.strings.__getitem__
@@ -294,8 +294,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(ranks_path, pattern)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 n, ids, out = zip(*c.digests(texts), strict=True)
                 columns = [part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(out)]
