@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planwright.staging import staged
@@ -44,3 +44,27 @@ def runs_of_groups(runs: DataFrame, group: list[str]) -> DataFrame:
     before = whole.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     shift = F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")
     return parts.select("_run", *group, "_rows", F.sum("_rows").over(whole).alias("_total"), shift.alias("_shift"))
+
+
+def exact_percentiles(rows: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row with the percentile of ``value`` at each of ``shares`` (name -> 0 to 1), between two values by their distance, as ``percentile`` gives it; null without values.
+
+    Different values are counted, dealt by range and summed up within tasks; only each task's count meets in one place, not the values.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    dealt = staged(counts.repartitionByRange("_v").select("_v", "_n", F.spark_partition_id().alias("_part")), "values")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a task
+    offsets = dealt.groupBy("_part").agg(F.sum("_n").alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    placed = dealt.join(F.broadcast(offsets), "_part").withColumn("_end", F.sum("_n").over(Window.partitionBy("_part").orderBy("_v")) + F.col("_before"))
+    total = dealt.agg(F.sum("_n").alias("_total"))
+    ranked = placed.crossJoin(F.broadcast(total))
+    at = {name: share * (F.col("_total") - 1) for name, share in shares.items()}
+    held = lambda rank: F.when((F.col("_end") - F.col("_n") <= rank) & (rank < F.col("_end")), F.col("_v"))
+    ends = [F.max(held(f(at[name]))).alias(f"_{side}{k}") for k, name in enumerate(shares) for side, f in (("low", F.floor), ("high", F.ceil))]
+    found = ranked.agg(F.max("_total").alias("_total"), *ends)
+
+    def between(k: int, name: str) -> Column:
+        low, high, place = F.col(f"_low{k}"), F.col(f"_high{k}"), at[name]
+        return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    return found.select(*(between(k, name).alias(name) for k, name in enumerate(shares)))
