@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -206,11 +205,7 @@ def s5_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(drawing_sql("entities") + """, f AS (SELECT count(DISTINCT file_id) AS files FROM entities), t(kind, name, detail) AS (VALUES ('block', 'B1', NULL), ('dimstyle', 'ISO', NULL), ('linetype', 'DASHED', 'long _ _'), ('style', 'NOTES', '2.5')) SELECT kind, name, detail, files FROM t, f""")
 def s5_named_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _records(spark, sf_dir)
-    none = F.lit(None).cast("string")
-    parts = [("block", dxf.block_names(r), none), ("dimstyle", dxf.dimstyles(r), none), ("linetype", dxf.linetypes(r), F.col("description")), ("style", dxf.styles(r), F.col("height").cast("string"))]
-    found = [df.select(F.lit(kind).alias("kind"), "name", detail.alias("detail"), "file_id") for kind, df, detail in parts]
-    return reduce(DataFrame.unionByName, found).groupBy("kind", "name", "detail").agg(F.count_distinct("file_id").alias("files"))
+    return dxf.all_named(_records(spark, sf_dir)).groupBy("kind", "name", "detail").agg(F.count_distinct("file_id").alias("files"))
 
 
 @query(drawing_sql("entities") + """, m AS (SELECT file_id, max(x) AS x, max(y) AS y FROM entities GROUP BY 1), v AS (SELECT '$ACADVER' AS variable, 'AC1027' AS value FROM m UNION ALL SELECT '$EXTMAX', x || ',' || y FROM m) SELECT variable, value, count(*) AS files FROM v GROUP BY ALL""")

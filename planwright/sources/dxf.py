@@ -6,12 +6,14 @@ records after it are read like any others.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -25,6 +27,10 @@ MODES = ("permissive", "dropmalformed", "failfast")
 
 ENTITY = "file_id string, section string, block string, entity_id long, type string, layer string, handle string, text string, name string, points array<struct<x:double,y:double>>, radius double, start_angle double, end_angle double, x_scale double, y_scale double, rotation double, closed boolean, attributes map<string,string>, corrupt string"
 _COLUMNS = [c.split()[0] for c in ENTITY.replace("struct<x:double,y:double>", "p").replace("map<string,string>", "m").split(", ")]
+_KINDS = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "m": pa.map_(pa.string(), pa.string()), "array<p>": pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))}
+_ARROW = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in ENTITY.replace("struct<x:double,y:double>", "p").replace("map<string,string>", "m").split(", ")])
+#: Bytes that are decoded at once.
+PIECE = 1 << 20
 #: Codes that hold a number in every kind of record.
 _NUMBERS = {10, 11, 20, 21, 40, 41, 42, 50, 51}
 
@@ -42,22 +48,52 @@ _CODE = re.compile(r"\s*-?\d{1,4}\s*")
 _KIND = re.compile(r"[A-Z][A-Z0-9_]*")
 
 
-def tags(text: str) -> Iterator[tuple[int | None, str]]:
-    """(group code, value) pairs. Lines end in a line feed, with or without a carriage return, and in nothing else.
+def encoding_of(data: bytes | memoryview, encodings: tuple[str, ...] = ENCODINGS) -> str:
+    """The first of ``encodings`` that ``decode`` would use; the text is looked at piece by piece."""
+    for e in encodings:
+        try:
+            for _ in _pieces(data, e):
+                pass
+            return e
+        except UnicodeDecodeError:
+            continue
+    return "latin1"
+
+
+def _pieces(data: bytes | memoryview, encoding: str) -> Iterator[str]:
+    decoder = codecs.getincrementaldecoder(encoding)()
+    for at in range(0, len(data), PIECE):
+        yield decoder.decode(bytes(data[at : at + PIECE]))
+    yield decoder.decode(b"", True)
+
+
+def lines_of(data: bytes | memoryview, encodings: tuple[str, ...] = ENCODINGS) -> Iterator[str]:
+    """Lines of a drawing, which end in a line feed, with or without a carriage return, and in nothing else. No more than a piece of the text is held."""
+    held: list[str] = []
+    for piece in _pieces(data, encoding_of(data, encodings)):
+        first, *more = piece.split("\n")
+        held.append(first)
+        for line in more:
+            yield "".join(held).removesuffix("\r")
+            held = [line]
+    yield "".join(held)
+
+
+def tags(lines: Iterator[str]) -> Iterator[tuple[int | None, str]]:
+    """(group code, value) pairs.
 
     Where a code should stand and doesn't, the pair (None, line) tells so once, and reading goes on at the next line 0 that a kind of record follows.
     """
-    lines = re.split(r"\r?\n", text)
-    at = 0
-    while at + 1 < len(lines):
-        if _CODE.fullmatch(lines[at]):
-            yield int(lines[at]), lines[at + 1].strip()
-            at += 2
+    here, then = next(lines, None), next(lines, None)
+    while then is not None:
+        if _CODE.fullmatch(here):
+            yield int(here), then.strip()
+            here, then = next(lines, None), next(lines, None)
             continue
-        yield None, lines[at].strip()[:200]
-        at += 1
-        while at + 1 < len(lines) and not (lines[at].strip() == "0" and _KIND.fullmatch(lines[at + 1].strip())):
-            at += 1
+        yield None, here.strip()[:200]
+        here, then = then, next(lines, None)
+        while then is not None and not (here.strip() == "0" and _KIND.fullmatch(then.strip())):
+            here, then = then, next(lines, None)
 
 
 def _number(value: str) -> float | None:
@@ -67,10 +103,10 @@ def _number(value: str) -> float | None:
         return None
 
 
-def records(text: str) -> Iterator[tuple[str, str | None, str | None, list[tuple[int, str]]]]:
+def records(lines: Iterator[str]) -> Iterator[tuple[str, str | None, str | None, list[tuple[int, str]]]]:
     """(section, block, type, tags) of every record of the file; of the header's variables each is a record VARIABLE. Type None: a line that can't be read."""
     section, block, kind, own, waits = "", None, None, [], False
-    for code, value in [*tags(text), (0, "EOF")]:
+    for code, value in chain(tags(lines), [(0, "EOF")]):
         if code is None:
             if value:
                 yield section, block, None, [(0, value)]
@@ -110,8 +146,8 @@ def _row(file_id: str, i: int, section: str, block: str | None, kind: str | None
     }
 
 
-def rows_of(file_id: str, data: bytes, encodings: tuple[str, ...], mode: str) -> Iterator[dict]:
-    for i, r in enumerate(records(decode(data, encodings))):
+def rows_of(file_id: str, data: bytes | memoryview, encodings: tuple[str, ...], mode: str) -> Iterator[dict]:
+    for i, r in enumerate(records(lines_of(data, encodings))):
         row = _row(file_id, i, *r)
         if row["corrupt"] is not None:
             if mode == "failfast":
@@ -195,19 +231,20 @@ def parse_drawings(files: DataFrame, encodings: tuple[str, ...] = ENCODINGS, mod
     """Every record of drawings in a binary column ``content``; file_id is the SHA-256 of the bytes. A null content has no records."""
     mode = _mode(mode)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for file_id, data in zip(b["file_id"], b["content"], strict=True):
+            for file_id, data in zip(b.column(0), b.column(1), strict=True):
+                # the bytes stay where Arrow has them, and rows go as soon as there are enough for a batch
                 rows = []
-                for r in rows_of(file_id, bytes(data), encodings, mode):
-                    rows.append(r)
+                for r in rows_of(file_id.as_py(), memoryview(data.as_buffer()), encodings, mode):
+                    rows.append({**r, "attributes": list(r["attributes"].items())})
                     if len(rows) == 5000:
-                        yield pd.DataFrame(rows, columns=_COLUMNS)
+                        yield pa.RecordBatch.from_pylist(rows, _ARROW)
                         rows = []
                 if rows:
-                    yield pd.DataFrame(rows, columns=_COLUMNS)
+                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
-    return files.where("content is not null").select(F.sha2("content", 256).alias("file_id"), "content").mapInPandas(run, ENTITY)
+    return files.where("content is not null").select(F.sha2("content", 256).alias("file_id"), "content").mapInArrow(run, ENTITY)
 
 
 def entities(records_: DataFrame) -> DataFrame:
@@ -245,6 +282,22 @@ def block_names(records_: DataFrame) -> DataFrame:
     return records_.where("section = 'BLOCKS' and type = 'BLOCK' and name is not null").select("file_id", "name")
 
 
+#: kind -> section, type, and the code of what describes it.
+NAMED = {"block": ("BLOCKS", "BLOCK", None), "dimstyle": ("TABLES", "DIMSTYLE", None), "linetype": ("TABLES", "LTYPE", "3"), "style": ("TABLES", "STYLE", "40")}
+
+
+def all_named(records_: DataFrame) -> DataFrame:
+    """(file_id, kind, name, detail): what ``block_names``, ``dimstyles``, ``linetypes`` and ``styles`` give, by reading the drawings once; detail is the description or the height."""
+    kind, detail = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for k, (section, type_, code) in NAMED.items():
+        own = (F.col("section") == section) & (F.col("type") == type_)
+        kind = F.when(own, k).otherwise(kind)
+        if code:
+            found = F.col("attributes")[code]
+            detail = F.when(own, found.try_cast("double").cast("string") if k == "style" else found).otherwise(detail)
+    return records_.where("name is not null").select("file_id", kind.alias("kind"), "name", detail.alias("detail")).where("kind is not null")
+
+
 def layers(records_: DataFrame) -> DataFrame:
     """name, color, linetype, is_frozen, is_locked, is_off; a negative colour is off."""
     t = records_.where("section = 'TABLES' and type = 'LAYER'")
