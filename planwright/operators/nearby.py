@@ -169,3 +169,56 @@ def nearest(held: DataFrame, k: int, scale: str | None = None) -> DataFrame:
     whole = self_.select("id", "found").unionByName(met).groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
     last = F.try_element_at("found", F.lit(k))
     return whole.select("id", last["far"].alias("far"), last["other"].alias("other"))
+
+
+def near_links(vectors: DataFrame, eps: float, block: int = 2048) -> DataFrame:
+    """(src, dst): links that join whatever pairs of ``vectors`` (id long, v array<double>) of one width at most ``eps`` apart join; fewer than all such pairs.
+
+    Blocks of vectors meet whole; of a pair of blocks each vector gives at most one link, to the least id that it hangs together with there. Blocks whose first coordinates are
+    further apart than ``eps`` don't meet. Pairs near the limit are measured component by component. Null vectors and those with null or non-finite components have no link.
+    """
+    sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = staged(vectors.where(F.col("v").isNotNull() & (F.size("v") > 0) & sound).select("id", "v", F.size("v").alias("width"), F.col("v")[0].alias("first")), "vectors")
+    runs = sorted_runs(rows, ["width", "first", "id"], "runs")
+    held = runs.groupBy("width", (F.shiftleft(F.col("_run").cast("long"), 32) + F.floor(F.col("_place") / block)).alias("block")).agg(F.min("first").alias("low"), F.max("first").alias("high"), F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("vs"))
+    held = staged(held, "blocks")
+    told = held.select("width", "block", "low", "high")  # a row for each block
+    other = told.select("width", *(F.col(c).alias(f"o_{c}") for c in ("block", "low", "high")))
+    # a margin for how differences are rounded; what is farther apart is told in the block
+    pairs = told.join(other, "width").where((F.col("block") <= F.col("o_block")) & (F.col("low") <= F.col("o_high") + eps * 1.000001) & (F.col("o_low") <= F.col("high") + eps * 1.000001)).select("width", "block", "o_block")
+    right = held.select("width", F.col("block").alias("o_block"), F.col("ids").alias("o_ids"), F.col("vs").alias("o_vs"))
+    met = pairs.repartition("block", "o_block").join(held.select("width", "block", "ids", "vs").hint("merge"), ["width", "block"]).join(right.hint("merge"), ["width", "o_block"])
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                a_ids, a, o_ids, o = (b.column(c)[k].values.to_numpy(zero_copy_only=False) for c in range(1, 5))
+                width = b.column(0)[k].as_py()
+                src, dst = _linked(a_ids, a.reshape(-1, width), o_ids, o.reshape(-1, width), eps)
+                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
+
+    return met.select("width", "ids", "vs", "o_ids", "o_vs").mapInArrow(links, "src long, dst long")
+
+
+def _linked(a_ids: np.ndarray, a: np.ndarray, b_ids: np.ndarray, b: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each id with the least that it hangs together with by pairs of ``a`` and ``b`` at most ``eps`` apart, if that is another."""
+    with np.errstate(all="ignore"):
+        aa, bb = (a * a).sum(axis=1)[:, None], (b * b).sum(axis=1)[None, :]
+        square = aa + bb - 2 * (a @ b.T)
+        slack = 1e-9 * (aa + bb) + 1e-12
+        near = square < eps * eps - slack
+        i, j = np.nonzero(~near & ~(square > eps * eps + slack))
+        for at in range(0, len(i), 1 << 14):  # too near the limit for that: added up one after the other
+            x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            near[x, y] = np.sqrt(np.cumsum((a[x] - b[y]) ** 2, axis=1)[:, -1]) <= eps
+    i, j = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    near, left, right = near[np.ix_(i, j)], a_ids[i].copy(), b_ids[j].copy()
+    most = np.iinfo(np.int64).max
+    while len(i):
+        new_right = np.minimum(right, np.where(near, left[:, None], most).min(axis=0))
+        new_left = np.minimum(left, np.where(near, new_right[None, :], most).min(axis=1))
+        if (new_left == left).all() and (new_right == right).all():
+            break
+        left, right = new_left, new_right
+    src, dst = np.concatenate([a_ids[i], b_ids[j]]), np.concatenate([left, right])
+    return src[src != dst], dst[src != dst]
