@@ -44,37 +44,45 @@ def box_semi_join(left: DataFrame, right: DataFrame, key: str, left_box: str, ri
     return left.join(hits, key, "left_semi")
 
 
+#: Anchors up to this number are sent to all tasks; of so few every point meets all.
+SENT, FEW = 10_000, 64
+
+
 def nearest_points(points: DataFrame, anchors: DataFrame, key: str, anchor: str, cell: float, growth: int = 8, keys: tuple[str, ...] = ()) -> DataFrame:
     """(``key``, ``keys``, ``anchor``): of the anchors of equal ``keys`` the one nearest to each point (columns x and y; ``key`` is unique); of equally near ones the least. None if there are none.
 
-    Points meet the anchors of their own and the eight cells around it by an equi-join. What is found within one cell's size is
-    the nearest; the other points are left for the next round, with cells ``growth`` times as large and as many anchors
-    in each. Points that are far from all anchors are few where drawings are labelled.
+    Points and anchors of one place are looked at once. Anchors are put into their own and the eight cells around it and meet the points there by an equi-join. What is found within
+    one cell's size is the nearest; the other places are left for the next round, with cells ``growth`` times as large and as many anchors
+    in each. Points that are far from all anchors are few where drawings are labelled. No side is broadcast unless it has been counted.
     """
-    span = anchors.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    done = points.select(key, *keys, F.lit(None).cast(anchors.schema[anchor].dataType).alias(anchor))
+    kind = anchors.schema[anchor].dataType
+    there = staged(anchors.groupBy(*keys, F.col("x").alias("_ax"), F.col("y").alias("_ay")).agg(F.min(anchor).alias("_a")).where("_ax is not null and _ay is not null"), "anchors")
+    span = there.agg(F.max("_ax") - F.min("_ax"), F.max("_ay") - F.min("_ay"), F.min("_ax"), F.max("_ax"), F.min("_ay"), F.max("_ay"), F.count(F.lit(1))).first()
     if span[0] is None:
-        return done
-    done, left = done.where("false"), staged(points.select(key, *keys, "x", "y"), "points")
+        return points.select(key, *keys, F.lit(None).cast(kind).alias(anchor))
+    sent = lambda df: F.broadcast(df) if span[6] <= SENT else df.hint("merge")
+    left = staged(points.where("x is not null and y is not null").select(*keys, "x", "y").distinct(), "places")
     reach = left.agg(F.max(F.greatest(F.abs(F.col("x") - span[2]), F.abs(F.col("x") - span[3]), F.abs(F.col("y") - span[4]), F.abs(F.col("y") - span[5])))).first()[0] or 0.0
     around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-    last = False
+    far = (F.col("x") - F.col("_ax")) ** 2 + (F.col("y") - F.col("_ay")) ** 2
+    nearest = F.min(F.struct(far.alias("d"), F.col("_a").alias("a"))).alias("m")
+    done, last = None, False
     while not last:
-        last = cell > 2 * (reach + span[0] + span[1])  # every anchor is then within a cell of every point
-        near = left.withColumn("_d", F.explode(around)).select(key, *keys, "x", "y", (F.floor(F.col("x") / cell) + F.col("_d.a")).alias("_cx"), (F.floor(F.col("y") / cell) + F.col("_d.b")).alias("_cy"))
-        there = anchors.select(anchor, *keys, F.col("x").alias("_ax"), F.col("y").alias("_ay"), F.floor(F.col("x") / cell).alias("_cx"), F.floor(F.col("y") / cell).alias("_cy"))
-        far = (F.col("x") - F.col("_ax")) ** 2 + (F.col("y") - F.col("_ay")) ** 2
-        best = near.join(there, [*keys, "_cx", "_cy"]).groupBy(key).agg(F.min(F.struct(far.alias("d"), F.col(anchor).alias("a"))).alias("m"))
-        best = staged(left.join(best, key, "left"), "nearest")
-        found = F.col("m").isNotNull() if last else F.coalesce(F.col("m.d") <= cell * cell, F.lit(False))
-        done = done.unionByName(best.where(found).select(key, *keys, F.col("m.a").alias(anchor)))
-        rest = best.where(~found).select(key, *keys, "x", "y")
-        if last:  # those that have no anchor at all
-            done = done.unionByName(rest.select(key, *keys, F.lit(None).cast(anchors.schema[anchor].dataType).alias(anchor)))
-        left = rest
-        last = last or left.isEmpty()
+        last = span[6] <= FEW or cell > 2 * (reach + span[0] + span[1])  # every anchor is then within a cell of every point
+        if last:
+            met = left.join(sent(there), list(keys)) if keys else left.crossJoin(sent(there))
+        else:
+            spread = there.withColumn("_d", F.explode(around)).select(*keys, "_ax", "_ay", "_a", (F.floor(F.col("_ax") / cell) + F.col("_d.a")).alias("_cx"), (F.floor(F.col("_ay") / cell) + F.col("_d.b")).alias("_cy"))
+            met = left.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)}).join(sent(spread), [*keys, "_cx", "_cy"])
+        best = staged(met.groupBy(*keys, "x", "y").agg(nearest), "nearest")
+        found = best if last else best.where(F.col("m.d") <= cell * cell)
+        found = found.select(*keys, "x", "y", F.col("m.a").alias(anchor))
+        done = found if done is None else done.unionByName(found)
+        if not last:
+            left = staged(left.join(found.select(*keys, "x", "y").hint("merge"), [*keys, "x", "y"], "left_anti"), "places-left")
+            last = left.isEmpty()
         cell *= growth
-    return done
+    return points.select(key, *keys, "x", "y").join(done.hint("merge"), [*keys, "x", "y"], "left").select(key, *keys, anchor)
 
 
 def merged_boxes(boxes: DataFrame, keys: list[str], cell: float) -> DataFrame:
