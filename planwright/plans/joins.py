@@ -218,7 +218,8 @@ def region_graph(regions: DataFrame, distance: float = 10.0) -> DataFrame:
     b = r.select("file_id", F.col("region_id").alias("dst"), F.col("layer").alias("dst_layer"), F.col("box").alias("r"))
     gap = [F.greatest(F.col(f"l.min_{k}") - F.col(f"r.max_{k}"), F.col(f"r.min_{k}") - F.col(f"l.max_{k}"), F.lit(0.0)) for k in "xy"]
     near = (F.col("src") < F.col("dst")) & (F.sqrt(gap[0] ** 2 + gap[1] ** 2) <= distance)
-    return box_join(a, b, "l", "r", 48.0, near, distance, ("file_id",)).select("src", "dst", F.when(F.col("src_layer") == F.col("dst_layer"), 10).otherwise(1).alias("weight"))
+    # cells about as wide as the reach: smaller ones would take many copies of each region
+    return box_join(a, b, "l", "r", max(48.0, 2 * distance), near, distance, ("file_id",)).select("src", "dst", F.when(F.col("src_layer") == F.col("dst_layer"), 10).otherwise(1).alias("weight"))
 
 
 @query(drawing_sql("regions") + """ SELECT a.layer, count(*) AS pairs FROM regions a JOIN regions b ON a.file_id = b.file_id AND a.layer = b.layer AND a.region_id < b.region_id
