@@ -9,8 +9,9 @@ integers, resolutions halves), so ties and results are exact.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -66,6 +67,40 @@ def plain_communities(edges: Iterable[tuple[int, int, int]], nodes: Iterable[int
 
 
 _WIDE = "decimal(38,0)"
+#: Blocks of up to this number of nodes and edges are dealt with whole, many in one task.
+ONE_TASK = 20_000
+
+
+def block_communities(nodes: DataFrame, edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """``communities`` of blocks of which most are small: those of up to ``one_task`` nodes and edges are found whole, the others by rounds of joins. Both follow one rule.
+
+    Every node is an end of one of the ``edges``, or alone.
+    """
+    own = nodes.groupBy("block").agg(F.count("*").alias("n"), F.first("twice_resolution").alias("twice_resolution"))
+    size = edges.groupBy("block").agg(F.count("*").alias("m"))
+    told = staged(own.join(size, "block", "left"), "block-sizes")
+    large = told.where(F.greatest("n", F.coalesce("m", F.lit(0))) > one_task).select("block")
+    some = edges if large.isEmpty() else edges.join(large, "block", "left_anti")
+    rows = some.groupBy("block").agg(F.collect_list(F.struct("src", "dst", "weight")).alias("e")).join(told.select("block", "twice_resolution"), "block")
+    kind = nodes.schema["block"].dataType
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            starts = b.column(1).offsets.to_numpy()
+            src, dst, weight = (b.column(1).values.field(i).to_pylist() for i in range(3))
+            of, found, home = [], [], []
+            for k, twice in enumerate(b.column(2).to_pylist()):
+                lo, hi = int(starts[k]), int(starts[k + 1])
+                got = plain_communities(list(zip(src[lo:hi], dst[lo:hi], weight[lo:hi], strict=True)), {*src[lo:hi], *dst[lo:hi]}, twice)
+                of += [k] * len(got)
+                found += got
+                home += got.values()
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), pa.array(found, pa.int64()), pa.array(home, pa.int64())], ["block", "node", "community"])
+
+    out = rows.select("block", "e", "twice_resolution").mapInArrow(find, f"block {kind.simpleString()}, node long, community long")
+    alone = nodes.join(edges.select("block", F.explode(F.array("src", "dst")).alias("node")), ["block", "node"], "left_anti").select("block", "node", F.col("node").alias("community"))
+    out = out.unionByName(alone if large.isEmpty() else alone.join(large, "block", "left_anti"))
+    return out if large.isEmpty() else out.unionByName(communities(nodes.join(large, "block", "left_semi"), edges.join(large, "block", "left_semi")))
 
 
 def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
