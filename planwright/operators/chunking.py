@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,16 +141,27 @@ def _without_noise(nodes: DataFrame) -> DataFrame:
 
 
 def _small(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    def cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own = {r.node: (r.area, r.perimeter, r.x, r.y, np.array([(p["x"], p["y"]) for p in r.ring])) for r in left.itertuples()}
-        found = plain_chunks(own, list(zip(right["src"], right["dst"], right["weight"], strict=True)))
-        rows = [(left["layout"].iloc[0], part[0], n) for part in found for n in part]
-        return pd.DataFrame(rows, columns=["layout", "least", "node"])
-
     kind = nodes.schema["layout"].dataType.simpleString()
-    use = nodes.select("layout", "node", "area", "perimeter", "x", "y", "ring")
-    own = edges.select(F.col("layout").alias("of"), "src", "dst", "weight")  # a name of its own, where both sides come from one table
-    return use.groupBy("layout").cogroup(own.groupBy("of")).applyInPandas(lambda a, b: cut(a, b) if len(a) else pd.DataFrame({"layout": [], "least": [], "node": []}), f"layout {kind}, least long, node long")
+    corners = F.flatten(F.transform("ring", lambda p: F.array(p["x"], p["y"])))
+    own = nodes.groupBy("layout").agg(F.collect_list(F.struct("node", "area", "perimeter", "x", "y", corners.alias("ring"))).alias("n"))
+    lines = edges.groupBy(F.col("layout").alias("of")).agg(F.collect_list(F.struct("src", "dst", "weight")).alias("e"))
+    both = own.join(lines, own["layout"] == lines["of"], "left").select("layout", "n", "e")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, least, node = [], [], []
+            for k in range(b.num_rows):
+                n, e = b.column(1)[k].values, b.column(2)[k].values
+                columns = [n.field(i).to_pylist() for i in range(5)]
+                rings, starts = n.field(5).values.to_numpy(zero_copy_only=False), n.field(5).offsets.to_numpy()
+                held = {row[0]: (*row[1:], rings[starts[i] : starts[i + 1]].reshape(-1, 2)) for i, row in enumerate(zip(*columns, strict=True))}
+                for part in plain_chunks(held, [] if e is None else list(zip(*(e.field(i).to_pylist() for i in range(3)), strict=True))):
+                    of += [k] * len(part)
+                    least += [part[0]] * len(part)
+                    node += part
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), pa.array(least, pa.int64()), pa.array(node, pa.int64())], ["layout", "least", "node"])
+
+    return both.mapInArrow(cut, f"layout {kind}, least long, node long")
 
 
 def _split(rows: DataFrame, edges: DataFrame, by: str) -> DataFrame:
