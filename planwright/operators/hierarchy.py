@@ -30,22 +30,39 @@ def in_one_task(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema
     return df.repartition(1).mapInPandas(run, schema)
 
 
-def _prim(p: np.ndarray, core: np.ndarray, ids: np.ndarray) -> list[tuple[float, int, int]]:
-    """The least spanning tree by (reachability rounded to nine digits, lesser id, greater id)."""
+def _tree(p: np.ndarray, core: np.ndarray, ids: np.ndarray) -> list[tuple[float, int, int]]:
+    """The least spanning tree by (reachability rounded to nine digits, lesser id, greater id): in each round every part takes its least edge out."""
+    order = np.argsort(ids)
+    p, core, ids = p[order], core[order], ids[order]
     n, out = len(p), []
-    todo = np.ones(n, bool)
-    todo[0] = False
-    weight, low, high = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    at = 0
-    for _ in range(n - 1):
-        w = np.maximum(np.maximum(core, core[at]), np.sqrt(((p - p[at]) ** 2).sum(axis=1))).round(9)
-        a, b = np.minimum(ids, ids[at]), np.maximum(ids, ids[at])
-        closer = todo & ((w < weight) | ((w == weight) & ((a < low) | ((a == low) & (b < high)))))
-        weight[closer], low[closer], high[closer] = w[closer], a[closer], b[closer]
-        rest = np.flatnonzero(todo)
-        at = rest[np.lexsort((high[rest], low[rest], weight[rest]))[0]]
-        todo[at] = False
-        out.append((float(weight[at]), int(low[at]), int(high[at])))
+    w = np.empty((n, n))
+    for lo in range(0, n, 256):
+        w[lo : lo + 256] = np.maximum(np.maximum(core[lo : lo + 256, None], core), distances(p[lo : lo + 256], p)).round(9)
+    np.fill_diagonal(w, np.inf)
+    part, to = np.arange(n), w.argmin(axis=1)  # of equal ones the least id, which gives the least pair too
+    while n > 1 and part.max() > 0:
+        far, low, high = w[np.arange(n), to], np.minimum(np.arange(n), to), np.maximum(np.arange(n), to)
+        by = np.lexsort((high, low, far, part))
+        first = by[np.r_[True, np.diff(part[by]) > 0]]
+        root = np.arange(part.max() + 1)
+
+        def find(k: int, root: np.ndarray = root) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        for k in first.tolist():
+            a, b = find(part[low[k]]), find(part[high[k]])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((float(far[k]), int(ids[low[k]]), int(ids[high[k]])))
+        part = np.unique(np.array([find(k) for k in range(len(root))]), return_inverse=True)[1][part]
+        stale = np.flatnonzero(part[to] == part)  # the others' least edges still lead out
+        for lo in range(0, len(stale), 256):
+            some = stale[lo : lo + 256]
+            own = np.where(part[some, None] == part, np.inf, w[some])
+            w[some], to[some] = own, own.argmin(axis=1)
     return out
 
 
@@ -127,7 +144,7 @@ def reachability_tree(points: DataFrame, samples: int = 3, block: int = BLOCK, o
         p, core, ids = points_of(row), np.asarray(row["core"], float), np.asarray(row["ids"])
         if "o_ids" in row:
             p, core, ids = np.concatenate([p, points_of(row, "o_")]), np.concatenate([core, np.asarray(row["o_core"], float)]), np.concatenate([ids, np.asarray(row["o_ids"])])
-        return flat(_prim(p, core, ids))
+        return flat(_tree(p, core, ids))
 
     own = staged(by_rows(held, tree, schema, kinds), "own-trees")
     size = held.agg(F.count(F.lit(1)), F.min("box.min_x"), F.max("box.max_x"), F.min("box.min_y"), F.max("box.max_y"), F.min("low"), F.max("high")).first()

@@ -108,7 +108,10 @@ def points_of(row: dict, prefix: str = "") -> np.ndarray:
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    out = np.zeros((len(a), len(b)))
+    for k in range(a.shape[1]):
+        out += (a[:, k, None] - b[None, :, k]) ** 2
+    return np.sqrt(out, out=out)
 
 
 def by_rows(df: DataFrame, f: Callable[[dict], list[tuple]], schema: str, kinds: list[pa.DataType]) -> DataFrame:
@@ -135,7 +138,17 @@ def nearest(held: DataFrame, k: int, scale: str | None = None) -> DataFrame:
         return d if a is None else d * np.sqrt(2 * a[:, None] * b[None, :] / (a[:, None] + b[None, :]))
 
     def best(d: np.ndarray, ids: np.ndarray, some: int) -> list[list[tuple[float, int]]]:
-        return [[(float(row[i]), int(ids[i])) for i in np.lexsort((ids, row))[:some] if np.isfinite(row[i])] for row in d.round(9)]
+        """Of each row of ``d`` the least, of equal ones that of the least id: one pass over the rows for each."""
+        order = np.argsort(ids)
+        d, ids, rows = d.round(9)[:, order], ids[order], np.arange(len(d))
+        out: list[list[tuple[float, int]]] = [[] for _ in rows]
+        for _ in range(min(some, d.shape[1])):
+            at = d.argmin(axis=1)
+            for found, far, other in zip(out, d[rows, at].tolist(), ids[at].tolist(), strict=True):
+                if far < np.inf:
+                    found.append((far, other))
+            d[rows, at] = np.inf
+        return out
 
     def own(row: dict) -> list:
         p, ids = points_of(row), np.asarray(row["ids"])
