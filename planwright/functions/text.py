@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -42,16 +43,22 @@ def decode_mtext_short(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, _FORMAT, ""), r"[{}]", ""), r"^\s+|\s+$", "")
 
 
-@F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
+def _each(texts: pa.Array, f: Callable[[str], str]) -> pa.Array:
+    """``f`` of each text; a few at a time are Python strings, however long a batch of texts is."""
+    parts = [pa.array([None if t is None else f(t) for t in texts.slice(lo, 128).to_pylist()], texts.type) for lo in range(0, len(texts), 128)]
+    return pa.concat_arrays(parts) if parts else texts
+
+
+@F.arrow_udf(StringType())
+def nfkc(text: pa.Array) -> pa.Array:
     """Compatibility normal form; Spark has no function for it."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+    return _each(text, lambda t: unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf(StringType())
-def match_form(text: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def match_form(text: pa.Array) -> pa.Array:
     """Compatibility normal form, white space run together, case folded."""
-    return text.map(lambda t: None if t is None else re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t)).strip().casefold())
+    return _each(text, lambda t: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t)).strip().casefold())
 
 
 def loose_form(text: Column) -> Column:
