@@ -166,25 +166,29 @@ def m22_padded_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawing(spark, sf_dir, "regions").select("region_id", *(F.round(b[k], 6).alias(k) for k in ("min_x", "min_y", "max_x", "max_y")))
 
 
-def spline_points(fit: Column, control: Column, most: int = 180) -> Column:
-    """Fit points if there are two; else samples along the control polygon, eight for each point."""
-    n = F.size(control)
-    samples = F.least(F.lit(most), n * 8)
-
-    def at(i: Column) -> Column:
-        t = i * (n - 1) / (samples - 1)
-        k = F.least(F.floor(t), n - 2).cast("int")
-        p, q, u = F.element_at(control, k + 1), F.element_at(control, k + 2), t - F.least(F.floor(t), n - 2)
-        return G.point(p["x"] + (q["x"] - p["x"]) * u, p["y"] + (q["y"] - p["y"]) * u)
+def spline_points(curves: DataFrame, fit: str, control: str, most: int = 180) -> DataFrame:
+    """``curves``, without ``fit`` and ``control``, with i and p: the fit points if there are two; else samples along the control polygon, eight for each point.
 
-    return F.when(F.size(fit) >= 2, fit).when(n < 2, control).otherwise(F.transform(F.sequence(F.lit(0), samples - 1), at))
+    Numbers are dealt out first, and each point is worked out in a row of its own: functions over arrays are not compiled, and would make the control points anew for each sample.
+    """
+    n, i = F.size(control), F.col("i")
+    samples = F.least(F.lit(most), n * 8)
+    count = F.when(F.size(fit) >= 2, F.size(fit)).when(n < 2, n).otherwise(samples)
+    rows = curves.where(count > 0).withColumn("i", F.explode(F.sequence(F.lit(0), count - 1)))
+    t = i * (n - 1) / (samples - 1)
+    k = F.least(F.floor(t), n - 2).cast("int")
+    p, q, u = F.get(control, k), F.get(control, k + 1), t - k
+    sample = G.point(p["x"] + (q["x"] - p["x"]) * u, p["y"] + (q["y"] - p["y"]) * u)
+    at = F.when(F.size(fit) >= 2, F.get(fit, i)).when(n < 2, F.get(control, i)).otherwise(sample)
+    return rows.withColumn("p", at).drop(fit, control)
 
 
 @query("SELECT p_partkey, i, round(CASE WHEN i * 2 / 23.0 <= 1 THEN i * 2 / 23.0 * p_size ELSE p_size + (i * 2 / 23.0 - 1) * 10 END, 5) AS x FROM part, range(24) t(i)")
 def m26_spline_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     control = F.array(G.point(0.0, 0.0), G.point(F.col("p_size").cast("double"), 1.0), G.point(F.col("p_size") + 10.0, 2.0))
-    return p.select("p_partkey", F.posexplode(spline_points(F.slice(control, 1, 0), control)).alias("i", "p")).select("p_partkey", F.col("i").cast("long").alias("i"), F.round("p.x", 5).alias("x"))
+    curves = p.select("p_partkey", F.slice(control, 1, 0).alias("fit"), control.alias("control"))
+    return spline_points(curves, "fit", "control").select("p_partkey", F.col("i").cast("long").alias("i"), F.round("p.x", 5).alias("x"))
 
 
 @query(drawing_sql("regions") + " SELECT file_id, min(x0) AS min_x, min(y0) AS min_y, max(x0 + w) AS max_x, max(y0 + h) AS max_y FROM regions GROUP BY 1")
