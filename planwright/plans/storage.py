@@ -100,10 +100,11 @@ def s15_flat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(drawing_sql("regions") + " SELECT layout_id, chunk_id, count(*) AS polygons, min(x0) - 5 AS min_x, max(y0 + h) + 5 AS max_y FROM regions GROUP BY ALL")
 def s16_s30_nested_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested and taken apart again."""
+    """Nested and taken apart again; a chunk's polygons come in several rows."""
     flat = files.masks(drawing(spark, sf_dir, "regions").withColumn("ring", ring()))
     n = files.nested_masks(flat, 5.0).select(F.explode("layouts").alias("layout_id", "l")).select("layout_id", F.explode("l.chunks").alias("chunk_id", "c"))
-    return n.select(F.col("layout_id").cast("long").alias("layout_id"), F.col("chunk_id").cast("long").alias("chunk_id"), F.size("c.polygons").cast("long").alias("polygons"), F.col("c.bounding_box.min_x").alias("min_x"), F.col("c.bounding_box.max_y").alias("max_y"))
+    whole = n.groupBy(F.col("layout_id").cast("long").alias("layout_id"), F.col("chunk_id").cast("long").alias("chunk_id"))
+    return whole.agg(F.sum(F.size("c.polygons").cast("long")).alias("polygons"), F.min("c.bounding_box.min_x").alias("min_x"), F.max("c.bounding_box.max_y").alias("max_y"))
 
 
 @query(drawing_sql("memory") + " SELECT file_path, count(*) AS n FROM memory WHERE query_keyword <> 'view' GROUP BY 1")
