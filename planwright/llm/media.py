@@ -1,13 +1,13 @@
 """Copy detection on image columns by local descriptors.
 
 Corners are found on several scales of every image; the direction of the intensity centroid turns a fixed pattern of 256
-brightness tests, which gives a binary descriptor that stands crops, turns and edits elsewhere in the picture. Descriptors are
-entered in tables by bands of 40 bits; images that meet in several entries are candidates, and are linked if enough of their
-nearest descriptors agree on one shift, turn and scale. Equal images are one class from the start.
+brightness tests, which gives a binary descriptor that stands crops, turns and edits elsewhere in the picture. Two images are
+linked if enough of their nearest descriptors agree on one shift, turn and scale. Equal images are one class from the start.
 
-Every candidate pair is either verified or within one component already. Each pair falls into one of CLASSES classes by hashes
-of its two images; rounds take ever more classes, and leave out the pairs that earlier rounds have connected. So a
-descriptor that very many images have costs few pairs if these images are linked, but all pairs of them if they are not.
+No key keeps apart descriptors that may differ in BITS of 256 bits, so all pairs of classes are compared: blocks of images meet each
+other, and the inner products of their descriptors as signs tell which corners are within BITS. Only images with enough such corners are
+verified. A pair of blocks gives the counts of links of its images and a spanning forest of its links, not the links, so a large group
+of near copies costs time with the square of its size, but rows in proportion to it.
 """
 
 from __future__ import annotations
@@ -25,18 +25,18 @@ from planwright.operators.graph import connected_components
 from planwright.staging import staged
 
 SCALES, RADIUS = (1.0, 1.5, 2.25), 7
-#: Tables, and the bytes of a descriptor that each is keyed by; so long that unrelated pictures hardly meet.
+#: Bands of a descriptor, and the bytes of each.
 BANDS, BAND_BYTES = 6, 5
 #: The strongest corners of each cell of CELL by CELL pixels of each scale are kept, and the STRONGEST over all.
 CELL, CORNERS, STRONGEST = 32, 4, 32
-#: Entries in which two images must meet, bits by which two descriptors may differ, corners that must agree.
+#: Bands that near copies mostly share, bits by which two descriptors may differ, corners that must agree.
 MEETINGS, BITS, AGREEING = 2, 48, 5
 #: Pixels within which corners are at one place, and how much nearer than the next place's a descriptor must be.
 PLACE, CLEARLY = 6.0, 0.8
-#: Classes of pairs, and how many times as many the next round takes.
-CLASSES, GROWTH = 4096, 4
-#: Meetings of each image that the first round takes, as far as classes allow.
-FIRST = 16
+#: Corners of a block of images, at least and at most about; blocks that a small table is cut into.
+LEAST_BLOCK, BLOCK, BLOCKS = 1024, 65536, 24
+#: Corners of the two sides that are compared at once; columns by eights.
+ROWS, COLUMNS = 512, 1024
 
 #: (y, x) of the points of a patch.
 _DISC = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RADIUS, RADIUS + 1) if y * y + x * x <= RADIUS * RADIUS])
@@ -229,16 +229,20 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> int:
     if len(good) < 2:
         return len(good)
     p, q = a[good], b[to[good]]
-    best = 0
-    for i in range(len(good)):
-        turn, scale = q["angle"][i] - p["angle"][i], q["scale"][i] / p["scale"][i]
+    # corners of several scales at one place are one
+    spots = np.rint(np.stack([p["y"], p["x"]], axis=1) / np.float32(PLACE))
+    at = np.unique(spots, axis=0, return_inverse=True)[1].ravel()
+    of_place = np.zeros((len(good), at.max() + 1), np.float32)
+    of_place[np.arange(len(good)), at] = 1
+    best, step = 0, max(1, (1 << 20) // len(good))
+    for lo in range(0, len(good), step):
+        own = slice(lo, lo + step)
+        turn, scale = (q["angle"] - p["angle"])[own, None], (q["scale"] / p["scale"])[own, None]
         sin, cos = np.sin(turn) * scale, np.cos(turn) * scale
-        y, x = p["y"] - p["y"][i], p["x"] - p["x"][i]
-        far = np.hypot(y * cos + x * sin - (q["y"] - q["y"][i]), -y * sin + x * cos - (q["x"] - q["x"][i]))
+        y, x = p["y"] - p["y"][own, None], p["x"] - p["x"][own, None]
+        far = np.hypot(y * cos + x * sin - (q["y"] - q["y"][own, None]), -y * sin + x * cos - (q["x"] - q["x"][own, None]))
         near = far <= 3 + 0.05 * np.hypot(y, x)
-        # corners of several scales at one place are one
-        places = {(round(v), round(w)) for v, w in zip((p["y"][near] / PLACE).tolist(), (p["x"][near] / PLACE).tolist(), strict=True)}
-        best = max(best, len(places))
+        best = max(best, int((near.astype(np.float32) @ of_place > 0).sum(axis=1).max()))
     return best
 
 
@@ -248,11 +252,126 @@ def table_keys(features: np.ndarray) -> np.ndarray:
     return (bands << np.arange(0, 8 * BAND_BYTES, 8)).sum(axis=2) | np.arange(BANDS, dtype=np.int64) << 8 * BAND_BYTES
 
 
-def find_copies(media: DataFrame, id_col: str, media_col: str, meetings: int = MEETINGS, agree: int = AGREEING) -> DataFrame:
+def _may_link(a: np.ndarray, a_of: np.ndarray, b: np.ndarray, b_of: np.ndarray, agree: int) -> Iterator[tuple[int, int]]:
+    """The images (by place) of two blocks of which ``agree`` corners of the first have a descriptor of the second within BITS; without it they can't agree.
+
+    ``a``, ``b``: FEATURE records, ``a_of``, ``b_of``: the rising places of their images.
+    """
+    signs = lambda f: np.unpackbits(f["bits"], axis=1).astype(np.float32) * 2 - 1
+    there = np.concatenate([signs(b), np.zeros((-len(b) % 8, 256), np.float32)])
+    images = int(b_of[-1]) + 1
+    ends = np.flatnonzero(np.diff(a_of, append=-1)) + 1  # of images
+    lo = 0
+    while lo < len(a):
+        # whole images, so that all corners of one are counted together
+        fit = ends[ends <= lo + ROWS]
+        hi = int(fit[-1]) if len(fit) and fit[-1] > lo else int(ends[ends > lo][0])
+        met = []
+        for row in range(lo, hi, ROWS):
+            own = signs(a[row : min(hi, row + ROWS)])
+            for col in range(0, len(b), COLUMNS):
+                near = own @ there[col : col + COLUMNS].T >= 256 - 2 * BITS
+                # few are, so those of eight at once that hold any are looked at
+                eight = np.flatnonzero(near.view(np.uint64))
+                which, bit = np.nonzero(near.reshape(-1, 8)[eight])
+                i, j = divmod(eight[which] * 8 + bit, near.shape[1])
+                met.append((i + row) * images + b_of[j + col])
+        corners = np.unique(np.concatenate(met))
+        pair, n = np.unique(a_of[corners // images] * images + corners % images, return_counts=True)
+        for k in pair[n >= agree].tolist():
+            yield divmod(k, images)
+        lo = hi
+
+
+def _links(blocks: tuple, others: tuple, agree: int) -> Iterator[tuple[int, int]]:
+    """(image, lesser image): the links between two blocks (images, corners of each, FEATURE records), or within one."""
+    (a, n, x), (b, m, y) = blocks, others
+    start, begin = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(m)]
+    for i, j in _may_link(x, np.repeat(np.arange(len(a)), n), y, np.repeat(np.arange(len(b)), m), agree):
+        one, two = (int(a[i]), x[start[i] : start[i + 1]]), (int(b[j]), y[begin[j] : begin[j + 1]])
+        if a is b and one[0] <= two[0]:
+            continue  # met the other way round
+        one, two = max(one, two, key=lambda t: t[0]), min(one, two, key=lambda t: t[0])
+        if agreeing(one[1], two[1]) >= agree:
+            yield one[0], two[0]
+
+
+def _compared(agree: int):
+    """Pairs of blocks -> rows (image, other, n): links that connect what all links do (n is null), and the number of links of each image (other is null)."""
+
+    def block(row: list[bytes]) -> tuple:
+        return np.frombuffer(row[0], "<i8"), np.frombuffer(row[1], "<i8"), np.frombuffer(row[2], FEATURE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                a, b, *rest = (c[k].as_py() for c in batch.columns)
+                one = block(rest[:3])
+                two = one if a == b else block(rest[3:])
+                root: dict[int, int] = {}
+                degree: dict[int, int] = defaultdict(int)
+
+                def top(i: int) -> int:
+                    while (up := root.get(i, i)) != i:  # noqa: B023
+                        root[i] = i = root.get(up, up)  # noqa: B023
+                    return i
+
+                forest = []
+                for src, dst in _links(one, two, agree):
+                    degree[src] += 1
+                    degree[dst] += 1
+                    high, low = top(src), top(dst)
+                    if high != low:
+                        root[high] = low
+                        forest.append((src, dst))
+                src, dst, n = [s for s, _ in forest] + list(degree), [d for _, d in forest] + [None] * len(degree), [None] * len(forest) + list(degree.values())
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(n, pa.int64())], ["image", "other", "n"])
+
+    return run
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, image, features) in the order of blocks -> a row for each block."""
+
+    def row(block: int, held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        sizes = np.array([len(f) // FEATURE.itemsize for _, f in held], "<i8")
+        data = [np.array([i for i, _ in held], "<i8").tobytes(), sizes.tobytes(), b"".join(f for _, f in held)]
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([d], pa.binary()) for d in data)], ["block", "images", "sizes", "features"])
+
+    now, held = None, []
+    for b in batches:
+        for block, image, features in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and block != now:
+                yield row(now, held)
+                held = []
+            now = block
+            held.append((image, features))
+    if held:
+        yield row(now, held)
+
+
+def compare_all(features: DataFrame, agree: int = AGREEING) -> DataFrame:
+    """(image, other, n) of ``features`` (image, features): see ``_compared``. Each pair of images is compared once, in the task of its pair of blocks."""
+    some = features.where("length(features) > 0").select("image", "features")
+    corners = (some.agg(F.sum(F.length("features").cast("long"))).first()[0] or 0) // FEATURE.itemsize
+    count = max(1, round(corners / min(BLOCK, max(LEAST_BLOCK, corners // BLOCKS))))
+    dealt = some.select(F.pmod(F.xxhash64("image"), F.lit(count)).alias("block"), "image", "features")
+    blocks = staged(dealt.repartition(min(count, 4096), "block").sortWithinPartitions("block", "image").mapInArrow(_pack, "block long, images binary, sizes binary, features binary"), "blocks")
+    side = lambda n: blocks.select(F.col("block").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("images", "sizes", "features"))).hint("merge")
+    pairs = features.sparkSession.range(count).select(F.col("id").alias("a"), F.explode(F.sequence("id", F.lit(count - 1))).alias("b"))
+    first = ["a_images", "a_sizes", "a_features"]
+    # a block that meets itself is sent once
+    other = [F.when(F.col("a") != F.col("b"), F.col(c)).alias(c) for c in ("b_images", "b_sizes", "b_features")]
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *first, *other)
+    met = met.repartition(min(count * (count + 1) // 2, 4096), "a", "b")
+    return met.mapInArrow(_compared(agree), "image long, other long, n long")
+
+
+def find_copies(media: DataFrame, id_col: str, media_col: str, agree: int = AGREEING) -> DataFrame:
     """One row for each row: ``id_col``, n_corners, component_id (smallest id that links lead to) and n_links (of its class).
 
-    Components are those of all pairs that meet in ``meetings`` entries and agree in ``agree`` corners. n_links counts the links that
-    were found on the way; pairs that were connected before their turn aren't among them. Neither depends on partitions.
+    All pairs of different media are compared; those that agree in ``agree`` corners are linked. n_links counts all links of a class to
+    others. Neither depends on partitions.
 
     Media are binary PGM or PPM; null, empty and unreadable ones have no corners (n_corners null) and only link to equal
     bytes; a null is alone. Equal media are one class; ids may repeat; null ids are passed over as component ids.
@@ -280,53 +399,10 @@ def find_copies(media: DataFrame, id_col: str, media_col: str, meetings: int = M
     ordered = classes.select("key", "media", "least").repartitionByRange("key").sortWithinPartitions("key")
     described = staged(ordered.mapInArrow(detect, f"key binary, least {kind}, features binary").withColumn("image", F.monotonically_increasing_id()), "features")
 
-    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            images, keys = [], []
-            for image, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = np.unique(table_keys(np.frombuffer(data, FEATURE)))
-                keys.append(own)
-                images.append(np.full(len(own), image))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(images))], ["entry", "image"])
-
-    entries = staged(described.where("length(features) > 0").select("image", "features").mapInArrow(enter, "entry long, image long"), "entries")
-    shared = entries.groupBy("entry").count().where("count > 1")
-    meets = shared.agg(F.coalesce(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2), F.lit(0.0))).first()[0]
-    entries = staged(entries.join(staged(shared.select("entry"), "shared"), "entry"), "shared-entries")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            src, dst, x, y = (c.to_pylist() for c in b.columns)
-            good = [k for k in range(len(src)) if agreeing(np.frombuffer(x[k], FEATURE), np.frombuffer(y[k], FEATURE)) >= agree]
-            yield pa.RecordBatch.from_arrays([pa.array([src[k] for k in good], pa.int64()), pa.array([dst[k] for k in good], pa.int64())], ["src", "dst"])
-
-    features = described.select("image", "features")
-    numbered = described.select("image", F.pmod(F.xxhash64("key"), F.lit(CLASSES)).alias("part"))
-    linked = roots = None
-    # the first round takes a few pairs of each image, which connect most of a large group
-    low, high = 0, min(CLASSES, max(1, int(CLASSES * FIRST * numbered.count() / max(1.0, meets))))
-    while low < CLASSES:
-        own = numbered.withColumn("root", F.col("image")) if roots is None else numbered.join(roots, "image", "left").withColumn("root", F.coalesce("component", "image"))
-        own = staged(own.select("image", "part", "root"), "rooted-images")
-        sizes = own.groupBy("root").count().orderBy(F.desc("count"), "root").first()
-        most = sizes["root"] if sizes else -1
-        # one of two images of different components isn't in the largest
-        members = staged(entries.join(own, "image"), "members")
-        a = members.where(F.col("root") != most).select("entry", "image", "root", "part")
-        b = members.select("entry", F.col("image").alias("other"), F.col("root").alias("other_root"), F.col("part").alias("other_part"))
-        if high - low <= 64:
-            a = a.withColumn("other_part", F.explode(F.transform(F.sequence(F.lit(low), F.lit(high - 1)), lambda c: F.pmod(c - F.col("part"), F.lit(CLASSES)))))
-            met = a.join(b, ["entry", "other_part"])
-        else:
-            met = a.join(b, "entry").where(F.pmod(F.col("part") + F.col("other_part"), F.lit(CLASSES)).between(low, high - 1))
-        met = met.where((F.col("root") != F.col("other_root")) & ((F.col("other_root") == most) | (F.col("image") < F.col("other"))))
-        pairs = met.groupBy(F.greatest("image", "other").alias("image"), F.least("image", "other").alias("first")).count().where(F.col("count") >= meetings)
-        both = pairs.join(features, "image").join(features.select(F.col("image").alias("first"), F.col("features").alias("others")), "first")
-        found = both.select("image", "first", "features", "others").mapInArrow(verify, "src long, dst long")
-        linked = staged(found if linked is None else linked.unionAll(found), "links")
-        roots = staged(connected_components(linked).select(F.col("node").alias("image"), "component"), "image-roots")
-        low, high = high, min(CLASSES, high * (1 + GROWTH))
-    degree = linked.select(F.col("src").alias("image")).unionAll(linked.select("dst")).groupBy("image").agg(F.count("*").alias("n_links"))
+    told = staged(compare_all(described, agree), "links")
+    linked = told.where("other is not null").select(F.col("image").alias("src"), F.col("other").alias("dst"))
+    roots = staged(connected_components(linked).select(F.col("node").alias("image"), "component"), "image-roots")
+    degree = told.where("other is null").groupBy("image").agg(F.sum("n").alias("n_links"))
     rooted = staged(described.join(roots, "image", "left").join(degree, "image", "left").select("key", "least", (F.length("features") / FEATURE.itemsize).cast("int").alias("n_corners"), F.coalesce("component", "image").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "rooted")
     named = staged(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "n_corners", "component_id", "n_links"), "named")
     alone = F.when(F.col("key").isNull(), F.col("id"))

@@ -104,3 +104,38 @@ def test_corners_of_a_pale_part_are_kept():
     a[:, 100:] = 120 + (a[:, 100:] - 128) * 0.3  # the strongest corners are all in the left half
     whole, part = M.describe(a[None])[0], M.describe(a[20:180, 110:190][None])[0]
     assert M.agreeing(whole, part) >= M.AGREEING and (whole["x"] > 110).sum() > 20
+
+
+def test_pairs_without_common_bands_and_all_links_are_found(spark, monkeypatch):
+    """Every pair that agrees is linked, whatever bands they share, and n_links counts each; in few and in many blocks."""
+    vectors, copies = near_copies(spark, 45, 0.3)
+    vectors = vectors.unionAll(spark.createDataFrame([(20_000 + k, (np.array(v) * (1 + k / 50) + 0.001 * k).tolist()) for k, (_, v) in enumerate(copies[:1] * 8)], vectors.schema))
+    media = M.render_vectors(vectors).cache()
+    found = {r.vec_id: M.describe(M.read_image(bytes(r.media))[None])[0] for r in media.collect()}
+    data = {r.vec_id: hashlib.sha256(r.media).digest() for r in media.collect()}
+    first = {d: min(k for k in data if data[k] == d) for d in data.values()}
+    order = sorted(first.values(), key=lambda k: data[k])
+    links = [(a, b) for i, b in enumerate(order) for a in order[i + 1 :] if M.agreeing(found[a], found[b]) >= M.AGREEING]
+    few = [(a, b) for a, b in links if len(set(M.table_keys(found[a]).ravel().tolist()) & set(M.table_keys(found[b]).ravel().tolist())) < M.MEETINGS]
+    assert len(few) >= 3 and len(links) >= 40
+    root = {k: k for k in order}
+    for _ in order:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {k: (root[first[data[k]]], sum(first[data[k]] in pair for pair in links)) for k in data}
+    for block in (M.LEAST_BLOCK, 150):
+        monkeypatch.setattr(M, "LEAST_BLOCK", block)
+        assert {r.vec_id: (r.component_id, r.n_links) for r in M.find_copies(media, "vec_id", "media").collect()} == want
+
+
+def test_large_pictures_are_compared_in_slices(monkeypatch):
+    rng = np.random.default_rng(3)
+    f = [np.zeros(n, M.FEATURE) for n in (50, 3, 70, 9)]
+    for x in f:
+        x["bits"] = rng.integers(0, 256, (len(x), 32))
+    f[2]["bits"][5:12] = f[0]["bits"][20:27]
+    f[3]["bits"][:4] = f[0]["bits"][:4]
+    monkeypatch.setattr(M, "ROWS", 16)
+    monkeypatch.setattr(M, "COLUMNS", 24)
+    x, of = np.concatenate(f), np.repeat(np.arange(4), [len(p) for p in f])
+    assert sorted(M._may_link(x, of, x, of, 5)) == [(0, 0), (0, 2), (2, 0), (2, 2), (3, 3)]
