@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,13 +91,44 @@ def merged_boxes(boxes: DataFrame, keys: list[str], cell: float) -> DataFrame:
     """(keys, id, box): ``boxes`` (keys, id, box) joined until none of equal keys overlap much (``geometry.overlaps_much``); a joined box has its least id.
 
     In each round all boxes that hang together by such overlaps become their union at once, so neither the order of rows nor of ids matters. Ids are unique; null boxes go.
+
+    All boxes meet each other once. Later only boxes that the round before made can overlap others, so these meet each other and the boxes around them, which are looked up once
+    for a wide margin, and again where a box outgrows it. The rest isn't dealt to cells again.
     """
-    now = staged(boxes.where(F.col("box").isNotNull()).select(*keys, "id", "box"), "boxes")
-    while True:
-        other = now.select(*keys, F.col("id").alias("other_id"), F.col("box").alias("other"))
-        pairs = staged(box_join(now, other, "box", "other", cell, (F.col("id") < F.col("other_id")) & G.overlaps_much(F.col("box"), F.col("other")), keys=tuple(keys)).select("id", "other_id"), "overlaps")
-        if pairs.isEmpty():
-            return now
-        root = connected_components(pairs, "id", "other_id").withColumnsRenamed({"node": "id", "component": "root"})
-        ends = G.box(F.min("box.min_x"), F.min("box.min_y"), F.max("box.max_x"), F.max("box.max_y"))
-        now = staged(now.join(root, "id", "left").groupBy(*keys, F.coalesce("root", "id").alias("id")).agg(ends.alias("box")), "boxes")
+    first = staged(boxes.where(F.col("box").isNotNull()).select(*keys, "id", "box"), "boxes")
+    ends = G.box(F.min("box.min_x"), F.min("box.min_y"), F.max("box.max_x"), F.max("box.max_y"))
+    wide = F.greatest(F.lit(float(cell)), F.col("box.max_x") - F.col("box.min_x"), F.col("box.max_y") - F.col("box.min_y"))
+    around = G.box(F.col("box.min_x") - wide, F.col("box.min_y") - wide, F.col("box.max_x") + wide, F.col("box.max_y") + wide)
+
+    def overlaps(some: DataFrame, of: DataFrame, on: Column) -> DataFrame:
+        other = of.select(*keys, F.col("id").alias("other_id"), F.col("box").alias("other")).hint("merge")
+        return staged(box_join(some.select(*keys, "id", "box"), other, "box", "other", cell, on & G.overlaps_much(F.col("box"), F.col("other")), keys=tuple(keys)), "overlaps")
+
+    def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+        return rows.join(ids.select("id").hint("merge"), "id", "left_anti").select(*rows.columns)
+
+    pairs = overlaps(first, first, F.col("id") < F.col("other_id"))
+    # taken: the ids of ``first`` that are in a joined box; near: others that a joined box may meet
+    taken = made = near = None
+    while not pairs.isEmpty():
+        root = connected_components(pairs, "id", "other_id").select(F.col("node").alias("id"), F.col("component").alias("root"))
+        met = staged(pairs.select(*keys, "id", "box").union(pairs.select(*keys, "other_id", "other")).dropDuplicates(["id"]), "met")
+        taken = met.select("id") if taken is None else taken.union(met.select("id"))
+        taken = staged(taken.distinct(), "taken")
+        # where the boxes around are known, as of those that were joined
+        homes = met.withColumn("home", F.lit(None).cast(first.schema["box"].dataType)) if made is None else met.join(made.select("id", "home").hint("merge"), "id", "left")
+        new = homes.join(root.hint("merge"), "id").groupBy(*keys, F.col("root").alias("id")).agg(ends.alias("box"), F.min("home").alias("home"))
+        known = reduce(Column.__and__, (op(F.col(f"box.{c}"), F.col(f"home.{c}")) for c, op in (("min_x", Column.__ge__), ("min_y", Column.__ge__), ("max_x", Column.__le__), ("max_y", Column.__le__))))
+        new = staged(new.withColumn("known", F.coalesce(known, F.lit(False))).withColumn("home", F.when(F.col("known"), F.col("home")).otherwise(around)), "joined")
+        asked = new.where("not known").select(*keys, F.col("home").alias("other"))
+        if not asked.isEmpty():
+            seen = box_join(first, asked.hint("merge"), "box", "other", cell, keys=tuple(keys)).select(*keys, "id", "box")
+            seen = staged(seen, "seen")  # or what is taken would be left out of all boxes first
+            near = (seen if near is None else near.union(seen)).dropDuplicates(["id"])
+        near = staged(without(near, taken), "near")
+        made = new.drop("known") if made is None else without(made, met).unionByName(new.drop("known"))
+        made = staged(made, "made")
+        pairs = overlaps(new, made.select(*keys, "id", "box").union(near), F.col("id") != F.col("other_id"))
+    if made is None:
+        return first
+    return without(first, taken).unionByName(made.select(*keys, "id", "box"))
