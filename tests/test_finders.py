@@ -241,3 +241,20 @@ def test_scaled_matches_of_the_whole_table(spark):
     for rows in by.values():
         assert sorted(r.place for r in rows) == list(range(1, len(rows) + 1)) and len(rows) <= 3
         assert all(iou([a[c] for c in finders.EDGES], [b[c] for c in finders.EDGES]) < 0.6 + 1e-6 for a in rows for b in rows if a.place < b.place)
+
+
+def test_what_a_box_is_made_of_is_read_once(spark):
+    """The plan of counted boxes reads tables of a row a seed or place, not the linework or the points again."""
+    df = spark.createDataFrame([(1, float(10 * k), 0.0, float(10 * k + 5), 100.0) for k in range(40)], "file_id long, x1 double, y1 double, x2 double, y2 double").repartition(2)
+    s = spark.createDataFrame([(1, 1, 205.0, 50.0), (2, 1, 15.0, 50.0)], SEEDS)
+    points = spark.createDataFrame([(1, float(7 * k), float(k)) for k in range(50)], "file_id long, x double, y double")
+    inner = finders.refined(df, s.join(finders.slots(df, s, ["file_id"]), "seed_id").select("seed_id", s["file_id"], s["x"], s["y"], *finders.EDGES), ["file_id"], 40.0, 5, 80.0)
+    plan = finders.counted(finders.tightened(inner, points, ["file_id"], 100.0), points, ["file_id"], 100.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_histogram_counts_ends(spark):
+    rows = [(1, 0.0, 3.0), (1, 0.5, 3.9), (1, 9.9, 12.0), (1, 3.0, 0.0), (2, 5.0, 5.0)]
+    df = spark.createDataFrame(rows, "k long, a double, b double")
+    got = {r.k: r.hist for r in kernels.histogram(df, ["a", "b"], F.lit(0.0), F.lit(10.0), 10, ["k"]).collect()}
+    assert got == {1: [3, 0, 0, 3, 0, 0, 0, 0, 0, 2], 2: [0, 0, 0, 0, 0, 2, 0, 0, 0, 0]}
