@@ -297,8 +297,8 @@ def line_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scale_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each label's components at three scales the score."""
-    seeds = shapes.first_seeds(spark, sf_dir)
+    """Of each label's components at three scales the score; of all labels."""
+    seeds = shapes.label_seeds(spark, sf_dir)
     boxes = occupancy.boxes_at_seeds(shapes.pyramid(spark, sf_dir).drop("n"), seeds.select("seed_id", "file_id", "x", "y"), "seed_id", ["file_id"]).join(line_priors(spark, sf_dir), "file_id")
     w, h = F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")
     boxes = boxes.withColumn("bonus", aspect_bonus(F.greatest(w / h, h / w), F.col("plan"), F.col("strip"))).drop("plan", "strip", "cells")
@@ -308,7 +308,7 @@ def scale_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def k12_scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Composite scores of the candidates of the first labels of each drawing."""
+    """Composite scores of the candidates of all labels of each drawing."""
     return scale_candidates(spark, sf_dir).select("seed_id", "scale", "labels", "structured", F.round("score", 6).alias("score"))
 
 
@@ -316,10 +316,10 @@ def k12_scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q4_scaled_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels -> components at three scales -> composite rank -> what is nearest to the label -> suppression -> filter with relaxation -> order by density."""
     found = staged(scale_candidates(spark, sf_dir), "candidates")
-    seeds, p = shapes.first_seeds(spark, sf_dir), staged(shapes.centres(spark, sf_dir).withColumn("id", F.monotonically_increasing_id()), "points")
+    seeds, p = shapes.label_seeds(spark, sf_dir), staged(shapes.centres(spark, sf_dir).withColumn("id", F.monotonically_increasing_id()), "points")
     anchors = seeds.select("file_id", F.col("seed_id").alias("anchor"), "x", "y")
     near = nearest_points(p, anchors, "id", "anchor", 256.0, keys=("file_id",)).where("anchor is not null").select("id", F.col("anchor").alias("seed_id"))
-    drawn = finders.partitioned(found, p.join(near, "id").select("seed_id", "x", "y"), 20.0)
+    drawn = finders.partitioned(found, p.join(near.hint("merge"), "id").select("seed_id", "x", "y"), 20.0)
     kept = finders.kept_best(drawn.select("seed_id", "file_id", "scale", "score", "structured", "fill", *finders.EDGES), [F.desc("score"), F.desc("structured"), F.desc("fill")], 0.6, 3)
     good = finders.sound(finders.counted(kept, p, ["file_id"], 500.0), 60, 0.35, 5.0, relax=True)
     place = F.row_number().over(Window.partitionBy("seed_id").orderBy(F.desc("density"), F.desc("n"), F.abs(F.col("aspect") - 1.6), "area", "rank"))
