@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,3 +70,47 @@ def exact_percentiles(rows: DataFrame, value: str, shares: dict[str, float]) ->
         return F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
 
     return found.select(*(between(k, name).alias(name) for k, name in enumerate(shares)))
+
+
+#: Tables up to this number of rows are sent to all tasks.
+SENT = 10_000
+
+
+def counted_side(few: DataFrame) -> DataFrame:
+    """A staged table for a join: sent to all tasks if it has few rows as counted, else shuffled."""
+    return F.broadcast(few) if few.count() <= SENT else few.hint("merge")
+
+
+def group_percentiles(rows: DataFrame, group: list[str], values: dict[str, tuple[str, str]], shares: dict[str, float], total: str, bins: int = 4096) -> DataFrame:
+    """(``group``, ``total``, a column {share}_{value} each): percentiles of ``values`` in each group, as ``percentile`` gives them, and the rows of the group.
+
+    ``values``: column -> the columns of two bounds that hold it, the same in all rows of a group; neither these nor the group's columns are null. Values are counted in bins first; then only those in bins
+    that hold a rank asked for are looked at one by one. So no task holds a group's values, however large the group is.
+    """
+    names = list(values)
+
+    def binned(c: str) -> Column:
+        v, low, high = (F.col(k).cast("double") for k in (c, *values[c]))
+        return F.when(high > low, F.least(F.greatest(F.floor((v - low) / (high - low) * bins), F.lit(0)), F.lit(bins - 1))).otherwise(0).cast("int")
+
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("axis"), F.col(c).cast("double").alias("v"), binned(c).alias("bin")) for k, c in enumerate(names)))).alias("e")
+    flat = rows.select(*group, each).select(*group, "e.*")
+    by = [*group, "axis"]
+    whole = Window.partitionBy(*by)
+    before = lambda over: F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    counts = flat.groupBy(*by, "bin").agg(F.count("*").alias("_n"))
+    placed = counts.select(*by, "bin", "_n", before(whole.orderBy("bin")).alias("_before"), F.sum("_n").over(whole).alias("_total"))
+    place = [share * (F.col("_total") - 1) for share in shares.values()]
+    ranks = [f(p).cast("long") for p in place for f in (F.floor, F.ceil)]
+    here = lambda rank: (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n"))
+    asked = staged(placed.where(reduce(Column.__or__, (here(r) for r in ranks))).select(*by, "bin", "_before", "_total"), "asked-bins")
+    own = flat.join(counted_side(asked), [*by, "bin"]).groupBy(*by, "bin", "_before", "_total", "v").agg(F.count("*").alias("_n"))
+    own = own.withColumn("_before", F.col("_before") + before(Window.partitionBy(*by, "bin").orderBy("v")))
+    found = own.groupBy(*by).agg(F.max("_total").alias("_total"), *(F.max(F.when(here(r), F.col("v"))).alias(f"_r{i}") for i, r in enumerate(ranks)))
+
+    def between(i: int) -> Column:
+        low, high = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")
+        return F.when(low == high, low).otherwise((F.ceil(place[i]) - place[i]) * low + (place[i] - F.floor(place[i])) * high)
+
+    told = found.select(*by, "_total", *(between(i).alias(f"_p{i}") for i in range(len(place))))
+    return told.groupBy(*group).agg(F.max("_total").alias(total), *(F.max(F.when(F.col("axis") == k, F.col(f"_p{i}"))).alias(f"{share}_{c}") for k, c in enumerate(names) for i, share in enumerate(shares)))

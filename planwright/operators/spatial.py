@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
+from pyspark.sql.pandas.types import to_arrow_type
 
 from planwright.functions import geometry as G
 from planwright.operators.graph import connected_components
@@ -48,6 +53,52 @@ def box_semi_join(left: DataFrame, right: DataFrame, key: str, left_box: str, ri
 
 #: Anchors up to this number are sent to all tasks; of so few every point meets all.
 SENT, FEW = 10_000, 64
+#: Places that are held against anchors together.
+STRETCH = 512
+
+
+def _nearest_of_counted(places: DataFrame, there: DataFrame, keys: list[str], anchor: str) -> DataFrame:
+    """(keys, x, y, ``anchor``): for each of ``places`` the nearest of the anchors ``there`` (keys, _ax, _ay, _a), as many as the caller has counted; null if its keys have none.
+
+    Places are put in order and taken in stretches. Of two anchors the one that is nearer to all corners of a stretch's box is nearer to all places in it, so
+    few anchors are left for places far away.
+    """
+    held: dict[tuple, list[tuple]] = {}
+    for r in there.select(*keys, "_ax", "_ay", "_a").collect():
+        held.setdefault(tuple(r[: len(keys)]), []).append((float(r["_ax"]), float(r["_ay"]), r["_a"]))
+    sets = {k: (np.array([a[:2] for a in sorted(v, key=lambda a: a[2])]), [a[2] for a in sorted(v, key=lambda a: a[2])]) for k, v in held.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = list(zip(*(b.column(i).to_pylist() for i in range(len(keys))), strict=True)) if keys else [()] * b.num_rows
+            p = np.stack([b.column(len(keys) + i).to_numpy(zero_copy_only=False).astype(float) for i in (0, 1)], axis=1).reshape(-1, 2)
+            found: list = [None] * b.num_rows
+            lo = 0
+            while lo < b.num_rows:
+                hi = lo + 1
+                while hi < min(lo + STRETCH, b.num_rows) and own[hi] == own[lo]:
+                    hi += 1
+                if own[lo] in sets:
+                    at, ids = sets[own[lo]]
+                    found[lo:hi] = [ids[k] for k in _nearest_in(p[lo:hi], at)]
+                lo = hi
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keys) + 2)), pa.array(found, kind)], [*keys, "x", "y", anchor])
+
+    fields = S.StructType([*(places.schema[c] for c in (*keys, "x", "y")), S.StructField(anchor, there.schema["_a"].dataType)])
+    kind = to_arrow_type(fields[anchor].dataType)
+    return places.select(*keys, "x", "y").repartitionByRange(*keys, "x", "y").sortWithinPartitions(*keys, "x", "y").mapInArrow(run, fields)
+
+
+def _nearest_in(p: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The place in ``at`` of the nearest to each of ``p``; of equally near ones the first."""
+    (x1, y1), (x2, y2) = p.min(axis=0), p.max(axis=0)
+    corners = np.array([(x1, y1), (x1, y2), (x2, y1), (x2, y2)])
+    d = ((corners[:, None, :] - at[None, :, :]) ** 2).sum(axis=2)
+    pivots = np.unique(np.r_[d.argmin(axis=1), d.sum(axis=0).argmin()])
+    slack = 1e-9 * d.max()  # rounding must not rule out the nearest
+    left = np.flatnonzero(~(d[:, None, :] > d[:, pivots, None] + slack).all(axis=0).any(axis=0))
+    far = (p[:, 0, None] - at[left, 0]) ** 2 + (p[:, 1, None] - at[left, 1]) ** 2
+    return left[far.argmin(axis=1)]
 
 
 def nearest_points(points: DataFrame, anchors: DataFrame, key: str, anchor: str, cell: float, growth: int = 8, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -55,7 +106,7 @@ def nearest_points(points: DataFrame, anchors: DataFrame, key: str, anchor: str,
 
     Points and anchors of one place are looked at once. Anchors are put into their own and the eight cells around it and meet the points there by an equi-join. What is found within
     one cell's size is the nearest; the other places are left for the next round, with cells ``growth`` times as large and as many anchors
-    in each. Points that are far from all anchors are few where drawings are labelled. No side is broadcast unless it has been counted.
+    in each. Up to ``SENT`` places of anchors, what the first round leaves meets them in numpy, by stretches of places that lie together. No side is broadcast unless it has been counted.
     """
     kind = anchors.schema[anchor].dataType
     there = staged(anchors.groupBy(*keys, F.col("x").alias("_ax"), F.col("y").alias("_ay")).agg(F.min(anchor).alias("_a")).where("_ax is not null and _ay is not null"), "anchors")
@@ -70,6 +121,9 @@ def nearest_points(points: DataFrame, anchors: DataFrame, key: str, anchor: str,
     nearest = F.min(F.struct(far.alias("d"), F.col("_a").alias("a"))).alias("m")
     done, last = None, False
     while not last:
+        if done is not None and FEW < span[6] <= SENT:
+            done = done.unionByName(_nearest_of_counted(left, there, list(keys), anchor))
+            break
         last = span[6] <= FEW or cell > 2 * (reach + span[0] + span[1])  # every anchor is then within a cell of every point
         if last:
             met = left.join(sent(there), list(keys)) if keys else left.crossJoin(sent(there))
