@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planwright.functions import geometry as G
 from planwright.operators.graph import connected_components
-from planwright.operators.nearby import AXES, BLOCK, blocks, by_rows, distances, near_pairs, nearest, points_of
+from planwright.operators.nearby import AXES, BLOCK, SLACK, blocks, by_rows, distances, gaps, near_pairs, nearest, neighbours, points_of
 from planwright.staging import staged
 
 #: Edges or clusters up to this number are finished in one task.
@@ -130,9 +131,9 @@ def spanning_forest(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
 def reachability_tree(points: DataFrame, samples: int = 3, block: int = BLOCK, one_task: int = ONE_TASK) -> DataFrame:
     """(w, a, b): the least spanning tree of ``points`` (id, x, y, z; all places different) under mutual reachability, with ``far`` the core distances joined by the caller.
 
-    ``points`` have core, their distance to the ``samples``-th point, themselves the first. The tree of all points lies within the trees of all pairs of blocks. Pairs at most a
-    reach apart are enough for all edges up to it, so the reach grows only while the points don't hang together, and then pairs of blocks that
-    hang together already are left out.
+    ``points`` have core, their distance to the ``samples``-th point, themselves the first. The tree of all points lies within the trees of the blocks and the forests between pairs of blocks. Edges up to a
+    reach are found first, so only points near another block meet it; the reach grows while the points don't hang together, and then only points
+    outside the largest part meet blocks again.
     """
     held = blocks(points, ["core"], block)
     schema, kinds = "w double, a long, b long", [pa.float64(), pa.int64(), pa.int64()]
@@ -141,36 +142,82 @@ def reachability_tree(points: DataFrame, samples: int = 3, block: int = BLOCK, o
         return [list(c) for c in zip(*found, strict=True)] if found else [[], [], []]
 
     def tree(row: dict) -> list:
-        p, core, ids = points_of(row), np.asarray(row["core"], float), np.asarray(row["ids"])
-        if "o_ids" in row:
-            p, core, ids = np.concatenate([p, points_of(row, "o_")]), np.concatenate([core, np.asarray(row["o_core"], float)]), np.concatenate([ids, np.asarray(row["o_ids"])])
-        return flat(_tree(p, core, ids))
+        return flat(_tree(points_of(row), np.asarray(row["core"], float), np.asarray(row["ids"])))
+
+    def cross(row: dict) -> list:
+        sides = [[points_of(row, o), *(np.asarray(row[o + c]) for c in ("core", "ids", "parts"))] for o in ("", "o_")]
+        for k in (0, 1):  # points that nothing within the reach can join
+            near = gaps(sides[k][0], sides[1 - k][0]) if len(sides[1 - k][0]) else np.full(len(sides[k][0]), np.inf)
+            some = np.flatnonzero(np.maximum(near, sides[k][1]) <= row["reach"] + SLACK)
+            some = some[np.argsort(sides[k][2][some])]
+            sides[k] = [c[some] for c in sides[k]]
+        return flat(_cross_forest(*sides, row["reach"]))
 
     own = staged(by_rows(held, tree, schema, kinds), "own-trees")
     size = held.agg(F.count(F.lit(1)), F.min("box.min_x"), F.max("box.max_x"), F.min("box.min_y"), F.max("box.max_y"), F.min("low"), F.max("high")).first()
     if size[0] <= 1:
         return own
     across = float(np.sqrt(sum((size[i + 1] - size[i]) ** 2 for i in (1, 3, 5)))) + 1.0
-    reach = float(own.agg(F.percentile_approx("w", 0.99)).first()[0] or across / 64) + 1e-9
-    edges, done = own, 0.0
-    home = held.select("block", F.lit(None).cast("long").alias("home"))
+    reach = float(own.agg(F.percentile_approx("w", 0.9)).first()[0] or across / 64) + 1e-9
+    # first all points are parts of their own, and blocks meet the blocks after them
+    held = held.withColumn("parts", F.col("ids"))
+    apart, edges = None, own
     while True:
-        mine = held.join(home, "block").withColumn("reach", F.lit(min(reach, across)))
-        pairs = near_pairs(mine, held.join(home, "block"), "reach").where("block < o_block and (home is null or o_home is null or home <> o_home)")
-        if done:
-            apart = [F.greatest(F.col(f"box.min_{k}") - F.col(f"o_box.max_{k}"), F.col(f"o_box.min_{k}") - F.col(f"box.max_{k}"), F.lit(0.0)) for k in "xy"]
-            apart.append(F.greatest(F.col("low") - F.col("o_high"), F.col("o_low") - F.col("high"), F.lit(0.0)))
-            pairs = pairs.where(F.sqrt(sum(a * a for a in apart)) > done)
-        edges = staged(spanning_forest(edges.union(by_rows(pairs, tree, schema, kinds)), one_task), "forest")
-        short = edges.where(F.col("w") <= reach)
+        pairs = near_pairs((held if apart is None else apart).withColumn("reach", F.lit(min(reach, across))), held, "reach")
+        pairs = pairs.where("block < o_block" if apart is None else "block <> o_block")
+        edges = staged(spanning_forest(edges.union(by_rows(pairs, cross, schema, kinds)), one_task), "forest")
         if reach >= across:
             return edges
+        short = edges.where(F.col("w") <= reach)
         root = staged(connected_components(short, "a", "b"), "hang-together")
-        whole = held.select("block", F.explode("ids").alias("node")).join(root, "node", "left").select("block", F.coalesce("component", "node").alias("c"))
-        if whole.agg(F.count_distinct("c")).first()[0] <= 1:
+        each = held.select("block", F.posexplode(F.arrays_zip("ids", *AXES, "core")).alias("at", "p")).select("block", "at", "p.*")
+        each = staged(each.join(root.withColumnRenamed("node", "ids").hint("merge"), "ids", "left").withColumn("parts", F.coalesce("component", "ids")).drop("component"), "parts")
+        largest = each.groupBy("parts").agg(F.count("*").alias("n")).agg(F.max_by("parts", F.struct("n", "parts")), F.count("*")).first()
+        if largest[1] <= 1:
             return short
-        home = staged(whole.groupBy("block").agg(F.when(F.min("c") == F.max("c"), F.min("c")).alias("home")), "blocks-home")
-        done, reach = reach, reach * 2
+        # then points of other parts than the largest meet all blocks: what joins two points of one part is found
+        arrays = F.array_sort(F.collect_list(F.struct("at", "ids", *AXES, "core", "parts"))).alias("p")
+        box = G.box(F.min("x"), F.min("y"), F.max("x"), F.max("y")).alias("box")
+        whole = lambda rows: rows.groupBy("block").agg(box, F.min("z").alias("low"), F.max("z").alias("high"), arrays).select("block", "box", "low", "high", *(F.col(f"p.{c}").alias(c) for c in ("ids", *AXES, "core", "parts")))
+        held, apart = staged(whole(each), "blocks-parts"), staged(whole(each.where(F.col("parts") != largest[0])), "apart")
+        reach *= 2
+
+
+def _cross_forest(a: list[np.ndarray], b: list[np.ndarray], reach: float) -> list[tuple[float, int, int]]:
+    """The least spanning forest of the edges up to ``reach`` between points of ``a`` and of ``b`` (each places, core, ids ascending, parts), where each part is one node."""
+    (p, p_core, p_ids, p_parts), (q, q_core, q_ids, q_parts) = a, b
+    m, n = len(p), len(q)
+    if not m or not n:
+        return []
+    w = np.maximum(np.maximum(p_core[:, None], q_core[None, :]).astype(float), distances(p, q)).round(9)
+    w[w > reach] = np.inf
+    part = np.unique(np.concatenate([p_parts, q_parts]), return_inverse=True)[1]
+    ids, out = np.concatenate([p_ids, q_ids]), []
+    while True:
+        w[part[:m, None] == part[None, m:]] = np.inf
+        # of equal ones the least id, which gives the least pair too
+        to = np.concatenate([m + w.argmin(axis=1), w.argmin(axis=0)])
+        far = np.concatenate([w.min(axis=1), w.min(axis=0)])
+        some = np.flatnonzero(np.isfinite(far))
+        if not len(some):
+            return out
+        low, high = np.minimum(ids[some], ids[to[some]]), np.maximum(ids[some], ids[to[some]])
+        by = np.lexsort((high, low, far[some], part[some]))
+        first = by[np.r_[True, np.diff(part[some][by]) > 0]]
+        root = list(range(int(part.max()) + 1))
+
+        def find(k: int, root: list[int] = root) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        for k in first.tolist():
+            u, v = find(int(part[some[k]])), find(int(part[to[some[k]]]))
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                out.append((float(far[some[k]]), int(low[k]), int(high[k])))
+        part = np.unique(np.array([find(k) for k in range(len(root))]), return_inverse=True)[1][part]
 
 
 def stable_clusters(n: list[int], edges: list[tuple[float, int, int]], least: int) -> dict[int, int]:
@@ -287,10 +334,10 @@ def _core(places: DataFrame, samples: int, block: int) -> DataFrame:
     """(id, core): the distance of the ``samples``-th point, itself and its copies counted first; of fewer points the farthest."""
     held = blocks(places, ["copies"], block)
     out, need = None, F.lit(samples) - F.col("copies")
-    for k in range(1, samples):
+    if samples > 1:
         # the k-th other place is asked for where k places are enough whatever their copies
-        found = nearest(held, k).select("id", F.col("far").alias(f"far{k}"), F.col("other").alias(f"other{k}"))
-        out = found if out is None else out.join(found, "id")
+        each = (F.try_element_at("found", F.lit(k))[c].alias(f"{c}{k}") for k in range(1, samples) for c in ("far", "other"))
+        out = neighbours(held, samples - 1).select("id", *each)
     told = places.select("id", "copies")
     if out is None:
         return told.select("id", F.lit(0.0).alias("core"))

@@ -114,6 +114,16 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out, out=out)
 
 
+#: More than distances differ by when they are rounded to nine digits.
+SLACK = 2e-9
+
+
+def gaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """How far each of ``p`` is from the box around ``q``."""
+    out = np.maximum(np.maximum(q.min(axis=0) - p, p - q.max(axis=0)), 0.0)
+    return np.sqrt((out * out).sum(axis=1))
+
+
 def by_rows(df: DataFrame, f: Callable[[dict], list[tuple]], schema: str, kinds: list[pa.DataType]) -> DataFrame:
     """``f`` of each row, as rows of ``schema``."""
     names = [c.split()[0] for c in schema.split(", ")]
@@ -128,7 +138,13 @@ def by_rows(df: DataFrame, f: Callable[[dict], list[tuple]], schema: str, kinds:
 
 
 def nearest(held: DataFrame, k: int, scale: str | None = None) -> DataFrame:
-    """(id, far, other): of each point of ``held`` (blocks) the ``k``-th nearest other point and its distance; null if there are fewer.
+    """(id, far, other): of each point of ``held`` (blocks) the ``k``-th nearest other point and its distance; null if there are fewer."""
+    last = F.try_element_at("found", F.lit(k))
+    return neighbours(held, k, scale).select("id", last["far"].alias("far"), last["other"].alias("other"))
+
+
+def neighbours(held: DataFrame, k: int, scale: str | None = None) -> DataFrame:
+    """(id, found): of each point of ``held`` (blocks) the ``k`` nearest other points, nearest first, as structs of far and other; fewer if there are fewer.
 
     With ``scale``, an array column of cluster sizes, distances are those of Ward's linkage: sqrt(2 a b / (a + b)) times the distance of the centres. Of equally far
     points the least id is nearer. A block first looks into itself; what it finds bounds how far away the blocks lie that it meets.
@@ -170,18 +186,25 @@ def nearest(held: DataFrame, k: int, scale: str | None = None) -> DataFrame:
     pairs = near_pairs(bounded, held, "reach").where("block <> o_block")
 
     def cross(row: dict) -> list:
-        p, q, ids = points_of(row), points_of(row, "o_"), np.asarray(row["o_ids"])
+        p, q, ids, o_ids = points_of(row), points_of(row, "o_"), np.asarray(row["ids"]), np.asarray(row["o_ids"])
         a, b = (np.asarray(row[scale], float), np.asarray(row[f"o_{scale}"], float)) if scale else (None, None)
-        d = weigh(distances(p, q), a, b)
         limit = np.asarray(row["bounds"], float)
+        # points whose bound doesn't reach the other block, and points of it that no bound reaches, aren't compared
+        least = 1.0 if a is None else np.sqrt(2 * a * b.min() / (a + b.min()))
+        some = np.flatnonzero(gaps(p, q) * least <= limit + SLACK)
+        if not len(some):
+            return [some, []]
+        p, ids, limit, a = p[some], ids[some], limit[some], None if a is None else a[some]
+        there = np.flatnonzero(gaps(q, p) * (1.0 if a is None else np.sqrt(2 * b * a.min() / (b + a.min()))) <= limit.max() + SLACK)
+        if not len(there):
+            return [there, []]
+        d = weigh(distances(p, q[there]), a, None if b is None else b[there])
         d[d.round(9) > limit[:, None]] = np.inf
         some = np.flatnonzero(np.isfinite(d).any(axis=1))
-        return [np.asarray(row["ids"])[some], tuples(best(d[some], ids, k))]
+        return [ids[some], tuples(best(d[some], o_ids[there], k))]
 
     met = by_rows(pairs, cross, "id long, found array<struct<far:double,other:long>>", [pa.int64(), pair])
-    whole = self_.select("id", "found").unionByName(met).groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
-    last = F.try_element_at("found", F.lit(k))
-    return whole.select("id", last["far"].alias("far"), last["other"].alias("other"))
+    return self_.select("id", "found").unionByName(met).groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
 
 
 def near_links(vectors: DataFrame, eps: float, block: int = 2048) -> DataFrame:
