@@ -358,10 +358,15 @@ def plain_ward(clusters: dict[int, tuple[float, np.ndarray]], threshold: float)
     while len(now) > 1:
         ids = np.array(sorted(now))
         w, p = np.array([now[c][0] for c in ids]), np.array([now[c][1] for c in ids])
-        d = (distances(p, p) * np.sqrt(2 * w[:, None] * w[None, :] / (w[:, None] + w[None, :]))).round(9)
-        np.fill_diagonal(d, np.inf)
-        near = d.argmin(axis=1)
-        joined = [(i, j) for i, j in enumerate(near.tolist()) if i < j and near[j] == i and d[i, j] <= threshold]
+        near, far = np.empty(len(ids), np.int64), np.empty(len(ids))
+        for lo in range(0, len(ids), 256):  # never all pairs at once
+            own = slice(lo, lo + 256)
+            d = (distances(p[own], p) * np.sqrt(2 * w[own, None] * w[None, :] / (w[own, None] + w[None, :]))).round(9)
+            rows = np.arange(len(d))
+            d[rows, lo + rows] = np.inf
+            near[own] = d.argmin(axis=1)
+            far[own] = d[rows, near[own]]
+        joined = [(i, j) for i, j in enumerate(near.tolist()) if i < j and near[j] == i and far[i] <= threshold]
         if not joined:
             break
         for i, j in joined:
@@ -375,7 +380,7 @@ def plain_ward(clusters: dict[int, tuple[float, np.ndarray]], threshold: float)
     return home
 
 
-def ward_clusters(points: DataFrame, threshold: float, block: int = BLOCK, one_task: int = 4000) -> DataFrame:
+def ward_clusters(points: DataFrame, threshold: float, block: int = BLOCK, one_task: int = 16_000) -> DataFrame:
     """(id, cluster_id): Ward's linkage of ``points`` (id, x, y, z) up to a height of ``threshold``, named by the least id. Fewer than three points are all cluster 0.
 
     Clusters that are each other's nearest are merged at once, which Ward's linkage allows: no later merge comes between them. Each round looks for the nearest
